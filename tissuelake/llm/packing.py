@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ NODES = 400
 #: Parts that the pieces of one length are numbered in.
 PARTS = 32
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_PIECES}, sequence_id long, offset long"
@@ -34,8 +35,9 @@ def vocabulary_path() -> str:
 class WordTokenizer:
     """Ids of whole texts from ids of their words.
 
-    The tokenizer normalises and splits without looking across an ASCII white-space character, so that a text's ids
-    are its words' ids in order. Words met before come from a bounded memory.
+    The tokenizer lower-cases, normalises and splits without looking across an ASCII white-space character, so that a
+    text's ids are its words' ids in order; nor does it look across the place between a letter and punctuation that
+    ends the word, so that "word," has the ids of "word" and of ",". Words met before come from a bounded memory.
     """
 
     def __init__(self, path: str):
@@ -44,32 +46,76 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
-
-    def of_words(self, words: list[str]) -> list[list[int]]:
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
+        self.at, self.size = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+
+    def add(self, words: list[str], ids: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        n, total = len(self.known), self.used + len(flat)
+        while total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while n + len(words) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.size))
+        self.pool[self.used : total] = flat
+        self.at[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(words)] = sizes
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.used = total
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The place in the memory of each of some different words."""
         known = self.known
         if len(known) > CACHE_WORDS:
-            known.clear()
+            self.forget()
+            known = self.known
         new = [w for w in words if w not in known]
-        if new:
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                known.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return [known[w] for w in words]
+        bare, ended = {}, []
+        for w in new:
+            stem = w.rstrip(".,;:!?%*#&$")
+            if stem and len(stem) < len(w) and stem[-1].isalpha():
+                ended.append((w, stem))
+                bare[stem] = bare[w[len(stem) :]] = None
+            else:
+                bare[w] = None
+        wanted = [w for w in bare if w not in known]
+        for k in range(0, len(wanted), 20_000):
+            some = wanted[k : k + 20_000]
+            self.add(some, [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+        if ended:
+            ids = []
+            for w, stem in ended:
+                i, j = known[stem], known[w[len(stem) :]]
+                ids.append([*self.pool[self.at[i] : self.at[i] + self.size[i]].tolist(), *self.pool[self.at[j] : self.at[j] + self.size[j]].tolist()])
+            self.add([w for w, _ in ended], ids)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         flat = words.flatten().dictionary_encode()
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = self.of_words(flat.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        pool = np.fromiter((x for w in ids for x in w), np.uint32, int(size.sum()))
-        at = flat.indices.to_numpy(zero_copy_only=False)
-        lengths = size[at] if len(at) else np.empty(0, np.int64)
-        out = pool[ranges((np.cumsum(size) - size)[at], lengths)] if len(at) else np.empty(0, np.uint32)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(per_text)] if len(per_text) else np.empty(0, np.int64)
-        return out, np.diff(ends, prepend=0)
+        if not len(flat):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        at = self.numbers(flat.dictionary.to_pylist())[flat.indices.to_numpy(zero_copy_only=False)]
+        lengths = self.size[at]
+        ids = self.pool[ranges(self.at[at], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(per_text)]
+        return ids, np.diff(ends, prepend=0)
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, whose memory serves all its tasks."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 def token_pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,7 +123,7 @@ def token_pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col
     path = path or vocabulary_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
