@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import no_threads
+from tissuelake.llm.common import no_threads, written
 
 #: The classifier is fitted on this many labelled documents of each language at most, those of smallest id hash.
 SAMPLE_DOCS = 1000
@@ -21,6 +21,8 @@ WORD_LETTERS = 32
 #: Words whose scores a Python worker remembers.
 CACHE_WORDS = 800_000
 UNDETERMINED = "und"
+#: Ids of the sample up to which they are broadcast.
+BROADCAST_IDS = 1_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,8 +166,14 @@ _scorers: dict[int, Scorer] = {}
 def learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> dict[str, dict[str, int]]:
     """Counts of words by language of the sample: labelled documents that aren't held out."""
     labelled = docs.where(F.col(lang_col).isNotNull() & ~_held_out(id_col)).select(F.col(id_col).cast("long").alias("doc"), F.col(lang_col).cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc")
-    ids = labelled.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_docs).select("doc").distinct()
+    # Only ids whose hash may be among a language's smallest are ranked, so that no task ranks all of a language.
+    sizes = labelled.groupBy(F.col("lang").alias("lang_")).agg(F.count("*").alias("n"))
+    hashed = labelled.withColumn("u", F.pmod(F.xxhash64("doc"), F.lit(1 << 40))).join(sizes, F.col("lang") == F.col("lang_")).where(F.col("u") * F.col("n") < F.lit(float(1 << 40)) * (2 * sample_docs))
+    order = Window.partitionBy("lang").orderBy("u", "doc")
+    ids = hashed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_docs).select("doc").distinct()
+    ids = written(ids, "language-sample")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null").join(ids, "doc", "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
