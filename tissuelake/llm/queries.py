@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tissuelake.llm import exact_dedup, html_extract, langid, license_scan, mixing, packing, simhash
+from tissuelake.llm import ann, exact_dedup, html_extract, langid, license_scan, mixing, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ FROM n
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": op1_ann,
         "op2_license_scan": op2_license_scan,
         "op4_html_extract": op4_html_extract,
         "op5_language_id": op5_language_id,
