@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 SPACES = r"[\x20\x09-\x0D]+"
 
 _written: list[str] = []
+_tables: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,9 +36,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
+    """df written as a Parquet table of the warehouse in n buckets by a column; binary columns come compressed."""
+    spark = df.sparkSession
+    df.write.format("parquet").option("compression", "uncompressed").bucketBy(n, column).saveAsTable(name)
+    _tables.append(name)
+    return spark.table(name)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this process."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
@@ -131,4 +142,4 @@ class RollingHash:
         n = len(self.sums) - length
         if n <= 0:
             return np.empty(0, np.uint64)
-        return mix((self.sums[length:] - self.sums[:n]) * self.down[:n] + np.uint64(length) * np.uint64(0xD6E8FEB86659FD93))
+        return mix((self.sums[length:] - self.sums[:n]) * self.down[:n] + np.uint64(length * 0xD6E8FEB86659FD93 % 2**64))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tissuelake.llm import ann, exact_dedup, html_extract, langid, license_scan, lm, mixing, packing, simhash
+from tissuelake.llm import ann, exact_dedup, html_extract, langid, license_scan, lm, mixing, packing, simhash, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": op1_ann,
         "op2_license_scan": op2_license_scan,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_html_extract": op4_html_extract,
         "op5_language_id": op5_language_id,
         "op6_mixing": op6_mixing,
