@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, exact dedup, near-dedup, mixing and packing, over documents."""
+"""The corpus pipeline over documents: language ID, exact and near deduplication, mixing and packing."""
 
 from __future__ import annotations
 
@@ -6,21 +6,54 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tissuelake.llm.common import written
 from tissuelake.llm.exact_dedup import drop_exact_copies
+from tissuelake.llm.langid import identified_documents
+from tissuelake.llm.mixing import mixed_documents
+from tissuelake.llm.packing import pack
+from tissuelake.llm.simhash import drop_near_copies
+from tissuelake.session import with_package
 
-#: SQL can't express the models and the packing.
+#: SQL can't express language ID and packing; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is determined stay; null texts and texts without letters go."""
+    return identified_documents(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are equal but for white space, the one of smallest doc_id stays."""
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 0.8 or more of their five-word shingles, the one of smallest doc_id stays."""
+    return drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: up to twice, or not at all."""
+    return mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    """All stages over documents, each written as Parquet and read as the next one's input."""
+    docs = with_package(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"pipeline-{k}")

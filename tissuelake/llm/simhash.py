@@ -18,6 +18,8 @@ BITS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Cost of dealing one probe, in units of verifying one candidate.
 PROBE_COST = 20.0
+#: Shingle hashes of a sketch.
+SKETCH = 256
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -205,3 +207,69 @@ def near_groups(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc
     tops = joined.groupBy("top").agg(F.min("least").alias("component_id"))
     of = joined.select("fp", "top").join(tops, "top").select("fp", "component_id")
     return prints.join(of, "fp").select(F.col("doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """doc, fp and sketch (the SKETCH smallest different 32-bit shingle hashes, packed) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sketches = [], []
+            for t in batch["text"]:
+                h = shingle_hashes(t.as_py(), k)
+                prints.append(fingerprint(h))
+                sketches.append(np.unique((h >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes())
+            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())], names=["doc", "fp", "sketch"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, fp long, sketch binary")
+
+
+def sketch_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets: exact while their union has SKETCH values at most, else estimated."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(x) and not len(y):
+        return 1.0
+    union = np.union1d(x, y)[:SKETCH]
+    both = np.intersect1d(x, y, assume_unique=True)
+    return np.count_nonzero(both <= union[-1]) / len(union) if len(union) else 0.0
+
+
+def _similar(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [sketch_similarity(x, y) >= similarity for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = points.select(F.col("fp").alias("a"), F.col("sketch").alias("sa"))
+    right = points.select(F.col("fp").alias("b"), F.col("sketch").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, k: int = 5, radius: int = 10, similarity: float = 0.8, close: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc and component_id (its smallest id) of each row: groups linked by similar sets of k-word shingles.
+
+    Candidates are pairs of fingerprints that differ in at most radius bits, and a candidate links if its sketches
+    have the similarity. Rows of one fingerprint are one point. A first search at `close` bits joins what lies close
+    together, so that the second emits only pairs that join different groups. Of the text pairs with similarity of
+    0.8 or more, a radius of 10 has 96 % and one of 8 has 93 % within reach on the test tables.
+    """
+    prints = written(sketched(docs, k, id_col, text_col), "sketches")
+    points = written(prints.groupBy("fp").agg(F.min("doc").alias("least"), F.min("sketch").alias("sketch")), "points")
+    first = written(_similar(near_pairs(points.select("fp"), close), points, similarity), "pairs")
+    group = components(first)
+    grouped = written(points.select("fp").join(group, points["fp"] == group["node"], "left").select("fp", F.coalesce("component", "fp").alias("top")), "grouped")
+    second = _similar(near_pairs(grouped, radius, "top"), points, similarity)
+    linked = components(first.unionByName(second))
+    joined = points.select("fp", "least").join(linked, points["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("top"))
+    tops = joined.groupBy("top").agg(F.min("least").alias("component_id"))
+    of = joined.select("fp", "top").join(tops, "top").select("fp", "component_id")
+    return prints.select("doc", "fp").join(of, "fp").select("doc", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """docs with the row of smallest id of each group of near copies; the columns stay. Rows that share an id stay or go together."""
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col, **options)
+    kept = groups.where(F.col("doc").eqNullSafe(F.col("component_id"))).select(F.col("doc").alias("_keep")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_keep"]), "left_semi")
