@@ -137,9 +137,7 @@ class RollingHash:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-    def every(self, length: int) -> np.ndarray:
-        """Of the substrings of one length, at each place where one starts."""
-        n = len(self.sums) - length
-        if n <= 0:
-            return np.empty(0, np.uint64)
-        return mix((self.sums[length:] - self.sums[:n]) * self.down[:n] + np.uint64(length * 0xD6E8FEB86659FD93 % 2**64))
+    def raw(self, length: int) -> np.ndarray:
+        """Of the substrings of one length, at each place where one starts; only the high bits are well mixed."""
+        n = max(0, len(self.sums) - length)
+        return (self.sums[length:] - self.sums[:n]) * self.down[:n]

@@ -16,6 +16,8 @@ from tissuelake.llm.lm import leading, squeeze, unsqueeze
 
 #: Bytes of a unit of whole documents, of units in one bucket of their table, and suffixes in one ranking partition.
 UNIT_BYTES, BUCKET_BYTES, PARTITION_SUFFIXES = 4 << 20, 16 << 20, 1_000_000
+#: Bytes hashed at a time, few enough for the arrays to stay in a core's cache.
+CHUNK = 1 << 15
 #: Bits of a first rank that are sorted; too few only let more suffixes go on to the next round.
 FIRST_BITS = 44
 _NEVER = np.iinfo(np.int64).max
@@ -58,43 +60,63 @@ class Unit:
     def __init__(self, docs: list[int | None], sizes: list[int], data: np.ndarray, length: int):
         self.docs = np.array([_NEVER if d is None else d for d in docs], np.int64)
         self.raw, self.data, self.length = docs, data, length
-        self.ends = np.cumsum(np.asarray(sizes, np.int64))
-        self.hashes = RollingHash(data)
+        sizes = np.asarray(sizes, np.int64)
+        self.ends = np.cumsum(sizes)
         gram = length // 2
-        span = length - gram + 1
-        n = len(data) - length + 1
-        if n <= 0:
-            self.at = self.low = self.high = self.doc = np.empty(0, np.int64)
-            self.first = self.whole = np.empty(0, np.uint64)
-            return
-        grams = self.hashes.every(gram)
+        starts, picks, ranks = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        last = -1
+        for at in range(0, len(data) - length + 1, CHUNK):
+            new, pick, grams = self._picked(data[at : at + CHUNK + length - 1], gram, last - at)
+            starts.append(new + at)
+            picks.append(pick[new] + at)
+            ranks.append(grams[pick[new]])
+            last = int(pick[-1]) + at
+        starts, picks, ranks = (np.concatenate(x) for x in (starts, picks, ranks))
+        # A document's windows start from its first byte to its end less the length; runs are cut there.
+        whole = np.flatnonzero(sizes >= length)
+        first, final = (self.ends - sizes)[whole], self.ends[whole] - length
+        k = np.searchsorted(starts, first, side="right") - 1  # the run that a document's first window is in
+        inside = np.searchsorted(first, starts, side="right") - 1
+        keep = (inside >= 0) & (starts <= final[np.maximum(inside, 0)]) & (starts != first[np.maximum(inside, 0)]) if len(whole) else np.zeros(len(starts), bool)
+        low = np.concatenate([first, starts[keep]])
+        order = np.argsort(low, kind="stable")
+        self.low = low[order]
+        self.at = np.concatenate([picks[k], picks[keep]])[order]
+        firsts = np.concatenate([ranks[k], ranks[keep]])[order]
+        end = final[np.searchsorted(first, self.low, side="right") - 1] if len(whole) else self.low
+        self.high = np.minimum(np.append(self.low[1:], _NEVER)[: len(self.low)] - 1, end)
+        self.doc = self.docs[np.searchsorted(self.ends, self.low, side="right")]
+        #: Rank of the sampled suffix's first bytes.
+        self.first = mix(firsts + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - FIRST_BITS) << np.uint64(64 - FIRST_BITS)
+
+    @staticmethod
+    def _picked(data: np.ndarray, gram: int, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of a part whose sampled start is another than the window's before; all sampled starts; hashes."""
+        grams = RollingHash(data).raw(gram)
         least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-        width = 1
+        # A part has span - 1 starts more than windows.
+        width, span = 1, gram + 1
         while 2 * width <= span:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         if span > width:
             least = np.minimum(least[: -(span - width)], least[span - width :])
-        pick = (least[:n] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        open_ = np.zeros(n + 1, np.int32)
-        np.add.at(open_, np.clip(self.ends - length + 1, 0, n), 1)
-        np.add.at(open_, np.clip(self.ends, 0, n), -1)
-        short = np.maximum(self.ends - length + 1, self.ends - np.asarray(sizes, np.int64))  # documents shorter than a window
-        np.add.at(open_, np.clip(self.ends - length + 1, 0, n), -1)
-        np.add.at(open_, np.clip(short, 0, n), 1)
-        starts = np.flatnonzero(np.cumsum(open_[:-1]) == 0)
-        if not len(starts):
-            self.at = self.low = self.high = self.doc = np.empty(0, np.int64)
-            self.first = self.whole = np.empty(0, np.uint64)
-            return
-        chosen = pick[starts]
-        new = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-        self.at, self.low = chosen[new], starts[new]
-        self.high = starts[np.append(new[1:], len(starts)) - 1]
-        self.doc = self.docs[np.searchsorted(self.ends, self.low, side="right")]
-        #: Ranks: of the sampled suffix's first bytes, and of all bytes of the windows that sample it.
-        self.first = mix(grams[self.at] + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - FIRST_BITS) << np.uint64(64 - FIRST_BITS)
-        self.whole = mix(self.hashes.of(self.low, self.high + length) + (self.at - self.low).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        pick = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return np.flatnonzero(np.concatenate([[pick[0] != before], pick[1:] != pick[:-1]])), pick, grams
+
+    def ranks(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges in order of their starts, each of two lengths at most."""
+        out = np.empty(len(starts), np.uint64)
+        for at in range(0, len(self.data), CHUNK):
+            i, j = np.searchsorted(starts, [at, at + CHUNK]).tolist()
+            if j > i:
+                out[i:j] = RollingHash(self.data[at : at + CHUNK + 2 * self.length]).of(starts[i:j] - at, ends[i:j] - at)
+        return out
+
+    def whole(self, suffixes: np.ndarray) -> np.ndarray:
+        """Ranks of all bytes of the windows that sample these suffixes."""
+        low = self.low[suffixes]
+        return mix(self.ranks(low, self.high[suffixes] + self.length) + (self.at[suffixes] - low).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
     @classmethod
     def read(cls, batch: pa.RecordBatch, row: int, length: int) -> Unit:
@@ -106,7 +128,7 @@ class Unit:
         """Starts, ranks and documents of all windows that sample these suffixes."""
         n = self.high[suffixes] - self.low[suffixes] + 1
         starts = ranges(self.low[suffixes], n)
-        return starts, mix(self.hashes.of(starts, starts + self.length) + np.uint64(0xA0761D6478BD642F)), np.repeat(self.doc[suffixes], n)
+        return starts, mix(self.ranks(starts, starts + self.length) + np.uint64(0xA0761D6478BD642F)), np.repeat(self.doc[suffixes], n)
 
 
 def units(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int, bucket_bytes: int) -> DataFrame:
@@ -236,8 +258,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     def whole_ranks(u: Unit, batch: pa.RecordBatch, row: int, base: int):
         some = undecided(u, batch, row)
-        wholes, _, (least,) = _by_key(u.whole[some], (np.minimum, u.doc[some]))
-        short = u.whole[some] >> np.uint64(16)
+        rank = u.whole(some)
+        wholes, _, (least,) = _by_key(rank, (np.minimum, u.doc[some]))
+        short = rank >> np.uint64(16)
         firsts, _, (low, high) = _by_key(u.first[some], (np.minimum, short), (np.maximum, short))
         return [(wholes, 64, less(least, base), np.zeros(len(wholes), np.uint64)), (firsts, FIRST_BITS, low, high - low)]
 
@@ -246,7 +269,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         some = undecided(u, batch, row)
         if not len(some):
             return some, some
-        _, at, (least,) = _by_key(u.whole[some], (np.minimum, u.doc[some]))
+        _, at, (least,) = _by_key(u.whole(some), (np.minimum, u.doc[some]))
         copy = _answered(batch, row, "r2", 0)[at] | (u.doc[some] > least[at])
         _, at, _ = _by_key(u.first[some])
         many = _answered(batch, row, "r2", 1)[at]
