@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +72,18 @@ def no_threads() -> None:
     pa.set_cpu_count(1)
 
 
+_remembered: dict[object, object] = {}
+
+
+def remembered(key: object, build: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: of one operator at a time, so that memories don't add up."""
+    if key not in _remembered:
+        _remembered.clear()
+        gc.collect()
+        _remembered[key] = build()
+    return _remembered[key]
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start, start+1, ... start+length-1 of every pair, one after the other."""
     total = int(lengths.sum())

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import no_threads, written
+from tissuelake.llm.common import no_threads, remembered, written
 
 #: The classifier is fitted on this many labelled documents of each language at most, those of smallest id hash.
 SAMPLE_DOCS = 1000
@@ -19,7 +19,7 @@ ROUNDS, ADDED = 4, 0.1
 #: Letters of a word at most; longer runs of letters are several words.
 WORD_LETTERS = 32
 #: Words whose scores a Python worker remembers.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 UNDETERMINED = "und"
 #: Ids of the sample up to which they are broadcast.
 BROADCAST_IDS = 1_000_000
@@ -160,9 +160,6 @@ class Scorer:
         return self.logs[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> dict[str, dict[str, int]]:
     """Counts of words by language of the sample: labelled documents that aren't held out."""
     labelled = docs.where(F.col(lang_col).isNotNull() & ~_held_out(id_col)).select(F.col(id_col).cast("long").alias("doc"), F.col(lang_col).cast("string").alias("lang"))
@@ -232,14 +229,12 @@ def _predictor(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sampl
     def predict(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         no_threads()
         langs, pieces, p = shared.value
-        if token not in _scorers:
-            _scorers.clear()
-            _scorers[token] = Scorer(pieces, p)
+        scorer = remembered(("scorer", token), lambda: Scorer(pieces, p))
         n, words = len(texts), words_of(texts)
         flat = words.flatten().dictionary_encode()
         best, score = np.full(n, len(langs)), np.zeros(n)
         if langs and len(flat):
-            logs = _scorers[token].of(flat.dictionary.to_pylist())[flat.indices.to_numpy(zero_copy_only=False)]
+            logs = scorer.of(flat.dictionary.to_pylist())[flat.indices.to_numpy(zero_copy_only=False)]
             doc = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
             total = np.stack([np.bincount(doc, logs[:, k].astype(float), n) for k in range(len(langs))], axis=1)
             some = np.bincount(doc, minlength=n) > 0

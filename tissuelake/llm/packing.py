@@ -13,14 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import no_threads, ranges, written
+from tissuelake.llm.common import no_threads, ranges, remembered, written
 
 #: Branch-and-bound nodes for one bin; the best-fit incumbent stands when they are used up.
 NODES = 400
 #: Parts that the pieces of one length are numbered in.
 PARTS = 32
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 700_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_PIECES}, sequence_id long, offset long"
@@ -108,14 +108,9 @@ class WordTokenizer:
         return ids, np.diff(ends, prepend=0)
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
     """One for each Python worker, whose memory serves all its tasks."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return remembered(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def token_pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
