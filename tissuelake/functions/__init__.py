@@ -1,0 +1 @@
+"""Column expressions that Catalyst sees, and the NumPy kernels that it can't."""
