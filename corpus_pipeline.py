@@ -18,6 +18,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined stay; null texts and texts without letters go."""
+    with_package(spark)
     return identified_documents(docs)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -78,12 +79,23 @@ _remembered: dict[object, object] = {}
 def remembered(key: object, build: Callable[[], object]) -> object:
     """What a Python worker keeps from task to task: of one operator at a time, so that memories don't add up."""
     if key not in _remembered:
-        _remembered.clear()
-        gc.collect()
+        forget()
         _remembered[key] = build()
     return _remembered[key]
 
 
+def forget() -> None:
+    """Give back what earlier operators left in this worker's memory."""
+    if _remembered:
+        _remembered.clear()
+        gc.collect()
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start, start+1, ... start+length-1 of every pair, one after the other."""
     total = int(lengths.sum())

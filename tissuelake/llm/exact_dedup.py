@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import SPACES
+from tissuelake.llm.common import SPACES, forget
 
 #: Text bytes that a trie holds before it hands its finished subtrees on.
 TRIE_BYTES = 24 << 20
@@ -75,8 +75,9 @@ def _shared(label: bytes, key: bytes, at: int) -> int:
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Copies within one input partition meet in a trie, so that a group sends a row for each trie at most."""
+    forget()
     trie = PatriciaTrie()
-    for batch in batches:
+    for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
         for doc, norm, sha in zip(batch["doc"].to_pylist(), batch["norm"].to_pylist(), batch["sha"].to_pylist(), strict=True):
             trie.insert(norm, doc, 1, sha)
             if trie.held > TRIE_BYTES:
@@ -106,7 +107,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The owner of a partition; rows come sorted by length and hash, so that a passed key's subtree is finished."""
     trie, last = PatriciaTrie(), None
-    for batch in batches:
+    for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
         for n, sha, norm, smallest, members in zip(*(batch[c].to_pylist() for c in ("n_bytes", "sha", "norm", "keep_id", "members")), strict=True):
             if trie.held > TRIE_BYTES and (n, sha) != last:
                 yield from _owner_rows(trie)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import written
+from tissuelake.llm.common import forget, written
 from tissuelake.llm.graph import components
 
 BITS = 64
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col:
     """doc and fp of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             found = [fingerprint(shingle_hashes(t.as_py(), k)) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(found, pa.int64())], names=["doc", "fp"])
@@ -213,6 +214,7 @@ def sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """doc, fp and sketch (the SKETCH smallest different 32-bit shingle hashes, packed) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             prints, sketches = [], []
             for t in batch["text"]:
