@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
+#: Bytes of one Arrow batch to a Python worker at most, however long its rows' texts are.
+BATCH_BYTES = str(16 << 20)
+
 #: Settings of local runs; a cluster's own settings take precedence.
 LOCAL = {
     "spark.sql.adaptive.enabled": "true",
@@ -33,8 +36,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 def with_package(spark: SparkSession) -> SparkSession:
     """Let Python workers that see this folder import the package from it, wherever the driver was started.
 
+    Also bounds the bytes of the batches that they get.
+
     Elsewhere (executors without this folder) the package comes by --py-files or is installed.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     environment = spark.sparkContext.environment
     paths = [p for p in (environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:

@@ -1,0 +1 @@
+"""Readers and writers: pyramidal images, text inputs, the feature store and exports."""

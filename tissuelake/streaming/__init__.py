@@ -1,0 +1 @@
+"""Structured Streaming: cohorts that grow, and metrics over event time."""
