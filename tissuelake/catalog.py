@@ -1,4 +1,8 @@
-"""The registered queries of the engine's own operators and the SQL that each must equal."""
+"""The registered queries of the engine's own operators over the driver's tables, with the SQL that each must equal.
+
+embeddings stand for patch features (label: slide, vec_id: patch, 25 patches a row), events for markers and receipts,
+lineitem for pixels, part for target scales, orders and nation for slide extents, pages for sources.
+"""
 
 from __future__ import annotations
 
@@ -7,28 +11,610 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tissuelake.functions import geometry as G
+from tissuelake.functions import identity as I
+from tissuelake.functions import numerics as N
+from tissuelake.functions import vectors as V
+from tissuelake.operators import embedding_maps, multiplex, pooling, quality, raster, regions, stain, tiling
+from tissuelake.plans import cohort, conformance, profile, registry, resume
 from tissuelake.session import with_package
+from tissuelake.sources import export
+from tissuelake.streaming import cohort as streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return with_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exploded = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
-    return exploded.groupBy("label", "dim").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("v"))
+def _registered(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(query: Query) -> Query:
+        _queries[name] = query
+        if sql:
+            _sql[name] = sql
+        return query
 
+    return put
 
-MEAN_POOL_SQL = """
-SELECT label, dim, round(avg(v), 6) AS v
-FROM (SELECT label, (generate_subscripts(embedding, 1) - 1)::INTEGER AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings)
-GROUP BY label, dim
-"""
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("label", F.col("vec_id").alias("patch_idx"), F.col("embedding").alias("vec"))
+
+
+def cells_of(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select("label", "vec_id", F.expr("vec_id div 25").alias("row"), (F.col("vec_id") % 25).alias("col"), "embedding")
+
+
+def pixels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_orderkey") % 256).alias("r"), (F.col("l_partkey") % 256).alias("g"), (F.col("l_suppkey") % 256).alias("b"))
+
+
+DIMS = "SELECT label, vec_id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings"
+CELLS = 'SELECT label, vec_id, vec_id // 25 AS "row", vec_id % 25 AS col, embedding FROM embeddings'
+PIXELS = "SELECT l_orderkey, l_linenumber, l_returnflag, l_orderkey % 256 AS r, l_partkey % 256 AS g, l_suppkey % 256 AS b FROM lineitem"
+OD = f"SELECT *, -ln((r + 1.0::DOUBLE) / 240) AS od_r, -ln((g + 1.0::DOUBLE) / 240) AS od_g, -ln((b + 1.0::DOUBLE) / 240) AS od_b FROM ({PIXELS})"
+TISSUE = f"SELECT * FROM ({OD}) WHERE od_r >= 0.15 AND od_g >= 0.15 AND od_b >= 0.15 AND greatest(r, g, b) >= 10"
+LEVELS = "(VALUES (0, 1.0::DOUBLE), (1, 2.0), (2, 4.0), (3, 8.0)) AS v(i, d)"
+TARGETS = "SELECT p_partkey, 0.25::DOUBLE + p_size / 20.0::DOUBLE AS target FROM part"
+PLANS = f"""SELECT *, level_mpp = target OR abs(level_mpp - target) <= 0.001 * target OR abs(target / level_mpp - 1) <= 1e-6 AS native
+FROM (SELECT *, 0.25 * pow(2, level) AS level_mpp FROM (SELECT p_partkey, target, max(i) AS level FROM ({TARGETS}) JOIN {LEVELS} ON 0.25 * d <= target * 1.001 GROUP BY p_partkey, target))"""
+
+
+# --- pooling and views of features ---------------------------------------------------------------------------------
+
+
+@_registered("mean_pool", f"SELECT label, dim, round(avg(v), 6) AS v FROM ({DIMS}) GROUP BY label, dim")
+def mean_pool(spark: SparkSession, d: str) -> DataFrame:
+    return pooling.by_dimension(features(spark, d), ["label"], "vec", F.avg).withColumn("v", F.round("v", 6))
+
+
+@_registered("max_pool", f"SELECT label, dim, round(max(v), 6) AS v FROM ({DIMS}) GROUP BY label, dim")
+def max_pool(spark: SparkSession, d: str) -> DataFrame:
+    return pooling.by_dimension(features(spark, d), ["label"], "vec", F.max).withColumn("v", F.round("v", 6))
+
+
+@_registered("meanmax_pool", f"SELECT label, dim, round(avg(v)::FLOAT::DOUBLE, 5) AS v FROM ({DIMS}) GROUP BY label, dim UNION ALL SELECT label, dim + 64, round(max(v)::FLOAT::DOUBLE, 5) FROM ({DIMS}) GROUP BY label, dim")
+def meanmax_pool(spark: SparkSession, d: str) -> DataFrame:
+    pooled = pooling.meanmax_pool(features(spark, d), ["label"])
+    return pooled.select("label", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.round(F.col("v").cast("double"), 5))
+
+
+@_registered(
+    "attention_pool",
+    f"""WITH s AS (SELECT label, vec_id, 2 * (embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE) AS score FROM embeddings),
+w AS (SELECT label, vec_id, exp(score - max(score) OVER (PARTITION BY label)) AS w FROM s)
+SELECT label, dim, round((sum(v * w) / sum(w))::FLOAT::DOUBLE, 5) AS v FROM ({DIMS}) JOIN w USING (label, vec_id) GROUP BY label, dim""",
+)
+def attention_pool(spark: SparkSession, d: str) -> DataFrame:
+    score = 2 * sum(F.get("vec", F.lit(i)).cast("double") for i in range(3))
+    pooled = pooling.softmax_pool(features(spark, d).withColumn("score", score), ["label"])
+    return pooled.select("label", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.round(F.col("v").cast("double"), 5))
+
+
+@_registered("gated_attention_pool")
+def gated_attention_pool(spark: SparkSession, d: str) -> DataFrame:
+    import numpy as np
+
+    draw = np.random.default_rng(7)
+    w = {"w": draw.normal(size=(32, 64)), "wb": np.zeros(32), "a": draw.normal(size=(16, 32)), "ab": np.zeros(16), "b": draw.normal(size=(16, 32)), "bb": np.zeros(16), "c": draw.normal(size=(1, 16)), "cb": np.zeros(1)}
+    return pooling.gated_attention_pool(features(spark, d), ["label"], w)
+
+
+@_registered("multihead_pool")
+def multihead_pool(spark: SparkSession, d: str) -> DataFrame:
+    import numpy as np
+
+    draw = np.random.default_rng(8)
+    m, out, heads = draw.normal(size=(64, 16 * 4)), draw.normal(size=(16 * 4, 16)), draw.normal(size=(4, 16))
+    return pooling.multihead_pool(features(spark, d), ["label"], lambda x: np.tanh(x @ m).reshape(len(x), 16, 4), [lambda e, k=k: e @ heads[k] for k in range(4)], lambda v: v @ out)
+
+
+@_registered("softmax_weights", "WITH s AS (SELECT label, vec_id, embedding[1]::DOUBLE AS s FROM embeddings), e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY label)) AS e FROM s) SELECT label, vec_id, round(e / sum(e) OVER (PARTITION BY label), 8) AS w FROM e")
+def softmax_weights(spark: SparkSession, d: str) -> DataFrame:
+    scored = table(spark, d, "embeddings").select("label", "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("score"))
+    return scored.select("label", "vec_id", F.round(pooling.softmax_weights(scored, ["label"]), 8).alias("w"))
+
+
+@_registered("centre_features", f"WITH m AS (SELECT label, dim, avg(v) AS m FROM ({DIMS}) GROUP BY label, dim) SELECT vec_id, round(sum(abs(v - m)), 5) AS spread FROM ({DIMS}) JOIN m USING (label, dim) GROUP BY vec_id")
+def centre_features(spark: SparkSession, d: str) -> DataFrame:
+    c = embedding_maps.centred(features(spark, d), ["label"])
+    return c.select(F.col("patch_idx").alias("vec_id"), F.round(V.total(F.transform("vec", F.abs)), 5).alias("spread"))
+
+
+@_registered(
+    "farthest_from_mean",
+    f"""WITH m AS (SELECT label, dim, avg(v) AS m FROM ({DIMS}) GROUP BY label, dim),
+x AS (SELECT label, vec_id, round(sqrt(sum((v - m) * (v - m))), 6) AS distance FROM ({DIMS}) JOIN m USING (label, dim) GROUP BY label, vec_id)
+SELECT label, vec_id, distance FROM x QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance DESC, vec_id) = 1""",
+)
+def farthest_from_mean(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_maps.most_distinctive(features(spark, d), ["label"]).withColumnRenamed("patch_idx", "vec_id")
+
+
+@_registered("cosine_to_ref", "WITH r AS (SELECT embedding AS ref FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], ref::DOUBLE[]), 5) AS cosine FROM embeddings, r")
+def cosine_to_ref(spark: SparkSession, d: str) -> DataFrame:
+    f = features(spark, d)
+    return embedding_maps.similarity_to(f, f.where("patch_idx = 0")).select(F.col("patch_idx").alias("vec_id"), F.round("cosine", 5).alias("cosine"))
+
+
+@_registered("unit_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-9))), 5) AS s FROM embeddings")
+def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.round(V.total(V.unit(F.col("embedding"))), 5).alias("s"))
+
+
+@_registered("pca_colours")
+def pca_colours(spark: SparkSession, d: str) -> DataFrame:
+    pcs, _ = embedding_maps.principal_components(features(spark, d))
+    return embedding_maps.as_colours(pcs, ["label"]).select("label", "patch_idx", "rgb")
+
+
+@_registered(
+    "feature_map",
+    f"""WITH c AS ({CELLS}), m AS (SELECT label, max("row") AS r, max(col) AS k FROM c GROUP BY label),
+g AS (SELECT label, unnest(range(r + 1)) AS "row", k FROM m), f AS (SELECT label, "row", unnest(range(k + 1)) AS col FROM g)
+SELECT label, "row", col, vec_id FROM f LEFT JOIN c USING (label, "row", col)""",
+)
+def feature_map(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_maps.lattice(cells_of(spark, d), ["label"], "vec_id")
+
+
+# --- read planning and tiling --------------------------------------------------------------------------------------
+
+def _down():
+    return F.array(*(F.lit(float(2**k)) for k in range(4)))
+
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", (F.lit(0.25) + F.col("p_size") / F.lit(20.0)).alias("target"))
+
+
+@_registered("mpp_level_plan", f"SELECT p_partkey, level, round(CASE WHEN native THEN level_mpp ELSE target END, 9) AS achieved_mpp, CASE WHEN native THEN 224 ELSE round_even(224 * (target / level_mpp), 0)::BIGINT END AS read_px, NOT native AS needs_resample FROM ({PLANS})")
+def mpp_level_plan(spark: SparkSession, d: str) -> DataFrame:
+    plan = _targets(spark, d).withColumn("p", G.require_plan(G.read_plan(F.col("target"), F.lit(0.25), _down(), F.lit(224)), F.col("target")))
+    return plan.select("p_partkey", "p.level", F.round("p.achieved_mpp", 9).alias("achieved_mpp"), "p.read_px", "p.needs_resample")
+
+
+@_registered("mpp_snap_plan", f"SELECT p_partkey, (SELECT i FROM {LEVELS} ORDER BY abs(0.25 * d - target), i LIMIT 1) AS level, 224::BIGINT AS read_px FROM ({TARGETS})")
+def mpp_snap_plan(spark: SparkSession, d: str) -> DataFrame:
+    plan = _targets(spark, d).withColumn("p", G.read_plan(F.col("target"), F.lit(0.25), _down(), F.lit(224), snap=True))
+    return plan.select("p_partkey", "p.level", "p.read_px")
+
+
+@_registered("nearest_level", f"SELECT p_partkey, (SELECT i FROM {LEVELS} ORDER BY abs(0.25 * d - target), i LIMIT 1) AS level FROM ({TARGETS})")
+def nearest_level(spark: SparkSession, d: str) -> DataFrame:
+    return _targets(spark, d).select("p_partkey", G.nearest_level(F.lit(0.25), _down(), F.col("target")).alias("level"))
+
+
+@_registered("level0_steps", f"SELECT p_partkey, round_even(112 * target / 0.25, 0)::BIGINT AS step, round_even(10 / target, 1) AS magnification, abs(target - 0.5) / 0.5 > 0.1 AS mismatch FROM ({TARGETS})")
+def level0_steps(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("target")
+    return _targets(spark, d).select("p_partkey", G.level0_px(F.lit(112), t, F.lit(0.25)).alias("step"), G.magnification(t).alias("magnification"), G.scale_mismatch(t, F.lit(0.5)).alias("mismatch"))
+
+
+@_registered("grid_keys", f"SELECT DISTINCT 'mpp' || format('{{:g}}', target) || '_px224' AS grid_key FROM ({TARGETS})")
+def grid_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _targets(spark, d).select(I.grid_key(F.col("target"), F.lit(224)).alias("grid_key")).distinct()
+
+
+@_registered("grid_axis_count", "SELECT o_orderkey, (floor(greatest(floor(o_totalprice)::BIGINT - 896, 0) / 672) + 1)::BIGINT AS n FROM orders")
+def grid_axis_count(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", F.size(G.axis(F.floor("o_totalprice"), F.lit(896), F.lit(672))).cast("long").alias("n"))
+
+
+@_registered(
+    "grid_cells",
+    """WITH s AS (SELECT n_nationkey AS slide, 1000 + 137 * n_nationkey AS w, 200 + 91 * n_regionkey AS h FROM nation),
+y AS (SELECT slide, w, unnest(range(0, greatest(h - 256, 0) + 1, 200)) AS y FROM s), x AS (SELECT slide, y, unnest(range(0, greatest(w - 256, 0) + 1, 200)) AS x FROM y)
+SELECT slide, y // 200 AS "row", x // 200 AS col, x, y, row_number() OVER (PARTITION BY slide ORDER BY y, x) - 1 AS patch_idx FROM x""",
+)
+def grid_cells(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("slide"), G.axis(1000 + 137 * F.col("n_nationkey"), F.lit(256), F.lit(200)).alias("xs"), G.axis(200 + 91 * F.col("n_regionkey"), F.lit(256), F.lit(200)).alias("ys"))
+    return tiling.numbered(tiling.cells(n), ["slide"]).select("slide", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "x", "y", F.col("patch_idx").cast("long").alias("patch_idx"))
+
+
+@_registered("tile_filter", f'SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY "row", col) - 1 AS patch_idx FROM ({CELLS}) WHERE abs(embedding[1]) >= 0.1::FLOAT')
+def tile_filter(spark: SparkSession, d: str) -> DataFrame:
+    kept = tiling.keep_tissue(cells_of(spark, d).withColumn("tissue_frac", F.abs(F.get("embedding", F.lit(0)))))
+    return tiling.numbered(kept, ["label"]).select("label", "vec_id", F.col("patch_idx").cast("long").alias("patch_idx"))
+
+
+def _small_grid(spark: SparkSession) -> DataFrame:
+    one = spark.range(1).select(F.sequence(F.lit(0).cast("long"), F.lit(280).cast("long"), F.lit(35).cast("long")).alias("xs"))
+    return tiling.cells(one.select("xs", F.col("xs").alias("ys"), F.lit(35).alias("level0_patch"), F.lit(4.0).alias("mask_downsample"), F.lit("a").alias("slide")))
+
+
+@_registered(
+    "cell_tissue_fraction",
+    """WITH m AS (SELECT l_partkey % 64 AS mx, l_suppkey % 64 AS my, max(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS v FROM lineitem GROUP BY ALL),
+c AS (SELECT r AS "row", k AS col, round_even(35 * k / 4.0, 0)::BIGINT AS mx0, round_even(35 * r / 4.0, 0)::BIGINT AS my0 FROM range(9) AS a(r), range(9) AS b(k))
+SELECT "row", col, round(coalesce(avg(v), 0)::FLOAT::DOUBLE, 5) AS tissue_frac FROM c LEFT JOIN m ON mx BETWEEN mx0 AND mx0 + 8 AND my BETWEEN my0 AND my0 + 8 GROUP BY "row", col""",
+)
+def cell_tissue_fraction(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    mask = li.groupBy((F.col("l_partkey") % 64).alias("mx"), (F.col("l_suppkey") % 64).alias("my")).agg(F.max(F.when(F.col("l_discount") > 0.05, 1).otherwise(0)).alias("v")).withColumn("slide", F.lit("a"))
+    found = tiling.cell_fractions(_small_grid(spark), mask, ["slide"])
+    return found.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.round(F.col("tissue_frac").cast("double"), 5).alias("tissue_frac"))
+
+
+@_registered(
+    "qc_patch_scores",
+    """WITH m AS (SELECT l_partkey % 64 AS rx, l_suppkey % 64 AS ry, max(l_linenumber) AS cls FROM lineitem GROUP BY ALL),
+c AS (SELECT r * 9 + k AS patch_idx, round_even((35 * k + 10) / 4.0, 0)::BIGINT AS rx0, round_even((35 * r - 6) / 4.0, 0)::BIGINT AS ry0 FROM range(9) AS a(r), range(9) AS b(k))
+SELECT patch_idx, """
+    + ", ".join(f"round(coalesce(sum(CASE WHEN cls = {k} THEN 1 ELSE 0 END)::DOUBLE / nullif(count(cls), 0), 0)::FLOAT::DOUBLE, 5) AS class_{k}" for k in range(1, 8))
+    + " FROM c LEFT JOIN m ON rx BETWEEN rx0 AND rx0 + 8 AND ry BETWEEN ry0 AND ry0 + 8 GROUP BY patch_idx",
+)
+def qc_patch_scores(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem")
+    px = li.groupBy((F.col("l_partkey") % 64).alias("rx"), (F.col("l_suppkey") % 64).alias("ry")).agg(F.max("l_linenumber").alias("cls")).withColumn("slide", F.lit("a"))
+    patches = _small_grid(spark).withColumn("patch_idx", (F.col("row") * 9 + F.col("col")).cast("long"))
+    found = raster.class_fractions(patches, px, ["slide"], list(range(1, 8)), F.lit(35), 4.0, (-10.0, 6.0))
+    return found.select("patch_idx", *(F.round(F.col(f"class_{k}").cast("double"), 5).alias(f"class_{k}") for k in range(1, 8)))
+
+
+@_registered(
+    "patch_chunk_overlap",
+    """WITH w AS (SELECT vec_id, (vec_id * 37) % 1100 - 90 AS lx, (vec_id * 53) % 1100 - 90 AS ly FROM embeddings)
+SELECT vec_id, cy, cx FROM w, range(4) AS a(cy), range(4) AS b(cx) WHERE cx * 256 < lx + 128 AND (cx + 1) * 256 > lx AND cy * 256 < ly + 128 AND (cy + 1) * 256 > ly AND cx * 256 < 1000 AND cy * 256 < 1000 AND lx < 1000 AND ly < 1000 AND greatest(lx, cx * 256) < least(lx + 128, 1000) AND greatest(ly, cy * 256) < least(ly + 128, 1000)""",
+)
+def patch_chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda k: (F.col("vec_id") * k) % 1100 - 90
+    w = table(spark, d, "embeddings").select("vec_id", at(37).alias("lx"), at(53).alias("ly"), F.lit(128).alias("read_w"), F.lit(128).alias("read_h"), F.lit(1000).alias("level_w"), F.lit(1000).alias("level_h"))
+    return regions.overlaps(w, F.lit(256), F.lit(256)).select("vec_id", "cy", "cx")
+
+
+# --- pixels, masks and stains --------------------------------------------------------------------------------------
+
+
+@_registered("mask_quantise", "SELECT event_id, floor((least(greatest((value / 100)::FLOAT, 0::FLOAT), 1::FLOAT) * 255::FLOAT)::FLOAT)::SMALLINT AS q FROM events")
+def mask_quantise(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", N.quantised((F.col("value") / 100).cast("float")).alias("q"))
+
+
+MASKS = "a AS (SELECT event_id % 997 AS px, max((value > 60)::INT) AS va FROM events WHERE user_id % 2 = 0 GROUP BY ALL), b AS (SELECT event_id % 997 AS px, max((value > 70)::INT) AS vb FROM events WHERE user_id % 3 = 0 GROUP BY ALL)"
+
+
+def _masks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "events").withColumn("px", F.col("event_id") % 997)
+    make = lambda mod, cut: e.where(F.col("user_id") % mod == 0).groupBy("px").agg(F.max((F.col("value") > cut).cast("int")).alias("v"))
+    return make(2, 60), make(3, 70)
+
+
+@_registered("mask_or", f"WITH {MASKS} SELECT px, greatest(coalesce(va, 0), coalesce(vb, 0)) AS v FROM a FULL JOIN b USING (px)")
+def mask_or(spark: SparkSession, d: str) -> DataFrame:
+    return raster.fused(*_masks(spark, d), ["px"], "or")
+
+
+@_registered("mask_and", f"WITH {MASKS} SELECT px, least(va, vb) AS v FROM a JOIN b USING (px)")
+def mask_and(spark: SparkSession, d: str) -> DataFrame:
+    return raster.fused(*_masks(spark, d), ["px"], "and")
+
+
+@_registered(
+    "otsu_threshold",
+    """WITH h AS (SELECT event_type, floor(value)::INT % 256 AS v, count(*) AS n FROM events GROUP BY ALL),
+m AS (SELECT event_type, v, sum(n) OVER w AS w0, sum(v * n) OVER w AS s0, sum(n) OVER (PARTITION BY event_type) AS w, sum(v * n) OVER (PARTITION BY event_type) AS s FROM h WINDOW w AS (PARTITION BY event_type ORDER BY v)),
+b AS (SELECT event_type, v, round(CASE WHEN w > w0 THEN w0::DOUBLE * (w - w0)::DOUBLE * pow(s0 / w0::DOUBLE - (s - s0) / (w - w0)::DOUBLE, 2) ELSE 0 END, 4) AS x FROM m)
+SELECT event_type, v AS threshold FROM b QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY x DESC, v) = 1""",
+)
+def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return raster.otsu(table(spark, d, "events").withColumn("v8", F.floor("value") % 256), "v8", ["event_type"])
+
+
+@_registered("saturation_uint8", f"SELECT l_orderkey, l_linenumber, CASE WHEN greatest(r, g, b) > 0 THEN round_even(255.0::DOUBLE * (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b), 0)::INT ELSE 0 END AS s, round_even(r * 257 * (255.0::DOUBLE / 65535), 0)::SMALLINT AS u FROM ({PIXELS})")
+def saturation_uint8(spark: SparkSession, d: str) -> DataFrame:
+    high, low = F.greatest("r", "g", "b"), F.least("r", "g", "b")
+    return pixels(spark, d).select("l_orderkey", "l_linenumber", F.when(high > 0, F.rint(F.lit(255.0) * (high - low) / high).cast("int")).otherwise(0).alias("s"), N.to_uint8(F.col("r") * 257, "uint16").alias("u"))
+
+
+@_registered("stain_tissue", f"SELECT l_returnflag, count(*) AS n, round(avg(od_r), 6) AS od_r, round(avg(od_g), 6) AS od_g, round(avg(od_b), 6) AS od_b FROM ({TISSUE}) GROUP BY l_returnflag")
+def stain_tissue(spark: SparkSession, d: str) -> DataFrame:
+    return stain.with_density(pixels(spark, d)).where(stain.is_tissue()).groupBy("l_returnflag").agg(F.count("*").alias("n"), *(F.round(F.avg(f"od_{c}"), 6).alias(f"od_{c}") for c in "rgb"))
+
+
+@_registered("stain_covariance", f"SELECT round(covar_samp(od_r, od_r), 6) AS rr, round(covar_samp(od_r, od_g), 6) AS rg, round(covar_samp(od_g, od_b), 6) AS gb, round(quantile_cont(od_r, 0.99), 6) AS p99 FROM ({TISSUE})")
+def stain_covariance(spark: SparkSession, d: str) -> DataFrame:
+    od = stain.with_density(pixels(spark, d)).where(stain.is_tissue())
+    return od.agg(*(F.round(F.covar_samp(f"od_{a}", f"od_{b}"), 6).alias(a + b) for a, b in ("rr", "rg", "gb")), F.round(F.percentile("od_r", F.lit(0.99)), 6).alias("p99"))
+
+
+@_registered("stain_normalised")
+def stain_normalised(spark: SparkSession, d: str) -> DataFrame:
+    px = pixels(spark, d)
+    fit = stain.macenko(px)
+    return (stain.stained(px, *fit) if fit else px).groupBy("r").count()
+
+
+@_registered("lab_statistics", f"SELECT l_returnflag, round(avg(r), 6) AS mean_l, round(stddev_pop(r) + 1e-6, 6) AS std_l, round(avg(b), 6) AS mean_b FROM ({PIXELS}) WHERE r > 20 AND r < 235 GROUP BY l_returnflag")
+def lab_statistics(spark: SparkSession, d: str) -> DataFrame:
+    lab = pixels(spark, d).select("l_returnflag", F.col("r").alias("l"), F.col("g").alias("a"), "b")
+    return stain.lab_statistics(lab, ["l_returnflag"]).select("l_returnflag", F.round("mean_l", 6).alias("mean_l"), F.round("std_l", 6).alias("std_l"), F.round("mean_b", 6).alias("mean_b"))
+
+
+# --- multiplex -----------------------------------------------------------------------------------------------------
+
+BOUNDS = "SELECT event_type, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM events GROUP BY event_type"
+
+
+@_registered("marker_percentile_bounds", f"SELECT event_type, round(low, 6) AS low, round(high, 6) AS high FROM ({BOUNDS})")
+def marker_percentile_bounds(spark: SparkSession, d: str) -> DataFrame:
+    b = multiplex.percentile_bounds(table(spark, d, "events"), ["event_type"], "value")
+    return b.select("event_type", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@_registered("dtype_bounds", "SELECT DISTINCT event_type, 0.0::DOUBLE AS low, 65535.0::DOUBLE AS high FROM events")
+def dtype_bounds(spark: SparkSession, d: str) -> DataFrame:
+    return multiplex.type_bounds(table(spark, d, "events"), ["event_type"], "value", "uint16")
+
+
+@_registered("channelwise_unit", f"SELECT event_id, round(least(greatest((value - low) / (high - low), 0), 1), 6) AS unit FROM events JOIN ({BOUNDS}) USING (event_type)")
+def channelwise_unit(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    bounds = multiplex.percentile_bounds(e, ["event_type"], "value")
+    return multiplex.normalised(e, bounds, ["event_type"], "value").select("event_id", F.round("unit", 6).alias("unit"))
+
+
+@_registered("marker_concat", 'WITH c AS (SELECT vec_id // 5 AS patch, vec_id % 5 AS pos, unnest(embedding[1:2])::DOUBLE AS v, generate_subscripts(embedding[1:2], 1) AS k FROM embeddings) SELECT patch, (pos * 2 + k - 1)::INTEGER AS dim, round(v, 6) AS v FROM c')
+def marker_concat(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.expr("vec_id div 5").alias("patch"), (F.col("vec_id") % 5).alias("position"), F.slice("embedding", 1, 2).alias("vec"))
+    joined = multiplex.aggregated(rows, ["patch"], "concat")
+    return joined.select("patch", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
+
+
+PANEL = [("s1", 0, "Hoechst 33342"), ("s1", 1, "Pan-Cytokeratin"), ("s1", 2, "CLA_CD162"), ("s1", 3, "blank 1"), ("s1", 4, "Foxp3"), ("s2", 0, "DNA1"), ("s2", 1, "dna 2"), ("s2", 2, "granzyme B")]
+
+
+@_registered("marker_resolution", "SELECT * FROM (VALUES ('s1', 0, 'DAPI', 1), ('s1', 1, 'CYTOKERATIN', 2), ('s1', 2, 'CD162', 3), ('s1', 3, NULL, NULL), ('s1', 4, 'FOXP3', 5), ('s2', 0, NULL, NULL), ('s2', 1, NULL, NULL), ('s2', 2, 'GZMB', 4)) AS t(slide_id, source_index, marker, marker_id)")
+def marker_resolution(spark: SparkSession, d: str) -> DataFrame:
+    panel = with_package(spark).createDataFrame(PANEL, "slide_id string, source_index int, source_name string")
+    vocabulary = spark.createDataFrame([("DAPI", 1), ("CYTOKERATIN", 2), ("CD162", 3), ("GZMB", 4), ("FOXP3", 5)], "marker string, marker_id int")
+    return multiplex.resolved_markers(panel, vocabulary).select("slide_id", "source_index", "marker", "marker_id")
+
+
+@_registered("nuclear_channels", "SELECT * FROM (VALUES ('s1', '0', 'hoechst'), ('s2', '0,1', 'dna-numbered')) AS t(slide_id, channels, family)")
+def nuclear_channels(spark: SparkSession, d: str) -> DataFrame:
+    panel = with_package(spark).createDataFrame(PANEL, "slide_id string, source_index int, source_name string")
+    return multiplex.nuclear_channels(panel).select("slide_id", F.array_join(F.col("channels").cast("array<string>"), ",").alias("channels"), "family")
+
+
+# --- quality -------------------------------------------------------------------------------------------------------
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select("user_id", "event_id", "event_type", "value", *((F.when(F.col("event_id") % 5 == k, F.col("value") / 400).otherwise(F.lit(0.01))).alias(f"a{k}") for k in range(5)))
+
+
+BURDEN = "SELECT user_id, " + " + ".join(f"(CASE WHEN event_id % 5 = {k} THEN value / 400 ELSE 0.01::DOUBLE END)" for k in range(5)) + " AS b FROM events"
+
+
+@_registered("artifact_burden", f"SELECT user_id, round(avg(b), 6) AS mean_burden, round(avg(CASE WHEN b >= 0.25 THEN 100.0::DOUBLE ELSE 0 END), 6) AS pct_bad FROM ({BURDEN}) GROUP BY user_id")
+def artifact_burden(spark: SparkSession, d: str) -> DataFrame:
+    b = quality.burdens(_scores(spark, d), ["user_id"], [f"a{k}" for k in range(5)])
+    return b.select("user_id", F.round("mean_burden", 6).alias("mean_burden"), F.round("pct_bad", 6).alias("pct_bad"))
+
+
+@_registered("rank_cohort", f"SELECT user_id, round(avg(b), 6) AS mean_burden FROM ({BURDEN}) GROUP BY user_id ORDER BY mean_burden DESC, user_id LIMIT 12")
+def rank_cohort(spark: SparkSession, d: str) -> DataFrame:
+    return quality.ranked(artifact_burden(spark, d).select("user_id", "mean_burden"), "mean_burden", "user_id", 12)
+
+
+@_registered("best_patch_per_class", "SELECT event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) = 1")
+def best_patch_per_class(spark: SparkSession, d: str) -> DataFrame:
+    return quality.best_per_class(table(spark, d, "events").select("event_type", "event_id", "value"), "event_type", "value", ["event_id"])
+
+
+@_registered("class_shares", "SELECT l_returnflag, count(*) FILTER (l_linenumber BETWEEN 1 AND 6) AS tissue_px, " + ", ".join(f"round(count(*) FILTER (l_linenumber = {k}) / greatest(count(*) FILTER (l_linenumber BETWEEN 1 AND 6), 1)::DOUBLE, 6) AS frac_{k}" for k in range(1, 7)) + " FROM lineitem GROUP BY l_returnflag")
+def class_shares(spark: SparkSession, d: str) -> DataFrame:
+    shares = quality.class_shares(table(spark, d, "lineitem"), ["l_returnflag"], list(range(1, 7)), "l_linenumber")
+    return shares.select("l_returnflag", "tissue_px", *(F.round(f"frac_{k}", 6).alias(f"frac_{k}") for k in range(1, 7)))
+
+
+@_registered("canvas_mask", f"SELECT CASE WHEN greatest(r, g, b) < 40 THEN 0 ELSE l_linenumber END AS cls, count(*) AS n FROM (SELECT l_linenumber, r % 64 AS r, g % 64 AS g, b % 64 AS b FROM ({PIXELS})) GROUP BY cls".replace("< 40", "< 10"))
+def canvas_mask(spark: SparkSession, d: str) -> DataFrame:
+    px = pixels(spark, d).select(F.col("l_linenumber").alias("cls"), *((F.col(c) % 64).alias(c) for c in "rgb"))
+    return quality.without_canvas(px).groupBy("cls").agg(F.count("*").alias("n"))
+
+
+@_registered("above_median", "WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, n FROM s WHERE n >= (SELECT quantile_cont(n, 0.5) FROM s)")
+def above_median(spark: SparkSession, d: str) -> DataFrame:
+    return quality.above_median(table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")), "n")
+
+
+@_registered("usable_filter", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)")
+def usable_filter(spark: SparkSession, d: str) -> DataFrame:
+    return quality.usable(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), ["doc_id"], (F.col("quality") == 1) & (F.col("toxic") == 0))
+
+
+# --- sources, cohorts, resume --------------------------------------------------------------------------------------
+
+PATH = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '')"
+
+
+@_registered(
+    "slide_id_from_source",
+    f"""WITH p AS (SELECT page_id, url, list_filter(string_split({PATH}, '/'), lambda x: x <> '') AS parts FROM pages),
+n AS (SELECT page_id, url, CASE WHEN len(parts) = 0 THEN regexp_extract(url, '://([^/?#]*)', 1) WHEN len(parts) > 1 AND regexp_full_match(parts[-1], '[0-9]+') THEN parts[-2] ELSE parts[-1] END AS name FROM p)
+SELECT page_id, regexp_replace(regexp_replace(name, '[^A-Za-z0-9._-]+', '-', 'g'), '^[._-]+|[._-]+$', '', 'g') || '-' || substr(sha256(url), 1, 16) AS slide_id FROM n""",
+)
+def slide_id_from_source(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", I.slide_id("url").alias("slide_id"))
+
+
+@_registered("source_uri_redacted", "SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?keep=' || page_id AS source_uri FROM pages")
+def source_uri_redacted(spark: SparkSession, d: str) -> DataFrame:
+    base = F.regexp_replace("url", "[?#].*$", "")
+    signed = F.concat(F.regexp_replace(base, "://", "://user:pw@"), F.lit("?X-Amz-Signature=abc&token=zz&keep="), F.col("page_id").cast("string"), F.lit("&sig=q;se=1"))
+    return table(spark, d, "pages").select("page_id", I.source_uri(signed).alias("source_uri"))
+
+
+@_registered("duplicate_output_ids", "SELECT 'c' || (o_custkey % 400) AS slide_id, count(*) AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey::VARCHAR) AS sources FROM orders GROUP BY 1 HAVING count(*) > 1")
+def duplicate_output_ids(spark: SparkSession, d: str) -> DataFrame:
+    slides = table(spark, d, "orders").select(F.concat(F.lit("c"), (F.col("o_custkey") % 400).cast("string")).alias("slide_id"), F.col("o_orderkey").cast("string").alias("source_uri"))
+    return cohort.duplicate_ids(slides).select("slide_id", "n", F.array_join("sources", ",").alias("sources"))
+
+
+@_registered("shard_strided", "SELECT s_suppkey, s_name FROM supplier QUALIFY (row_number() OVER (ORDER BY s_name) - 1) % 4 = 1")
+def shard_strided(spark: SparkSession, d: str) -> DataFrame:
+    return cohort.strided(table(spark, d, "supplier").select("s_suppkey", "s_name"), 1, 4, "s_name")
+
+
+@_registered("shard_contiguous", "SELECT s_suppkey, (ntile(7) OVER (ORDER BY s_name) - 1)::INTEGER AS shard FROM supplier")
+def shard_contiguous(spark: SparkSession, d: str) -> DataFrame:
+    return cohort.contiguous(table(spark, d, "supplier").select("s_suppkey", "s_name"), 7, "s_name").select("s_suppkey", "shard")
+
+
+@_registered("manifest_calibration", "SELECT n_nationkey, coalesce(CASE WHEN n_nationkey % 3 > 0 THEN 0.25::DOUBLE END, CASE WHEN n_nationkey % 2 = 0 THEN 0.5::DOUBLE END) AS mpp_level0 FROM nation")
+def manifest_calibration(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    slides = n.select("n_nationkey", F.col("n_name").alias("path"), F.when(F.col("n_nationkey") % 3 > 0, 0.25).alias("mpp_level0"))
+    manifest = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("path"), F.lit(0.5).alias("source_mpp"))
+    return cohort.calibrated(slides, manifest).select("n_nationkey", "mpp_level0")
+
+
+@_registered("missing_models", "SELECT p_partkey AS slide_id, s_suppkey AS model FROM part, supplier WHERE p_partkey <= 40 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey)")
+def missing_models(spark: SparkSession, d: str) -> DataFrame:
+    as_output = lambda rows, s, m: rows.select(F.col(s).alias("slide_id"), F.lit("g").alias("grid_key"), F.col(m).alias("model"), F.lit("d").alias("digest"))
+    wanted = as_output(table(spark, d, "part").where("p_partkey <= 40").crossJoin(F.broadcast(table(spark, d, "supplier"))), "p_partkey", "s_suppkey")
+    return resume.missing(wanted, as_output(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")).select("slide_id", "model")
+
+
+@_registered("latest_receipt", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_receipt(spark: SparkSession, d: str) -> DataFrame:
+    return quality.latest(table(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@_registered("receipt_totals", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def receipt_totals(spark: SparkSession, d: str) -> DataFrame:
+    return resume.receipt_totals(table(spark, d, "orders").select(F.col("o_orderstatus").alias("status")))
+
+
+@_registered("cascade_invalidate", "SELECT vec_id FROM embeddings WHERE label NOT IN (SELECT DISTINCT p_size % 4 FROM part WHERE p_size < 30)")
+def cascade_invalidate(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select("vec_id", F.lit("s").alias("slide_id"), F.lit("g").alias("grid_key"), F.col("label").alias("patch_model"))
+    replaced = table(spark, d, "part").where("p_size < 30").select(F.lit("s").alias("slide_id"), F.lit("g").alias("grid_key"), (F.col("p_size") % 4).alias("model"))
+    return resume.without_dependents(v, replaced).select("vec_id")
+
+
+def _store(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A store of one grid a label, with faults: slide 1 lacks a vector, 2 is cut off, 3 has another digest, 4 says 65."""
+    e = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("slide_id"), F.lit("g").alias("grid_key"), "vec_id", F.col("embedding").alias("vec"))
+    numbered = tiling.numbered(e.select("*", F.col("vec_id").alias("row"), F.lit(0).alias("col")), ["slide_id"])
+    patches = numbered.select("slide_id", "grid_key", "patch_idx", F.lit(0).alias("row"), "col")
+    f = numbered.select("slide_id", "grid_key", F.lit("m").alias("model"), "patch_idx", "vec", F.when(F.col("slide_id") == "3", "other").otherwise("d").alias("digest"), F.max("patch_idx").over(tiling.Window.partitionBy("slide_id")).alias("last"))
+    f = f.where("not (slide_id = '1' and patch_idx = 3)").withColumn("vec", F.when((F.col("slide_id") == "2") & (F.col("patch_idx") == F.col("last")), F.transform("vec", lambda x: x * 0)).otherwise(F.col("vec"))).drop("last")
+    grids = patches.groupBy("slide_id", "grid_key").agg(F.count("*").alias("n_patches")).select("*", F.lit("0.1").alias("schema_version"), F.lit(1).alias("n_rows"), F.lit(1).alias("n_cols"))
+    outputs = grids.select("slide_id", "grid_key", F.lit("m").alias("model"), F.when(F.col("slide_id") == "4", 65).otherwise(64).alias("embedding_dim"), F.lit("d").alias("digest"))
+    return grids, patches, f, outputs
+
+
+@_registered("complete_models", "SELECT DISTINCT label::VARCHAR AS slide_id, 'm' AS model FROM embeddings WHERE label NOT IN (1, 2, 4)")
+def complete_models(spark: SparkSession, d: str) -> DataFrame:
+    _, patches, f, outputs = _store(spark, d)
+    return resume.complete_models(patches, f, outputs).select("slide_id", "model")
+
+
+@_registered(
+    "conformance_violations",
+    """WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT label::VARCHAR AS slide_id, CASE label WHEN 1 THEN 'features/m has ' || (n - 1) || ' rows for ' || n || ' patches' WHEN 3 THEN 'features/m digest differs from the declared one' ELSE 'features/m width 64 but declared 65' END AS violation FROM n WHERE label IN (1, 3, 4)""",
+)
+def conformance_violations(spark: SparkSession, d: str) -> DataFrame:
+    grids, patches, f, outputs = _store(spark, d)
+    return conformance.violations(grids, patches, f, outputs).select("slide_id", "violation")
+
+
+@_registered("compare_stores", "SELECT 'm' || (label % 3) AS model, count(*) FILTER (vec_id % 50 = 7) AS only_a, 0::BIGINT AS only_b, round(max(CASE WHEN vec_id % 50 <> 7 THEN (CASE WHEN label % 3 = 1 THEN 0.5 ELSE 0 END) END), 4) AS max_abs_diff, count(*) FILTER (vec_id % 50 = 7) = 0 AND max(CASE WHEN label % 3 = 1 THEN 1 ELSE 0 END) = 0 AS ok FROM embeddings GROUP BY 1")
+def compare_stores(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("m"), (F.col("label") % 3).cast("string")).alias("model"), F.col("embedding").alias("vec"), "label")
+    b = a.where("vec_id % 50 <> 7").withColumn("vec", F.when(F.col("label") % 3 == 1, F.transform("vec", lambda x: x + F.lit(0.5).cast("float"))).otherwise(F.col("vec")))
+    return conformance.compared(a.drop("label"), b.drop("label"), ["vec_id"]).withColumn("max_abs_diff", F.round("max_abs_diff", 4))
+
+
+@_registered(
+    "geometry_groups",
+    """WITH m AS (SELECT * FROM (VALUES (0, 'a', 0.5::DOUBLE, 224), (1, 'b', NULL, 256), (2, 'c', 0.5, 224), (3, 'd', NULL, 224), (4, 'e', 1.0, 256)) AS t(pos, model, mpp, px))
+SELECT coalesce(mpp, 1.0) AS mpp, px AS patch_px, string_agg(model, ',' ORDER BY pos) AS models FROM m GROUP BY 1, 2""",
+)
+def geometry_groups(spark: SparkSession, d: str) -> DataFrame:
+    catalog = {m.name: m for m in (registry.Model("a", 8, 224, 0.5), registry.Model("b", 8, 256), registry.Model("c", 8, 224, 0.5), registry.Model("d", 8, 224), registry.Model("e", 8, 256, 1.0))}
+    groups = registry.geometries(list(catalog), catalog=catalog)
+    return spark.createDataFrame([(g.mpp, g.patch_px, ",".join(g.models)) for g in groups], "mpp double, patch_px int, models string")
+
+
+@_registered("profiler_summary", "WITH s AS (SELECT user_id % 7 AS run, event_type AS stage, sum(value) AS seconds, count(*) AS calls FROM events GROUP BY ALL) SELECT run::VARCHAR AS run, stage, round(seconds, 4) AS seconds, calls, round(100 * seconds / 100000.0::DOUBLE, 1) AS pct_wall FROM s")
+def profiler_summary(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "events").select((F.col("user_id") % 7).cast("string").alias("run"), F.col("event_type").alias("stage"), F.col("value").alias("seconds"), F.lit(1).cast("long").alias("calls"), F.lit(0).cast("long").alias("bytes"))
+    walls = m.select("run", F.lit(100000.0).alias("wall_s"), F.lit(100).cast("long").alias("n_patches")).distinct()
+    return profile.summary(m, walls).select("run", "stage", "seconds", "calls", "pct_wall")
+
+
+@_registered("receipt_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS status, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def receipt_windows(spark: SparkSession, d: str) -> DataFrame:
+    return streams.receipt_metrics(table(spark, d, "events").withColumnRenamed("event_type", "status")).withColumn("total", F.round("total", 4))
+
+
+# --- exports -------------------------------------------------------------------------------------------------------
+
+
+def _grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = cells_of(spark, d)
+    keys = [F.col("label").cast("string").alias("slide_id"), F.lit("g").alias("grid_key")]
+    patches = c.select(*keys, F.col("vec_id").alias("patch_idx"), (F.col("col") * 224).alias("x"), (F.col("row") * 224).alias("y"), "row", "col")
+    f = c.select(*keys, F.col("vec_id").alias("patch_idx"), F.lit("m").alias("model"), F.col("embedding").alias("vec"))
+    grids = patches.select("slide_id", "grid_key").distinct().select("*", F.lit(224).cast("long").alias("level0_patch"), F.lit(0).alias("read_level"), F.lit(0.5).alias("achieved_mpp"), F.lit(0.5).alias("mpp_level0"), F.lit(0.5).alias("scale_x"), F.lit(0.25).alias("scale_y"), F.lit(10.0).alias("origin_x"), F.lit(None).cast("double").alias("origin_y"), F.lit(224).alias("patch_px"))
+    return patches, f, grids
+
+
+@_registered("trident_rows", f"SELECT label::VARCHAR AS slide_id, vec_id AS patch_idx, col * 224 AS x, \"row\" * 224 AS y, 224 AS patch_size_level0, 20.0::DOUBLE AS target_magnification, len(embedding)::INTEGER AS dim FROM ({CELLS})")
+def trident_rows(spark: SparkSession, d: str) -> DataFrame:
+    return export.layout(*_grid(spark, d), "trident").select("slide_id", "patch_idx", "x", "y", "patch_size_level0", "target_magnification", F.size("features").alias("dim"))
+
+
+@_registered("clam_rows", f'SELECT label::VARCHAR AS slide_id, vec_id AS patch_idx, (col * 224)::INTEGER AS x, ("row" * 224)::INTEGER AS y FROM ({CELLS})')
+def clam_rows(spark: SparkSession, d: str) -> DataFrame:
+    return export.layout(*_grid(spark, d), "clam").select("slide_id", "patch_idx", "x", "y")
+
+
+@_registered("stamp_rows", f'SELECT label::VARCHAR AS slide_id, vec_id AS patch_idx, (col * 224 * 0.5)::FLOAT AS x_um, ("row" * 224 * 0.25)::FLOAT AS y_um, 112.0::DOUBLE AS tile_size_um FROM ({CELLS})')
+def stamp_rows(spark: SparkSession, d: str) -> DataFrame:
+    return export.layout(*_grid(spark, d), "stamp").select("slide_id", "patch_idx", "x_um", "y_um", "tile_size_um")
+
+
+@_registered("tile_centres_um", f'SELECT label::VARCHAR AS slide_id, vec_id AS patch_idx, col * 224 + 112.0::DOUBLE AS center_x, "row" * 224 + 112.0::DOUBLE AS center_y, (col * 224 + 112.0::DOUBLE) * 0.5 + 10 AS x_um, ("row" * 224 + 112.0::DOUBLE) * 0.25 AS y_um FROM ({CELLS})')
+def tile_centres_um(spark: SparkSession, d: str) -> DataFrame:
+    patches, _, grids = _grid(spark, d)
+    return export.observations(patches.withColumn("tissue_frac", F.lit(1.0)), grids).select("slide_id", "patch_idx", "center_x", "center_y", "x_um", "y_um")
+
+
+@_registered(
+    "tile_shapes",
+    f"""WITH c AS (SELECT label::VARCHAR AS slide_id, vec_id AS patch_idx, col * 224 AS x, "row" * 224 AS y FROM ({CELLS})), w AS (SELECT *, length(max(greatest(x, y)) OVER (PARTITION BY slide_id)::VARCHAR) AS w FROM c)
+SELECT slide_id, patch_idx, lpad(x::VARCHAR, w::INT, '0') || '_' || lpad(y::VARCHAR, w::INT, '0') AS instance_id, 'POLYGON ((' || x || ' ' || y || ', ' || (x + 224) || ' ' || y || ', ' || (x + 224) || ' ' || (y + 224) || ', ' || x || ' ' || (y + 224) || ', ' || x || ' ' || y || '))' AS geometry FROM w""",
+)
+def tile_shapes(spark: SparkSession, d: str) -> DataFrame:
+    patches, _, grids = _grid(spark, d)
+    return export.tiles(patches, grids).select("slide_id", "patch_idx", "instance_id", "geometry")
+
+
+@_registered(
+    "geojson_lines",
+    f"""WITH c AS (SELECT label::VARCHAR AS slide_id, vec_id AS patch_idx, col * 224 AS x, "row" * 224 AS y FROM ({CELLS}))
+SELECT slide_id, patch_idx, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[[' || x || ',' || y || '],[' || (x + 224) || ',' || y || '],[' || (x + 224) || ',' || (y + 224) || '],[' || x || ',' || (y + 224) || '],[' || x || ',' || y || ']]]}},"properties":{{"objectType":"tile"}}}}' AS feature FROM c""",
+)
+def geojson_lines(spark: SparkSession, d: str) -> DataFrame:
+    return export.geojson_lines(_grid(spark, d)[0], F.lit(224))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"mean_pool": mean_pool}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"mean_pool": MEAN_POOL_SQL}
+    return dict(_sql)

@@ -12,6 +12,7 @@ from urllib.parse import unquote, unquote_plus, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tissuelake.functions.numerics import general
 
@@ -70,7 +71,7 @@ def source_uri_of(source: str) -> str:
     return f"file://{os.path.abspath(source)}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def source_uri(sources: pd.Series) -> pd.Series:
     return sources.map(lambda s: None if s is None else source_uri_of(s))
 
@@ -91,7 +92,7 @@ def redacted(text: str) -> str:
     return re.sub(_URI + rf"(?:(?!{_URI})[^\s\"<>`])+", _bare, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redact_text(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else redacted(s))
 
@@ -105,7 +106,7 @@ def redacted_value(value: object, by_key: bool = True) -> object:
     return redacted(value) if isinstance(value, str) else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redact_json(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else json.dumps(redacted_value(json.loads(s)), sort_keys=True))
 
@@ -132,7 +133,7 @@ def slide_id_of(source: str) -> str:
     return f"{name}-{hashlib.sha256(key.encode()).hexdigest()[:16]}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def slide_id(sources: pd.Series) -> pd.Series:
     return sources.map(lambda s: None if s is None else slide_id_of(s))
 

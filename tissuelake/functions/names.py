@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Marker synonyms and nuclear stains.
 MARKER_SYNONYMS = {"PANCYTOKERATIN": "CYTOKERATIN", "PANCK": "CYTOKERATIN", "CK": "CYTOKERATIN", "GRANZYMEB": "GZMB", "GRANZYMEA": "GZMA", "CLA": "CD162", "PSGL1": "CD162"}
 NUCLEAR = ("dapi", "hoechst", "hochst", "dna")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def identity(names: pd.Series) -> pd.Series:
     """Names that mean the same channel become equal: compatibility form, trimmed, case folded."""
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).strip().casefold())
