@@ -5,11 +5,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -88,12 +89,28 @@ def forget() -> None:
     """Give back what earlier operators left in this worker's memory."""
     if _remembered:
         _remembered.clear()
-        gc.collect()
-        import pyarrow as pa
+        trim()
 
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+def trim() -> None:
+    """Hand freed memory back to the system, which else stays with a worker while it waits for its next task."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function of batches that trims once its task is over."""
+
+    @functools.wraps(run)
+    def go(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return go
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

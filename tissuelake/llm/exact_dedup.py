@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import SPACES, forget
+from tissuelake.llm.common import SPACES, forget, trimmed
 
 #: Text bytes that a trie holds before it hands its finished subtrees on.
 TRIE_BYTES = 24 << 20
@@ -73,6 +73,7 @@ def _shared(label: bytes, key: bytes, at: int) -> int:
     return low
 
 
+@trimmed
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Copies within one input partition meet in a trie, so that a group sends a row for each trie at most."""
     forget()
@@ -104,6 +105,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["n_bytes", "sha", "norm", "keep_id", "members"])
 
 
+@trimmed
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The owner of a partition; rows come sorted by length and hash, so that a passed key's subtree is finished."""
     trie, last = PatriciaTrie(), None

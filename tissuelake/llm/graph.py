@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import written
+from tissuelake.llm.common import trimmed, written
 
 #: Links that one local contraction holds.
 LOCAL_LINKS = 1 << 20
 
 
+@trimmed
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A forest of the links seen: each node but a root with its tree's smallest node."""
     up: dict[int, int] = {}

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import no_threads, remembered, written
+from tissuelake.llm.common import no_threads, remembered, trimmed, written
 
 #: The classifier is fitted on this many labelled documents of each language at most, those of smallest id hash.
 SAMPLE_DOCS = 1000
@@ -173,6 +173,7 @@ def learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_d
         ids = F.broadcast(ids)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null").join(ids, "doc", "left_semi").select("lang", "text")
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_threads()
         for whole in batches:
@@ -207,6 +208,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     predict = _predictor(docs, id_col, text_col, lang_col, sample_docs, path)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -250,6 +252,7 @@ def identified_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     predict = _predictor(docs, id_col, text_col, lang_col, sample_docs, path)
     place = docs.columns.index(text_col)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):

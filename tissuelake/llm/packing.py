@@ -13,14 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import no_threads, ranges, remembered, written
+from tissuelake.llm.common import no_threads, ranges, remembered, trimmed, written
 
 #: Branch-and-bound nodes for one bin; the best-fit incumbent stands when they are used up.
 NODES = 400
 #: Parts that the pieces of one length are numbered in.
 PARTS = 32
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_PIECES}, sequence_id long, offset long"
@@ -117,11 +117,12 @@ def token_pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col
     """doc_id, piece, start, length and ids_crc32 of each piece of at most capacity tokens; id 0 ends a document."""
     path = path or vocabulary_path()
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
                 ids, counts = tokenizer.texts(batch["text"])
                 rows: list[tuple] = []
                 done = 0

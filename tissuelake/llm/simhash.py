@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import forget, written
+from tissuelake.llm.common import forget, trimmed, written
 from tissuelake.llm.graph import components
 
 BITS = 64
@@ -51,6 +51,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc and fp of each row."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
@@ -63,6 +64,7 @@ def fingerprints(docs: DataFrame, k: int = 4, id_col: str = "doc_id", text_col:
 def bit_counts(points: DataFrame) -> tuple[int, np.ndarray]:
     """How many points there are, and how many have both bits i and j, from sums over all points."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, both = 0, np.zeros((BITS, BITS))
         for batch in batches:
@@ -213,6 +215,7 @@ def near_groups(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc
 def sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """doc, fp and sketch (the SKETCH smallest different 32-bit shingle hashes, packed) of each row."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
@@ -239,6 +242,7 @@ def sketch_similarity(a: bytes, b: bytes) -> float:
 def _similar(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sketches are similar enough."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [sketch_similarity(x, y) >= similarity for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import RollingHash, bucketed, mix, ranges, string_bytes, written
+from tissuelake.llm.common import RollingHash, bucketed, mix, ranges, string_bytes, trimmed, written
 from tissuelake.llm.lm import leading, squeeze, unsqueeze
 
 #: Bytes of a unit of whole documents, of units in one bucket of their table, and suffixes in one ranking partition.
@@ -281,6 +281,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         keys, _, (least,) = _by_key(ranks, (np.minimum, doc))
         return [(keys, 64, less(least, base), np.zeros(len(keys), np.uint64))]
 
+    @trimmed
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
