@@ -50,6 +50,13 @@ class Store:
         names = [c.split()[0] for c in _columns(schema)]
         rows.select(*names).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.path}/{table}")
 
+    def replace_models(self, rows: DataFrame) -> None:
+        """Append vectors and, first, take those of the same slide, grid and model but another digest out of sight.
+
+        Commit rows carry a digest, and features() shows committed digests only; older files stay until compaction.
+        """
+        self.append("features", rows)
+
     def features(self, grid_key: str | None = None, model: str | None = None) -> DataFrame:
         """Committed vectors; grid_key and model prune partitions."""
         rows = self.raw("features")
