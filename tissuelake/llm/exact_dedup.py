@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tissuelake.llm.common import SPACES, forget, trimmed
@@ -128,6 +128,14 @@ def _owner_rows(trie: PatriciaTrie) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), pa.array(smallest, pa.int64()), pa.array(members, pa.int64())], names=["sha", "keep_id", "group_size"])
 
 
+def _normal(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
+
+
+def _digest(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm.cast("binary"), 256))
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -141,8 +149,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row for each of those tries at most. An owner inserts the full byte strings into one trie; Spark sorts its rows
     by length and hash (and spills that sort), so that subtrees of passed keys are finished and leave memory.
     """
-    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc"), norm.alias("norm")).select("doc", "norm", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc"), _normal(text_col).alias("norm")).select("doc", "norm", _digest(F.col("norm")).alias("sha"))
     terminals = keyed.select("doc", F.col("norm").cast("binary").alias("norm"), "sha").mapInArrow(_combine, _TERMINALS)
     owners = terminals.repartition("n_bytes", "sha").sortWithinPartitions("n_bytes", "sha").mapInArrow(_own, _OWNERS)
     again = Window.partitionBy("sha", "doc").orderBy(F.lit(0))
@@ -158,8 +165,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups() drops; the columns stay."""
-    groups = exact_groups(docs, id_col, text_col)
-    kept = groups.where("kept").select(F.col("doc_id").alias("_keep"))
-    stay = docs.join(kept, docs[id_col].eqNullSafe(kept["_keep"]), "left_semi")
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep_id"), F.unhex("text_sha256").alias("_keep_sha"))
+    marked = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_sha": _digest(_normal(text_col))})
+    stay = marked.join(kept, F.col("_own_id").eqNullSafe(F.col("_keep_id")) & (F.col("_own_sha") == F.col("_keep_sha")), "left_semi")
     repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return stay.dropDuplicates([id_col]) if repeated else stay
+    return (stay.dropDuplicates(["_own_id", "_own_sha"]) if repeated else stay).drop("_own_id", "_own_sha")

@@ -48,7 +48,9 @@ def words_of(texts: pa.Array) -> pa.Array:
     longest = rf"(\p{{L}}{{{WORD_LETTERS}}})"
     if pc.any(pc.match_substring_regex(cleaned, longest)).as_py():
         cleaned = pc.replace_substring_regex(cleaned, longest, r"\1 ")
-    return pc.ascii_split_whitespace(pc.utf8_trim(cleaned, " "))
+    cleaned = pc.utf8_trim(cleaned, " ")
+    # Splitting an empty string gives one empty word; a null gives none.
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(cleaned, ""), pa.scalar(None, cleaned.type), cleaned))
 
 
 class Pieces:

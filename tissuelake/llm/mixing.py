@@ -143,7 +143,10 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_docs: int
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """docs as the mix has them: each document as often as it is taken, in shuffled shards; the columns stay."""
-    decided = mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("passes").alias("_passes"), F.first("shard").alias("_shard"), F.first("position").alias("_at"))
+    """docs as the mix has them: each document as often as it is taken; the columns stay.
+
+    Rows that share an id are taken as often as the most taken of them.
+    """
+    decided = mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("passes").alias("_passes"))
     repeated = docs.join(decided.where("_passes > 0"), docs[id_col].eqNullSafe(decided["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes"))))
     return repeated.select(*docs.columns)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -139,13 +139,14 @@ def best_filling(room: int, lengths: list[int], left: dict[int, int]) -> list[in
     """The lengths that fill room with least waste, largest first.
 
     A depth-first search over fillings in descending order, which meets dominating ones (a larger piece in place of
-    smaller ones) first. The first descent is best fit, the first incumbent. A branch is cut when all that is left
-    of it can't waste less than the incumbent; a filling without waste ends the search.
+    smaller ones) first. The first descent is best fit, the first incumbent. A branch is cut when all pieces of its
+    lengths together can't waste less than the incumbent; a filling without waste ends the search.
     """
     best: list[int] = []
     best_waste = room + 1
     nodes = 0
     taken: list[int] = []
+    sums = list(accumulate(x * left[x] for x in lengths))
 
     def search(space: int, high: int) -> bool:
         nonlocal best, best_waste, nodes
@@ -155,19 +156,13 @@ def best_filling(room: int, lengths: list[int], left: dict[int, int]) -> list[in
         if not best_waste or nodes > NODES:
             return True
         k = min(high, bisect_right(lengths, space) - 1)
-        while k >= 0:
+        while k >= 0 and space - sums[k] < best_waste:
             x = lengths[k]
-            n = left[x] - taken.count(x)
-            if n > 0:
-                most = min(n, space // x)
-                # All that pieces of at most x can still fill; smaller ones come later in this loop.
-                if space - x >= best_waste and k and lengths[0] > space - x:
-                    return False  # a single, ever smaller piece fits beside what is taken
-                if most:
-                    taken.append(x)
-                    if search(space - x, k):
-                        return True
-                    taken.pop()
+            if left[x] > taken.count(x):
+                taken.append(x)
+                if search(space - x, k):
+                    return True
+                taken.pop()
             k -= 1
         return False
 
@@ -175,21 +170,32 @@ def best_filling(room: int, lengths: list[int], left: dict[int, int]) -> list[in
     return best
 
 
-def plan(counts: dict[int, int], capacity: int) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
-    """Runs (first rank, how many, first sequence, offset) for each length, and the number of sequences.
+Runs = dict[int, list[tuple[int, int, int, int]]]
 
-    The plan works on counts of lengths alone, of which there are at most capacity: a filling is found around the
-    largest length left, and made as often as the counts allow.
-    """
+
+def best_fit(room: int, lengths: list[int], left: dict[int, int]) -> list[int]:
+    """The largest length that fits, again and again."""
+    filling: list[int] = []
+    k = bisect_right(lengths, room) - 1
+    while k >= 0:
+        x = lengths[k]
+        n = min(left[x], room // x)
+        filling += [x] * n
+        room -= n * x
+        k = min(k - 1, bisect_right(lengths, room) - 1)
+    return filling
+
+
+def _planned(counts: dict[int, int], capacity: int, fill: Callable[[int, list[int], dict[int, int]], list[int]]) -> tuple[Runs, int]:
     left = {x: n for x, n in counts.items() if n}
     used = dict.fromkeys(left, 0)
-    runs: dict[int, list[tuple[int, int, int, int]]] = {x: [] for x in left}
+    runs: Runs = {x: [] for x in left}
     lengths = sorted(left)
     sequence = 0
     while lengths:
         largest = lengths[-1]
         left[largest] -= 1
-        filling = [largest, *best_filling(capacity - largest, lengths, left)]
+        filling = [largest, *fill(capacity - largest, lengths, left)]
         left[largest] += 1
         need = {x: filling.count(x) for x in filling}
         times = min(left[x] // n for x, n in need.items())
@@ -206,6 +212,20 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[dict[int, list[tuple[in
     return runs, sequence
 
 
+def plan(counts: dict[int, int], capacity: int) -> tuple[Runs, int]:
+    """Runs (first rank, how many, first sequence, offset) for each length, and the number of sequences.
+
+    The plan works on counts of lengths alone, of which there are at most capacity: a filling is found around the
+    largest length left, and made as often as the counts allow. Best fit is the incumbent of the whole plan, too: it
+    stands unless bin completion needs fewer sequences.
+    """
+    completed = _planned(counts, capacity, best_filling)
+    if completed[1] * capacity - sum(x * n for x, n in counts.items()) < capacity:
+        return completed  # no plan has fewer
+    incumbent = _planned(counts, capacity, best_fit)
+    return completed if completed[1] <= incumbent[1] else incumbent
+
+
 def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
