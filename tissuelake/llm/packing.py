@@ -20,7 +20,7 @@ NODES = 400
 #: Parts that the pieces of one length are numbered in.
 PARTS = 32
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_PIECES}, sequence_id long, offset long"
@@ -67,32 +67,26 @@ class WordTokenizer:
         self.known.update(zip(words, range(n, n + len(words)), strict=True))
         self.used = total
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """The place in the memory of each of some different words."""
-        known = self.known
-        if len(known) > CACHE_WORDS:
+    def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The places in the memory of each word without punctuation that ends it, and of that punctuation."""
+        if len(self.known) > CACHE_WORDS:
             self.forget()
-            known = self.known
-        new = [w for w in words if w not in known]
-        bare, ended = {}, []
-        for w in new:
-            stem = w.rstrip(".,;:!?%*#&$")
-            if stem and len(stem) < len(w) and stem[-1].isalpha():
-                ended.append((w, stem))
-                bare[stem] = bare[w[len(stem) :]] = None
-            else:
-                bare[w] = None
-        wanted = [w for w in bare if w not in known]
+        known = self.known
+        stems, tails = [], []
+        for w in words:
+            if w not in known:
+                stem = w.rstrip(".,;:!?%*#&$")
+                if stem and len(stem) < len(w) and stem[-1].isalpha():
+                    stems.append(stem)
+                    tails.append(w[len(stem) :])
+                    continue
+            stems.append(w)
+            tails.append("")
+        wanted = [w for w in dict.fromkeys(chain(stems, tails)) if w not in known]
         for k in range(0, len(wanted), 20_000):
             some = wanted[k : k + 20_000]
             self.add(some, [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
-        if ended:
-            ids = []
-            for w, stem in ended:
-                i, j = known[stem], known[w[len(stem) :]]
-                ids.append([*self.pool[self.at[i] : self.at[i] + self.size[i]].tolist(), *self.pool[self.at[j] : self.at[j] + self.size[j]].tolist()])
-            self.add([w for w, _ in ended], ids)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return tuple(np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in (stems, tails))
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and how many each text has."""
@@ -101,9 +95,11 @@ class WordTokenizer:
         per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         if not len(flat):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        at = self.numbers(flat.dictionary.to_pylist())[flat.indices.to_numpy(zero_copy_only=False)]
-        lengths = self.size[at]
-        ids = self.pool[ranges(self.at[at], lengths)]
+        stems, tails = self.numbers(flat.dictionary.to_pylist())
+        at = flat.indices.to_numpy(zero_copy_only=False)
+        both = np.stack([stems[at], tails[at]], axis=1).ravel()
+        ids = self.pool[ranges(self.at[both], self.size[both])]
+        lengths = (self.size[stems] + self.size[tails])[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(per_text)]
         return ids, np.diff(ends, prepend=0)
 
@@ -121,8 +117,8 @@ def token_pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 250):
-                batch = whole.slice(at, 250)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 ids, counts = tokenizer.texts(batch["text"])
                 rows: list[tuple] = []
                 done = 0

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import forget, trimmed, written
+from tissuelake.llm.common import forget, mix, trimmed, written
 from tissuelake.llm.graph import components
 
 BITS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Cost of dealing one probe, in units of verifying one candidate.
 PROBE_COST = 60.0
-#: Shingle hashes of a sketch.
-SKETCH = 256
+#: Shingle hashes of a sketch; bits in which the second fingerprints of similar texts may differ.
+SKETCH, SECOND_BITS = 256, 16
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -160,12 +160,12 @@ def _signed(mask: int) -> int:
     return mask - 2**64 if mask >= 2**63 else mask
 
 
-def near_pairs(points: DataFrame, radius: int, group_col: str | None = None) -> DataFrame:
+def near_pairs(points: DataFrame, radius: int, carried: tuple[str, ...] = (), agree: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """All pairs a < b of distinct points(fp) that differ in at most radius bits, each once.
 
-    With group_col, only pairs whose groups differ. Points meet where their bits of a part, some of them flipped on
-    one side, are equal; the join's own condition verifies the distance and takes a pair in the first part only that
-    finds it, so that no candidates leave the join.
+    With agree, only pairs for which it holds of the structs of their carried columns. Points meet where their bits of
+    a part, some of them flipped on one side, are equal; the join's own condition verifies the distance and takes a
+    pair in the first part only that finds it, so that no candidates leave the join.
     """
     n, both = bit_counts(points)
     if n < 2:
@@ -173,12 +173,11 @@ def near_pairs(points: DataFrame, radius: int, group_col: str | None = None) ->
     parts = [(sum(1 << b for b in part), part, t) for part, t in allocate(n, both, radius) if t >= 0]
     flips = [[_signed(sum(1 << b for b in some)) for d in range(t + 1) for some in combinations(part, d)] for _, part, t in parts]
     long_of = lambda x: F.lit(x).cast("long")
-    extra = [group_col] if group_col else []
-    kept = [F.col(group_col).alias("g")] if group_col else []
-    index = points.select("fp", *extra).select(F.explode(F.array(*(F.struct(F.lit(k).cast("byte").alias("part"), F.col("fp").bitwiseAND(long_of(_signed(mask))).alias("key")) for k, (mask, _, _) in enumerate(parts)))).alias("x"), F.col("fp").alias("b"), *kept)
-    probes = points.select("fp", *extra).select(F.explode(F.array(*(F.struct(F.lit(k).cast("byte").alias("part"), F.array(*map(long_of, f)).alias("flips"), F.col("fp").bitwiseAND(long_of(_signed(mask))).alias("key")) for k, ((mask, _, _), f) in enumerate(zip(parts, flips, strict=True))))).alias("x"), F.col("fp").alias("a"), *kept)
-    probes = probes.select(F.col("x.part").alias("part"), F.col("x.key").alias("base"), F.explode("x.flips").alias("flip"), "a", *(["g"] if group_col else [])).select("part", F.col("base").bitwiseXOR(F.col("flip")).alias("key"), "a", *([F.col("g").alias("ga")] if group_col else []))
-    index = index.select(F.col("x.part").alias("part"), F.col("x.key").alias("key"), "b", *([F.col("g").alias("gb")] if group_col else []))
+    own = F.struct(*carried) if carried else F.lit(None).cast("boolean")
+    key = lambda mask: F.col("fp").bitwiseAND(long_of(_signed(mask))).alias("key")
+    index = points.select(F.explode(F.array(*(F.struct(F.lit(k).cast("byte").alias("part"), key(mask)) for k, (mask, _, _) in enumerate(parts)))).alias("x"), F.col("fp").alias("b"), own.alias("own_b")).select("x.part", "x.key", "b", "own_b")
+    each = F.array(*(F.struct(F.lit(k).cast("byte").alias("part"), F.array(*map(long_of, f)).alias("flips"), key(mask)) for k, ((mask, _, _), f) in enumerate(zip(parts, flips, strict=True))))
+    probes = points.select(F.explode(each).alias("x"), F.col("fp").alias("a"), own.alias("own_a")).select("x.part", F.col("x.key").alias("base"), F.explode("x.flips").alias("flip"), "a", "own_a").select("part", F.col("base").bitwiseXOR(F.col("flip")).alias("key"), "a", "own_a")
     apart = F.col("a").bitwiseXOR(F.col("b"))
     earlier = F.lit(True)
     for k in range(1, len(parts)):
@@ -187,8 +186,8 @@ def near_pairs(points: DataFrame, radius: int, group_col: str | None = None) ->
             missed = missed & (F.bit_count(apart.bitwiseAND(long_of(_signed(mask)))) > t)
         earlier = earlier & ((F.col("p.part") != k) | missed)
     condition = (F.col("p.part") == F.col("i.part")) & (F.col("p.key") == F.col("i.key")) & (F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius) & earlier
-    if group_col:
-        condition = condition & (F.col("ga") != F.col("gb"))
+    if agree is not None:
+        condition = condition & agree(F.col("own_a"), F.col("own_b"))
     return probes.alias("p").join(index.alias("i"), condition).select("a", "b")
 
 
@@ -213,20 +212,22 @@ def near_groups(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc
 
 
 def sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, fp and sketch (the SKETCH smallest different 32-bit shingle hashes, packed) of each row."""
+    """doc, fp, fp2 (of other hashes), n (different shingles) and sketch (the SKETCH smallest hashes) of each row."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            prints, sketches = [], []
-            for t in batch["text"]:
+            rows = []
+            for doc, t in zip(batch["doc"].to_pylist(), batch["text"], strict=True):
                 h = shingle_hashes(t.as_py(), k)
-                prints.append(fingerprint(h))
-                sketches.append(np.unique((h >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes())
-            yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())], names=["doc", "fp", "sketch"])
+                different = np.unique((h >> np.uint64(32)).astype("<u4"))
+                rows.append((doc, fingerprint(h), fingerprint(mix(h)), len(different), different[:SKETCH].tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "fp", "fp2", "n", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, fp long, sketch binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, fp long, fp2 long, n int, sketch binary")
 
 
 def sketch_similarity(a: bytes, b: bytes) -> float:
@@ -253,22 +254,29 @@ def _similar(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, radius: int = 12, similarity: float = 0.8, close: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, radii: tuple[int, ...] = (4, 6, 8, 10), similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc and component_id (its smallest id) of each row: groups linked by similar sets of k-word shingles.
 
-    Candidates are pairs of fingerprints that differ in at most radius bits, and a candidate links if its sketches
-    have the similarity. Rows of one fingerprint are one point. A first search at `close` bits joins what lies close
-    together, so that the second emits only pairs that join different groups. Of the text pairs with similarity of
-    0.8 or more, a radius of 12 has 99 % within reach on the test tables, one of 10 has 96 % and one of 8 has 93 %.
+    Candidates are pairs of fingerprints that differ in at most radii[-1] bits, whose second fingerprints (of other
+    hashes of the same shingles) differ in at most SECOND_BITS and whose numbers of shingles allow the similarity. A
+    candidate links if its sketches have the similarity. Rows of one fingerprint are one point. The radius grows step
+    by step, and only pairs that join different groups are emitted, so that close groups cost few pairs. Of the text
+    pairs with similarity of 0.8 or more, a radius of 10 has 96 % within reach on the test tables.
     """
     prints = written(sketched(docs, k, id_col, text_col), "sketches")
-    points = written(prints.groupBy("fp").agg(F.min("doc").alias("least"), F.min("sketch").alias("sketch")), "points")
-    first = written(_similar(near_pairs(points.select("fp"), close), points, similarity), "pairs")
-    group = components(first)
-    grouped = written(points.select("fp").join(group, points["fp"] == group["node"], "left").select("fp", F.coalesce("component", "fp").alias("top")), "grouped")
-    second = _similar(near_pairs(grouped, radius, "top"), points, similarity)
-    linked = components(first.unionByName(second))
-    joined = points.select("fp", "least").join(linked, points["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("top"))
+    points = written(prints.groupBy("fp").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "fp2", "n", "sketch")).alias("s")).select("fp", "least", "s.fp2", "s.n", "s.sketch"), "points")
+
+    def agree(a: Column, b: Column) -> Column:
+        alike = F.bit_count(a["fp2"].bitwiseXOR(b["fp2"])) <= SECOND_BITS
+        return (a["top"] != b["top"]) & alike & (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]))
+
+    grouped, linked = points.select("fp", "fp2", "n", F.col("fp").alias("top")), None
+    for radius in radii:
+        found = _similar(near_pairs(grouped, radius, ("fp2", "n", "top"), agree), points, similarity)
+        links = found if linked is None else found.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        linked = components(links)
+        grouped = written(points.select("fp", "fp2", "n").join(linked, points["fp"] == linked["node"], "left").select("fp", "fp2", "n", F.coalesce("component", "fp").alias("top")), "grouped")
+    joined = grouped.select("fp", "top").join(points.select("fp", "least"), "fp")
     tops = joined.groupBy("top").agg(F.min("least").alias("component_id"))
     of = joined.select("fp", "top").join(tops, "top").select("fp", "component_id")
     return prints.select("doc", "fp").join(of, "fp").select("doc", "component_id")
