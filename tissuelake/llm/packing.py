@@ -88,20 +88,23 @@ class WordTokenizer:
             self.add(some, [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
         return tuple(np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in (stems, tails))
 
-    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after the other, and how many each text has."""
+    def texts(self, texts: pa.Array, step: int = 250) -> Iterator[np.ndarray]:
+        """The ids of each text; words are looked up for all texts at once, ids gathered for some at a time."""
         words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         flat = words.flatten().dictionary_encode()
-        per_text = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        if not len(flat):
-            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
         stems, tails = self.numbers(flat.dictionary.to_pylist())
-        at = flat.indices.to_numpy(zero_copy_only=False)
-        both = np.stack([stems[at], tails[at]], axis=1).ravel()
-        ids = self.pool[ranges(self.at[both], self.size[both])]
-        lengths = (self.size[stems] + self.size[tails])[at]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(per_text)]
-        return ids, np.diff(ends, prepend=0)
+        size = self.size[stems] + self.size[tails]
+        indices = flat.indices.to_numpy(zero_copy_only=False)
+        for first in range(0, len(texts), step):
+            own = ends[first : first + step]
+            begin = ends[first - 1] if first else 0
+            at = indices[begin : own[-1]]
+            both = np.stack([stems[at], tails[at]], axis=1).ravel()
+            ids = self.pool[ranges(self.at[both], self.size[both])]
+            stops = np.concatenate([[0], np.cumsum(size[at])])[own - begin].tolist()
+            for start, stop in zip([0, *stops], stops, strict=False):
+                yield ids[start:stop]
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -117,14 +120,11 @@ def token_pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                ids, counts = tokenizer.texts(batch["text"])
+            for at in range(0, whole.num_rows, 3000):
+                batch = whole.slice(at, 3000)
                 rows: list[tuple] = []
-                done = 0
-                for doc, n in zip(batch["doc"].to_pylist(), counts.tolist(), strict=True):
-                    own = np.append(ids[done : done + n], np.uint32(0)).astype("<u4")
-                    done += n
+                for doc, ids in zip(batch["doc"].to_pylist(), tokenizer.texts(batch["text"]), strict=True):
+                    own, n = np.append(ids, np.uint32(0)).astype("<u4"), len(ids)
                     rows.extend((doc, k, s, min(capacity, n + 1 - s), zlib.crc32(own[s : s + capacity].tobytes())) for k, s in enumerate(range(0, n + 1, capacity)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
