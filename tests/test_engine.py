@@ -510,3 +510,59 @@ def test_cli(tmp_path, capsys):
     assert cli.main(["sample", path, "--size", "256"]) == 0 and os.path.exists(path)
     assert cli.main(["info", path]) == 0 and "256 x 256" in capsys.readouterr().out
     assert cli.main(["models"]) == 0
+
+
+def test_quality_and_stored_pooling(spark, slide, tmp_path):
+    from tissuelake.plans.resume import complete_tools
+
+    store = Store(spark, str(tmp_path / "q"))
+    manifest = spark.createDataFrame([(slide, None)], "path string, source_mpp double")
+    pipeline.run(spark, store, manifest, [(Request(("mean",), 1.0, 64), [E.MeanEmbedder("mean")])])
+    pipeline.score_quality(spark, store, pipeline.slides_of(spark, manifest))
+    qc = store.raw("qc")
+    assert qc.count() == store.raw("patches").count()
+    assert complete_tools(qc, store.raw("patches"), store.raw("qc_status")).count() == 1
+    assert all(0 <= v <= 1 for r in qc.collect() for v in r.scores.values())
+    for _ in range(2):
+        pipeline.pool_stored(store, store.grid(), "max", "max")
+    assert store.raw("slide_vectors").count() == 1
+
+
+def test_large_levels_are_averaged(spark, slide):
+    slides = pipeline.slides_of(spark, spark.createDataFrame([(slide, None)], "path string, source_mpp double"))
+    whole, half = (pipeline.coarse_images(spark, slides, 0.5, most=m).first() for m in (512, 256))
+    assert (whole.width, half.width, half.mask_downsample) == (512, 256, 2.0)
+    a = np.frombuffer(whole.pixels, np.uint8).reshape(512, 512, 3).astype(float).reshape(256, 2, 256, 2, 3).mean(axis=(1, 3))
+    assert np.abs(np.frombuffer(half.pixels, np.uint8).reshape(256, 256, 3) - a).max() <= 1
+
+
+def test_marker_embedding(spark):
+    draw = np.random.default_rng(9)
+    image = draw.integers(0, 1000, (64, 64, 2)).astype(np.uint16)
+    patches = spark.createDataFrame([("s", 3, 64, 64, 2, "uint16", bytearray(image.tobytes()))], "slide_id string, patch_idx long, height int, width int, channels int, dtype string, pixels binary")
+    markers = spark.createDataFrame([("s", 0, 1, 0.0, 999.0), ("s", 1, 0, 0.0, 999.0)], "slide_id string, position int, source_index int, low double, high double")
+    joined = multiplex.embed_markers(patches, markers, [E.MeanEmbedder("m")], "concat").first()
+    assert joined.patch_idx == 3 and len(joined.vec) == 16
+    want = (np.rint(image[..., 1] / 999 * 255) / 255).mean() * 2 - 1
+    assert joined.vec[0] == pytest.approx(want, abs=2e-3)
+    assert multiplex.embed_markers(patches, markers, [E.MeanEmbedder("m")]).first().vec[0] == pytest.approx((joined.vec[0] + joined.vec[8]) / 2, abs=1e-6)
+    assert multiplex.effective_key("m", "mean", {"a": 1}) != multiplex.effective_key("m", "mean", {"a": 2})
+
+
+def test_channel_names_fill_blanks(spark):
+    panel = spark.createDataFrame([("s", 0, "DAPI"), ("s", 1, "")], "slide_id string, source_index int, source_name string")
+    assert [r.source_name for r in multiplex.named_channels(panel, ["dapi", "CD3"]).orderBy("source_index").collect()] == ["DAPI", "CD3"]
+    for bad in (["CD8", "CD3"], ["DAPI"], ["DAPI", "CD3", "CD4"]):
+        with pytest.raises(Exception, match="channel names"):
+            multiplex.named_channels(panel, bad).collect()
+
+
+def test_plugins_and_provenance():
+    from tissuelake.plans import plugins, provenance
+
+    plugins.register("embedders", "own")(dict)
+    assert plugins.get("embedders", "own") is dict and "otsu" in plugins.available("segmenters")
+    with pytest.raises(KeyError):
+        plugins.get("embedders", "none")
+    assert provenance.safe_arguments(["embed", "https://u:p@h/a", "--hf-token", "x", "--api-key=y"]) == ["embed", "https://h/a", "--hf-token", "<redacted>", "--api-key=<redacted>"]
+    assert provenance.sidecar("s", "geojson", "g", "g") == "s.geojson" and provenance.sidecar("s", "geojson", "h", "g") == "s.h.geojson"

@@ -1,4 +1,4 @@
-"""Command line: info, sample, embed, embed-many, slide-embed, verify, validate, compare, export, thumbnail, models."""
+"""Command line: info, sample, embed, embed-many, slide-embed, verify, quality, validate, compare, export, thumbnail, models."""
 
 from __future__ import annotations
 
@@ -46,6 +46,10 @@ def _parser() -> argparse.ArgumentParser:
         e.add_argument("--shard-count", type=int, default=1)
         e.add_argument("--force", action="store_true")
     add("validate", "store")
+    se = add("slide-embed", "store")
+    se.add_argument("--pool", action="append", required=True, choices=("mean", "max", "meanmax"))
+    se.add_argument("--grid")
+    add("quality", "slides", "store")
     add("compare", "a", "b")
     x = add("export", "store", "out")
     x.add_argument("--layout", default="trident", choices=(*export.LAYOUTS, "tiles", "geojson"))
@@ -120,6 +124,16 @@ def _run(spark, a) -> int:
         for r in found:
             print(f"{r['slide_id']} {r['grid_key']}: {r['violation']}")
         return int(bool(found))
+    if a.command == "slide-embed":
+        s = Store(spark, a.store)
+        key = s.grid(a.grid)
+        for how in a.pool:
+            pipeline.pool_stored(s, key, how, how)
+        return 0
+    if a.command == "quality":
+        found = spark.createDataFrame([(os.path.join(a.slides, n), None) for n in sorted(os.listdir(a.slides)) if n.endswith(".zarr")], "path string, source_mpp double")
+        pipeline.score_quality(spark, Store(spark, a.store), pipeline.slides_of(spark, found))
+        return 0
     if a.command == "compare":
         keys = ["slide_id", "grid_key", "patch_idx"]
         rows = conformance.compared(Store(spark, a.a).features(), Store(spark, a.b).features(), keys).collect()

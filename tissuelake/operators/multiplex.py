@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tissuelake.functions.identity import canonical_json
 from tissuelake.functions.names import identity, marker_candidates, marker_name, nuclear_kind
+from tissuelake.operators.embed import embed
 
 # Ranges of integer pixel types.
 RANGES = {"uint8": (0, 255), "uint16": (0, 65535), "uint32": (0, 4294967295), "int8": (-128, 127), "int16": (-32768, 32767), "int32": (-2147483648, 2147483647), "bool": (0, 1)}
@@ -92,3 +98,56 @@ def aggregated(marker_vectors: DataFrame, keys: list[str], how: str = "mean") ->
     from tissuelake.operators.pooling import mean_pool
 
     return mean_pool(marker_vectors, keys)
+
+
+def named_channels(panel: DataFrame, names: list[str]) -> DataFrame:
+    """panel with blank source names filled from a complete positional list; a different name or count is an error."""
+    spark = panel.sparkSession
+    given = spark.createDataFrame(list(enumerate(names)), "source_index int, given_ string")
+    joined = panel.join(F.broadcast(given), "source_index", "full")
+    clash = (F.col("source_name") != "") & (identity("source_name") != identity("given_"))
+    wrong = F.col("slide_id").isNull() | F.col("given_").isNull() | clash
+    named = F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit("channel names don't fit the source's")).cast("string")).when(F.coalesce("source_name", F.lit("")) == "", F.col("given_")).otherwise(F.col("source_name"))
+    return joined.select("slide_id", "source_index", named.alias("source_name"))
+
+
+def standardised(unit: Column, mean: Column, std: Column) -> Column:
+    """A marker's unit-interval value by the vocabulary's statistics."""
+    return (unit - mean) / std
+
+
+def effective_key(model: str, how: str, settings: dict) -> str:
+    """Name of a channelwise output; other settings give another name."""
+    return f"{model}__channelwise_{how}_{hashlib.sha256(canonical_json(settings).encode()).hexdigest()[:16]}"
+
+
+def marker_images(patches: DataFrame, markers: DataFrame) -> DataFrame:
+    """One RGB patch a marker: its channel between its bounds on 0..255, repeated three times.
+
+    patches: native pixels as read. markers: slide_id, position, source_index, low, high; a few rows a slide, gathered to
+    an array and joined by slide.
+    """
+    own = markers.groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("position", "source_index", "low", "high"))).alias("markers"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                image = np.frombuffer(r.pixels, r.dtype).reshape(r.height, r.width, r.channels)
+                for m in r.markers:
+                    v = image[..., m["source_index"]].astype(np.float32)
+                    low, high = np.float32(m["low"]), np.float32(m["high"])
+                    v8 = np.rint(np.clip((v - low) / (high - low), 0, 1) * 255).astype(np.uint8)
+                    rows.append((r.slide_id, r.patch_idx, m["position"], r.height, r.width, 3, "uint8", np.repeat(v8[..., None], 3, axis=2).tobytes()))
+            yield pd.DataFrame(rows, columns=["slide_id", "patch_idx", "position", "height", "width", "channels", "dtype", "pixels"])
+
+    return patches.join(own, "slide_id").mapInPandas(run, "slide_id string, patch_idx long, position int, height int, width int, channels int, dtype string, pixels binary")
+
+
+def embed_markers(patches: DataFrame, markers: DataFrame, models: list, how: str = "mean") -> DataFrame:
+    """slide_id, patch_idx, model and vec of native patches: each marker embedded as RGB, then aggregated."""
+    images = marker_images(patches, markers)
+    # A marker's image is a patch of its own; its number tells patch and marker apart.
+    wide = images.withColumn("patch_idx", F.col("patch_idx") * 4096 + F.col("position")).drop("position")
+    vectors = embed(wide, models).withColumn("position", (F.col("patch_idx") % 4096).cast("int")).withColumn("patch_idx", F.expr("patch_idx div 4096"))
+    return aggregated(vectors, ["slide_id", "patch_idx", "model"], how)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,3 +53,42 @@ def usable(features: DataFrame, scores: DataFrame, keys: list[str], keep: Column
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("n_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("n_ = 1").drop("n_")
+
+
+def qc_layer(fractions: DataFrame, tool: str, classes: dict[int, str], usable_class: str = "clean_tissue", least: float = 0.8) -> DataFrame:
+    """The store's quality rows from class shares: scores by class name, the largest class, and whether it is usable."""
+    scores = F.create_map(*(x for k, name in classes.items() for x in (F.lit(name), F.col(f"class_{k}").cast("float"))))
+    best = F.array_max(F.array(*(F.struct(F.col(f"class_{k}").alias("share"), F.lit(-k).alias("k")) for k in classes)))
+    return fractions.select("slide_id", "grid_key", F.col("patch_idx").cast("long").alias("patch_idx"), scores.alias("scores"), (-best["k"]).cast("short").alias("label"), (F.element_at(scores, usable_class) >= F.lit(least).cast("float")).alias("usable"), F.lit(tool).alias("tool"))
+
+
+def rule_classes(image: np.ndarray) -> np.ndarray:
+    """Classes of an RGB image by simple rules, where no trained classifier is plugged in."""
+    from tissuelake.functions.pixels import gaussian, grey, saturation
+
+    level, colour = grey(image).astype(int), saturation(image).astype(int)
+    r, g, b = (image[..., k].astype(int) for k in range(3))
+    v = np.pad(level, 1, mode="edge")
+    detail = np.abs(4 * level - v[:-2, 1:-1] - v[2:, 1:-1] - v[1:-1, :-2] - v[1:-1, 2:])
+    sharp = gaussian(np.minimum(detail, 255).astype(np.uint8), 9)
+    out = np.full(level.shape, 1, np.uint8)
+    out[sharp < 2] = 6
+    out[(colour > 120) & ((b > r + 60) | (g > r + 40))] = 4
+    out[level < 40] = 3
+    out[(level > 220) & (colour < 20)] = 7
+    return out
+
+
+def class_pixels(images: DataFrame, classify=rule_classes) -> DataFrame:
+    """slide_id, rx, ry and cls of coarse images: one row a pixel, for class_fractions()."""
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                cls = classify(np.frombuffer(r.pixels, r.dtype).reshape(r.height, r.width, r.channels))
+                for y in range(0, r.height, 64):
+                    part = cls[y : y + 64]
+                    ry, rx = np.indices(part.shape)
+                    yield pd.DataFrame({"slide_id": r.slide_id, "rx": rx.ravel(), "ry": ry.ravel() + y, "cls": part.ravel().astype(int)})
+
+    return images.mapInPandas(run, "slide_id string, rx long, ry long, cls int")

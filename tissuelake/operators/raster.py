@@ -39,8 +39,9 @@ def class_fractions(patches: DataFrame, class_px: DataFrame, keys: list[str], cl
     """
     n = F.greatest(F.lit(1), half_even(side / downsample))
     rx, ry = half_even((F.col("x") - origin[0]) / downsample), half_even((F.col("y") - origin[1]) / downsample)
-    rows = patches.select(*keys, "patch_idx", rx.alias("rx0"), n.alias("n"), F.explode(F.sequence(ry, ry + n - 1)).alias("ry"))
-    spread = rows.select(*keys, "patch_idx", "ry", F.explode(F.sequence(F.col("rx0"), F.col("rx0") + F.col("n") - 1)).alias("rx"))
+    own = [c for c in (*keys, "grid_key") if c in patches.columns]  # patch numbers are a grid's
+    rows = patches.select(*own, "patch_idx", rx.alias("rx0"), n.alias("n"), F.explode(F.sequence(ry, ry + n - 1)).alias("ry"))
+    spread = rows.select(*own, "patch_idx", "ry", F.explode(F.sequence(F.col("rx0"), F.col("rx0") + F.col("n") - 1)).alias("rx"))
     share = lambda k: (F.count_if(F.col("cls") == k) / F.count("*")).cast("float").alias(f"class_{k}")
-    found = spread.join(class_px, [*keys, "rx", "ry"]).groupBy(*keys, "patch_idx").agg(*map(share, classes))
-    return patches.join(found, [*keys, "patch_idx"], "left").fillna(0.0, [f"class_{k}" for k in classes])
+    found = spread.join(class_px, [*keys, "rx", "ry"]).groupBy(*own, "patch_idx").agg(*map(share, classes))
+    return patches.join(found, [*own, "patch_idx"], "left").fillna(0.0, [f"class_{k}" for k in classes])

@@ -14,6 +14,8 @@ from tissuelake.functions.geometry import nearest_level
 from tissuelake.functions.identity import fingerprint, grid_key
 from tissuelake.functions.pixels import outlined, png, tinted
 from tissuelake.operators import pooling, regions, segment, stain, tiling
+from tissuelake.operators.quality import CLASSES, class_pixels, qc_layer, rule_classes
+from tissuelake.operators.raster import class_fractions
 from tissuelake.operators.embed import Embedder, embed
 from tissuelake.plans import cohort
 from tissuelake.plans.request import SCHEMA_VERSION, Request, run_hash
@@ -50,18 +52,57 @@ def _chunks(spark: SparkSession, slides: DataFrame, levels: list[int]) -> DataFr
     return read_chunks(spark, [r["path"] for r in rows], levels).join(F.broadcast(slides.select("path", "slide_id")), "path").drop("path")
 
 
-def coarse_images(spark: SparkSession, slides: DataFrame, mpp: float = SEGMENT_MPP, rgb: bool = True) -> DataFrame:
-    """The level nearest to a scale of each slide, whole, as one image row with its downsample."""
-    picked = slides.withColumn("read_level", nearest_level(F.col("mpp_level0"), F.col("downsamples"), F.lit(mpp)).cast("int")).withColumn("mask_downsample", F.get("downsamples", F.col("read_level")))
+def _shrunk(chunks: DataFrame, factor: int) -> DataFrame:
+    """Chunk planes averaged over factor x factor pixels; chunk sides are multiples of the factor."""
+    if factor == 1:
+        return chunks
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for data, dtype, h, w in zip(pdf["data"], pdf["dtype"], pdf["h"], pdf["w"], strict=True):
+                v = np.frombuffer(data, dtype).reshape(h, w)
+                v = np.pad(v, ((0, -h % factor), (0, -w % factor)), mode="edge").astype(np.float64)
+                small = v.reshape(v.shape[0] // factor, factor, v.shape[1] // factor, factor).mean(axis=(1, 3))
+                rows.append((np.rint(small) if np.issubdtype(dtype, np.integer) else small).astype(dtype))
+            yield pdf.assign(data=[v.tobytes() for v in rows], h=[v.shape[0] for v in rows], w=[v.shape[1] for v in rows], y0=pdf["y0"] // factor, x0=pdf["x0"] // factor)
+
+    return chunks.mapInPandas(run, chunks.schema)
+
+
+def coarse_images(spark: SparkSession, slides: DataFrame, mpp: float = SEGMENT_MPP, rgb: bool = True, most: int = WHOLE_PX) -> DataFrame:
+    """The level nearest to a scale of each slide, whole, as one image row with its downsample.
+
+    A level with a side over `most` pixels is averaged over blocks of a power of two, chunk by chunk.
+    """
+    picked = slides.withColumn("read_level", nearest_level(F.col("mpp_level0"), F.col("downsamples"), F.lit(mpp)).cast("int"))
     lv = levels_of(slides)
-    windows = regions.read_windows(picked.select("slide_id", "read_level", "mask_downsample", F.lit(0).cast("long").alias("patch_idx"), F.lit(0).alias("x"), F.lit(0).alias("y")), lv).withColumn("lx", F.lit(0).cast("long")).withColumn("ly", F.lit(0).cast("long")).withColumn("read_w", F.col("level_w")).withColumn("read_h", F.col("level_h"))
-    shapes = {r["read_level"]: r["path"] for r in picked.select("read_level", "path").dropDuplicates(["read_level"]).collect()}
+    sized = picked.join(lv.select("slide_id", F.col("level").alias("read_level"), "level_w", "level_h"), ["slide_id", "read_level"])
+    factor = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.greatest("level_w", "level_h") / F.lit(float(most)))).cast("double"))).cast("int")
+    sized = sized.withColumn("factor", factor)
+    small = lambda c: F.ceil(F.col(c) / F.col("factor")).cast("long")
+    windows = sized.select("slide_id", "path", "read_level", "factor", (F.get("downsamples", F.col("read_level")) * F.col("factor")).alias("mask_downsample"), F.lit(0).cast("long").alias("patch_idx"), F.lit(0).cast("long").alias("lx"), F.lit(0).cast("long").alias("ly"), small("level_w").alias("level_w"), small("level_h").alias("level_h")).withColumn("read_w", F.col("level_w")).withColumn("read_h", F.col("level_h"))
     images = None
-    for level, path in sorted(shapes.items()):
-        ch, cw, c = _chunk_shape(path, level)
-        part = regions.assemble(windows.where(F.col("read_level") == level), _chunks(spark, slides, [level]), ch, cw, c, rgb)
+    for r in windows.select("read_level", "factor", "path").dropDuplicates(["read_level", "factor"]).collect():
+        ch, cw, c = _chunk_shape(r["path"], r["read_level"])
+        own = windows.where((F.col("read_level") == r["read_level"]) & (F.col("factor") == r["factor"]))
+        planes = _shrunk(_chunks(spark, own, [r["read_level"]]), r["factor"])
+        part = regions.assemble(own.drop("path", "factor"), planes, max(1, ch // r["factor"]), max(1, cw // r["factor"]), c, rgb)
         images = part if images is None else images.unionByName(part)
-    return images.join(picked.select("slide_id", "mask_downsample"), "slide_id")
+    return images.join(windows.select("slide_id", "mask_downsample"), "slide_id")
+
+
+def score_quality(spark: SparkSession, store: Store, slides: DataFrame, tool: str = "rules", classify=rule_classes, mpp: float = SEGMENT_MPP) -> None:
+    """A quality layer of all patches of a store's slides: classes of a coarse level under each patch, marked complete last."""
+    images = coarse_images(spark, slides, mpp)
+    px = class_pixels(images, classify)
+    patches = store.raw("patches").join(images.select("slide_id", "mask_downsample"), "slide_id").join(store.raw("grids").select("slide_id", "grid_key", "level0_patch"), ["slide_id", "grid_key"])
+    for r in patches.select("mask_downsample").distinct().collect():
+        own = patches.where(F.col("mask_downsample") == r[0])
+        shares = class_fractions(own.drop("mask_downsample"), px, ["slide_id"], list(CLASSES), F.col("level0_patch"), r[0])
+        layer = qc_layer(shares, tool, CLASSES)
+        store.append("qc", layer)
+        store.append("qc_status", layer.select("slide_id", F.lit(tool).alias("tool"), F.lit(True).alias("complete"), "grid_key").distinct())
 
 
 def _corrected(patches: DataFrame, images: DataFrame, method: str) -> DataFrame:
@@ -194,6 +235,16 @@ def _pool(store: Store, request: Request, models: list[Embedder], key: str, how:
         store.append("slide_vectors", vectors.select("slide_id", F.lit(name).alias("output_key"), F.lit(m.name).alias("patch_model"), F.lit(digest_of(m, request)).alias("patch_digest"), F.size("vec").alias("dim"), "vec", "grid_key"))
 
 
+def pool_stored(store: Store, grid_key: str, key: str, how: str) -> None:
+    """Slide vectors by one pooling of every whole model of a grid, of slides that lack them."""
+    whole = complete_models(store.raw("patches"), store.raw("features"), store.raw("outputs").drop("batch").distinct()).where(F.col("grid_key") == grid_key)
+    have = complete_slide_vectors(store.raw("slide_vectors"), whole).where(F.col("output_key").startswith(f"{key}_")).select("slide_id", "grid_key", F.col("patch_model").alias("model"))
+    rows = store.features(grid_key).join(whole, ["slide_id", "grid_key", "model", "digest"], "left_semi").join(have, ["slide_id", "grid_key", "model"], "left_anti")
+    pool = {"mean": pooling.mean_pool, "max": pooling.max_pool, "meanmax": pooling.meanmax_pool}[how]
+    vectors = pool(rows, ["slide_id", "grid_key", "model", "digest"])
+    store.append("slide_vectors", vectors.select("slide_id", F.concat_ws("_", F.lit(key), "model").alias("output_key"), F.col("model").alias("patch_model"), F.col("digest").alias("patch_digest"), F.size("vec").alias("dim"), "vec", "grid_key"))
+
+
 def thumbnail(spark: SparkSession, slides: DataFrame, patches: DataFrame | None, masks: DataFrame | None, mpp: float = SEGMENT_MPP, side: str = "level0_patch") -> DataFrame:
     """slide_id and png: the coarse level with tissue tinted and patches outlined."""
     images = coarse_images(spark, slides, mpp)
