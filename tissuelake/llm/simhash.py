@@ -161,8 +161,8 @@ def _signed(mask: int) -> int:
     return mask - 2**64 if mask >= 2**63 else mask
 
 
-def near_pairs(points: DataFrame, radius: int, carried: tuple[str, ...] = (), agree: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """All pairs a < b of distinct points(fp) that differ in at most radius bits, each once.
+def near_pairs(points: DataFrame, radius: int, carried: tuple[str, ...] = (), agree: Callable[[Column, Column], Column] | None = None, beyond: int = 0) -> DataFrame:
+    """All pairs a < b of distinct points(fp) that differ in more than beyond and at most radius bits, each once.
 
     With agree, only pairs for which it holds of the structs of their carried columns. Points meet where their bits of
     a part, some of them flipped on one side, are equal; the join's own condition verifies the distance and takes a
@@ -190,7 +190,7 @@ def near_pairs(points: DataFrame, radius: int, carried: tuple[str, ...] = (), ag
         for mask, _, t in parts[:k]:
             missed = missed & (F.bit_count(apart.bitwiseAND(long_of(_signed(mask)))) > t)
         earlier = earlier & ((F.col("p.part") != k) | missed)
-    condition = (F.col("p.part") == F.col("i.part")) & (F.col("p.key") == F.col("i.key")) & (F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius) & earlier
+    condition = (F.col("p.part") == F.col("i.part")) & (F.col("p.key") == F.col("i.key")) & (F.col("a") < F.col("b")) & F.bit_count(apart).between(beyond + 1, radius) & earlier
     if agree is not None:
         condition = condition & agree(F.col("own_a"), F.col("own_b"))
     return probes.alias("p").join(index.alias("i"), condition).select("a", "b")
@@ -277,8 +277,8 @@ def similar_groups(docs: DataFrame, k: int = 5, radii: tuple[int, ...] = (4, 6,
         return (a["top"] != b["top"]) & alike & (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]))
 
     grouped, linked = points.select("fp", "fp2", "fp3", "n", F.col("fp").alias("top")), None
-    for radius in radii:
-        found = _similar(near_pairs(grouped, radius, ("fp2", "fp3", "n", "top"), agree), points, similarity)
+    for beyond, radius in zip((0, *radii), radii):  # nearer pairs were looked at before
+        found = _similar(near_pairs(grouped, radius, ("fp2", "fp3", "n", "top"), agree, beyond), points, similarity)
         links = found if linked is None else found.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
         linked = components(links)
         grouped = written(points.select("fp", "fp2", "fp3", "n").join(linked, points["fp"] == linked["node"], "left").select("fp", "fp2", "fp3", "n", F.coalesce("component", "fp").alias("top")), "grouped")
