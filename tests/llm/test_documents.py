@@ -155,6 +155,31 @@ def test_drop_near_copies(spark):
     assert first <= left and len(left - first) <= 2  # a copy may lie beyond the radius
 
 
+def partly_changed(words, at, k):
+    """A text with k words changed far from each other: each changes five shingles."""
+    copy = list(words)
+    for j in range(k):
+        copy[10 + 12 * j] = f"changed{at}x{j}"
+    return " ".join(copy)
+
+
+def test_similarity_is_exact_for_long_texts(spark):
+    draw = np.random.default_rng(8)
+    rows, want = [], set()
+    for g in range(40):
+        words = [f"g{g}w{i}" for i in draw.permutation(1204)]
+        # 1,200 shingles; k changed words leave (1200 - 5k) / (1200 + 5k): 26 give 0.805 and 27 give 0.798
+        k = 26 + g % 2
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, partly_changed(words, g, k))]
+        want |= {(2 * g, 2 * g + 1)} if k == 26 else set()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = simhash.texts_of(frame, "text")
+    point = {r.text: r.point for r in texts.collect()}
+    ids = {point[t]: d for d, t in rows}
+    pairs = spark.createDataFrame([(point[rows[2 * g][1]], point[rows[2 * g + 1][1]]) for g in range(40)], "a long, b long")
+    assert {(ids[r.a], ids[r.b]) for r in simhash._similar(pairs, texts, 5, 0.8).collect()} == want
+
+
 def test_mix(docs, rows):
     found = mixing.mix(docs, shards=4).collect()
     assert len(found) == len(rows)

@@ -18,9 +18,11 @@ BITS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Cost of dealing one probe, in units of verifying one candidate.
 PROBE_COST = 60.0
-#: Shingle hashes of a sketch; bits of 128 in which the further fingerprints of similar texts may
-#: differ: at a similarity of 0.8, 19 do on average, with a deviation of 4.
-SKETCH, SECOND_BITS = 256, 27
+#: Bits of 128 in which the further fingerprints of similar texts may differ: at a similarity of 0.8, 19 do on
+#: average, with a deviation of 4.
+SECOND_BITS = 27
+#: Points of candidate pairs up to which they are broadcast to find their texts.
+BROADCAST_POINTS = 1 << 20
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -216,48 +218,63 @@ def near_groups(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc
     return prints.join(of, "fp").select(F.col("doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def sketched(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, fp, fp2 and fp3 (of other hashes), n (different shingles) and sketch (the SKETCH smallest hashes) of each row."""
+def texts_of(docs: DataFrame, text_col: str) -> DataFrame:
+    """point (a hash of the text, null texts as empty ones) and text of each row."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("point"), text.alias("text"))
+
+
+def described(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """doc, point (a hash of its text), fp, fp2 and fp3 (of other hashes) and n (different shingles) of each row."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
             rows = []
-            for doc, t in zip(batch["doc"].to_pylist(), batch["text"], strict=True):
+            for t in batch["text"]:
                 h = shingle_hashes(t.as_py(), k)
-                different = np.unique((h >> np.uint64(32)).astype("<u4"))
                 again = mix(h)
-                rows.append((doc, fingerprint(h), fingerprint(again), fingerprint(mix(again)), len(different), different[:SKETCH].tobytes()))
+                rows.append((fingerprint(h), fingerprint(again), fingerprint(mix(again)), len(np.unique(h))))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "fp", "fp2", "fp3", "n", "sketch"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch["doc"], batch["point"], *(pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc", "point", "fp", "fp2", "fp3", "n"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, fp long, fp2 long, fp3 long, n int, sketch binary")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("point"), text.alias("text")).mapInArrow(run, "doc long, point long, fp long, fp2 long, fp3 long, n int")
 
 
-def sketch_similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets: exact while their union has SKETCH values at most, else estimated."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if not len(x) and not len(y):
-        return 1.0
-    union = np.union1d(x, y)[:SKETCH]
-    both = np.intersect1d(x, y, assume_unique=True)
-    return np.count_nonzero(both <= union[-1]) / len(union) if len(union) else 0.0
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets, as sorted arrays without repeats; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _similar(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sketches are similar enough."""
+def _similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs of points whose whole sets of k-word shingles are similar enough."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [sketch_similarity(x, y) >= similarity for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)]
+            sets: dict[int, np.ndarray] = {}
+
+            def of(point: int, text: pa.Scalar, sets: dict[int, np.ndarray] = sets) -> np.ndarray:
+                if point not in sets:
+                    if len(sets) >= 256:
+                        sets.clear()
+                    sets[point] = np.unique(shingle_hashes(text.as_py(), k))
+                return sets[point]
+
+            keep = [jaccard(of(a, x), of(b, y)) >= similarity for a, b, x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["ta"], batch["tb"], strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = points.select(F.col("fp").alias("a"), F.col("sketch").alias("sa"))
-    right = points.select(F.col("fp").alias("b"), F.col("sketch").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    pairs = written(pairs, "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct()
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_POINTS else needed
+    some = texts.join(needed, "point", "left_semi").groupBy("point").agg(F.first("text").alias("text"))
+    left = some.select(F.col("point").alias("a"), F.col("text").alias("ta"))
+    right = some.select(F.col("point").alias("b"), F.col("text").alias("tb"))
+    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "similar")
 
 
 def similar_groups(docs: DataFrame, k: int = 5, radii: tuple[int, ...] = (4, 6, 8, 10), similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,27 +282,36 @@ def similar_groups(docs: DataFrame, k: int = 5, radii: tuple[int, ...] = (4, 6,
 
     Candidates are pairs of fingerprints that differ in at most radii[-1] bits, whose further fingerprints (of other
     hashes of the same shingles) differ in at most SECOND_BITS and whose numbers of shingles allow the similarity. A
-    candidate links if its sketches have the similarity. Rows of one fingerprint are one point. The radius grows step
-    by step, and only pairs that join different groups are emitted, so that close groups cost few pairs. Of the text
-    pairs with similarity of 0.8 or more, a radius of 10 has 96 % within reach on the test tables.
+    candidate links if the whole shingle sets of its texts have the similarity. Rows of one fingerprint are linked.
+    The radius grows step by step, and only pairs that join different groups are emitted, so that close groups cost
+    few pairs. Of the text pairs with similarity of 0.8 or more, a radius of 10 has 96 % within reach on the test tables.
     """
-    prints = written(sketched(docs, k, id_col, text_col), "sketches")
-    points = written(prints.groupBy("fp").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "fp2", "fp3", "n", "sketch")).alias("s")).select("fp", "least", "s.fp2", "s.fp3", "s.n", "s.sketch"), "points")
+    texts = texts_of(docs, text_col)
+    prints = written(described(docs, k, id_col, text_col), "prints")
+    points = written(prints.groupBy("point").agg(F.min("doc").alias("least"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("fp3").alias("fp3"), F.first("n").alias("n")), "points")
+    # Of each fingerprint, one point stands for the others.
+    first = written(points.groupBy("fp").agg(F.min(F.struct("point", "fp2", "fp3", "n")).alias("s")).select("fp", "s.*"), "first")
+    linked = components(points.select("fp", F.col("point").alias("b")).join(first.select("fp", F.col("point").alias("a")), "fp").where("a <> b").select("a", "b"))
 
     def agree(a: Column, b: Column) -> Column:
         alike = F.bit_count(a["fp2"].bitwiseXOR(b["fp2"])) + F.bit_count(a["fp3"].bitwiseXOR(b["fp3"])) <= SECOND_BITS
-        return (a["top"] != b["top"]) & alike & (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]))
+        return (a["top"] != b["top"]) & alike & (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - 1e-9)
+
+    def topped(rows: DataFrame) -> DataFrame:
+        return rows.join(linked, rows["point"] == linked["node"], "left").drop("node").withColumn("top", F.coalesce("component", "point")).drop("component")
+
+    def joined(found: DataFrame) -> DataFrame:
+        return components(found.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
-    grouped, linked = points.select("fp", "fp2", "fp3", "n", F.col("fp").alias("top")), None
     for beyond, radius in zip((0, *radii), radii):  # nearer pairs were looked at before
-        found = _similar(near_pairs(grouped, radius, ("fp2", "fp3", "n", "top"), agree, beyond), points, similarity)
-        links = found if linked is None else found.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        linked = components(links)
-        grouped = written(points.select("fp", "fp2", "fp3", "n").join(linked, points["fp"] == linked["node"], "left").select("fp", "fp2", "fp3", "n", F.coalesce("component", "fp").alias("top")), "grouped")
-    joined = grouped.select("fp", "top").join(points.select("fp", "least"), "fp")
-    tops = joined.groupBy("top").agg(F.min("least").alias("component_id"))
-    of = joined.select("fp", "top").join(tops, "top").select("fp", "component_id")
-    return prints.select("doc", "fp").join(of, "fp").select("doc", "component_id")
+        grouped = written(topped(first), "grouped")
+        near = near_pairs(grouped, radius, ("fp2", "fp3", "n", "top"), agree, beyond).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+        near = near.join(first.select(F.col("fp").alias("fa"), F.col("point").alias("a")), "fa").join(first.select(F.col("fp").alias("fb"), F.col("point").alias("b")), "fb").select("a", "b")
+        linked = joined(_similar(near, texts, k, similarity))
+    grouped = written(topped(points.select("point", "least")), "grouped")
+    tops = grouped.groupBy("top").agg(F.min("least").alias("component_id"))
+    of = grouped.select("point", "top").join(tops, "top").select("point", "component_id")
+    return prints.select("doc", "point").join(of, "point").select("doc", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
