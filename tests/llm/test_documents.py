@@ -180,6 +180,18 @@ def test_similarity_is_exact_for_long_texts(spark):
     assert {(ids[r.a], ids[r.b]) for r in simhash._similar(pairs, texts, 5, 0.8).collect()} == want
 
 
+def test_near_copies_at_the_threshold(spark):
+    draw = np.random.default_rng(9)
+    rows, want = [], set()
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in draw.permutation(304)]
+        # 300 shingles; 6 changed words leave 0.818, 7 leave 0.791
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, partly_changed(words, g, 6 + g % 2))]
+        want |= {2 * g} if g % 2 == 0 else {2 * g, 2 * g + 1}
+    left = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == want
+
+
 def test_mix(docs, rows):
     found = mixing.mix(docs, shards=4).collect()
     assert len(found) == len(rows)
