@@ -192,6 +192,12 @@ def test_near_copies_at_the_threshold(spark):
     assert left == want
 
 
+def test_texts_of_one_fingerprint_are_compared(spark):
+    rows = [(g, "again " * 400 + " ".join(f"g{g}w{i}" for i in range(200))) for g in range(3)]
+    assert len({simhash.fingerprint(simhash.shingle_hashes(t, 5)) for _, t in rows}) == 1
+    assert simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == 3
+
+
 def test_mix(docs, rows):
     found = mixing.mix(docs, shards=4).collect()
     assert len(found) == len(rows)

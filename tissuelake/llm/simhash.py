@@ -384,15 +384,16 @@ def similar_groups(docs: DataFrame, k: int = 5, radii: tuple[int, ...] = (4, 6,
     are pairs of fingerprints that differ in at most radii[-1] bits, whose further fingerprints (of other hashes of
     the same shingles) differ in at most SECOND_BITS; its radius grows step by step. The second misses none: all pairs
     that share one of their first shingles, rare ones first, of which a set has enough to meet every similar set. Only
-    pairs that join different groups are emitted, so that close groups cost few. Rows of one fingerprint are linked.
+    pairs that join different groups are emitted, so that close groups cost few. Texts of one fingerprint are compared like any others.
     """
     texts = texts_of(docs, text_col)
     rows = written(described(docs, k, id_col, text_col), "prints")
     prints, counts = rows.where("part IS NULL"), summed_counts(rows.where("part IS NOT NULL"))
     points = written(prints.groupBy("point").agg(F.min("doc").alias("least"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("fp3").alias("fp3"), F.first("n").alias("n")), "points")
-    # Of each fingerprint, one point stands for the others.
+    # Of each fingerprint, one point stands for the others in the first round.
     first = written(points.groupBy("fp").agg(F.min(F.struct("point", "fp2", "fp3", "n")).alias("s")).select("fp", "s.*"), "first")
-    linked = components(points.select("fp", F.col("point").alias("b")).join(first.select("fp", F.col("point").alias("a")), "fp").where("a <> b").select("a", "b"))
+    alike = points.select("fp", F.col("point").alias("b")).join(first.select("fp", F.col("point").alias("a")), "fp").where("a <> b").select("a", "b")
+    linked = components(_similar(alike, texts, k, similarity))
 
     def agree(a: Column, b: Column) -> Column:
         alike = F.bit_count(a["fp2"].bitwiseXOR(b["fp2"])) + F.bit_count(a["fp3"].bitwiseXOR(b["fp3"])) <= SECOND_BITS
