@@ -219,24 +219,34 @@ def test_png_reads_back():
     assert (np.frombuffer(raw, np.uint8).reshape(5, 22)[:, 1:].reshape(5, 7, 3) == image).all()
 
 
-def test_stains(spark, tmp_path):
+def test_stains(spark):
     draw = np.random.default_rng(5)
-    amounts = draw.gamma(2, 0.4, (4000, 2))
     true = np.array([[0.65, 0.07], [0.70, 0.99], [0.29, 0.11]])
-    rgb = np.clip(240 * np.exp(-(true @ amounts.T)).T - 1, 0, 255).astype(np.uint8)
-    px = spark.createDataFrame(pd.DataFrame(rgb.astype(int), columns=list("rgb")))
-    fit = stain.macenko(px)
-    twin = stain.fit_image(rgb.reshape(40, 100, 3))
-    assert np.allclose(np.abs(fit[0]), np.abs(twin[0]), atol=1e-6) and np.allclose(fit[1], twin[1], rtol=1e-6)
-    a = stain.apply_stains(rgb.reshape(40, 100, 3), *fit).reshape(-1, 3)
-    b = stain.stained(px.withColumn("i", F.monotonically_increasing_id()), *fit).orderBy("i").select("r", "g", "b").toPandas().to_numpy()
-    assert np.abs(a.astype(int) - b).max() <= 1
-    vahadane = stain.vahadane(px, sample=2000)
-    assert vahadane is not None and (vahadane[0] >= 0).all()
-    assert stain.macenko(spark.createDataFrame([(250, 250, 250)] * 20, "r int, g int, b int")) is None
-    mean, std = stain.lab_moments(rgb.reshape(40, 100, 3))
-    moved = P.lab_from_rgb(stain.apply_lab(rgb.reshape(40, 100, 3), mean, std)).astype(float)
+    images = {k: np.clip(240 * np.exp(-(true @ (draw.gamma(2, 0.4, (4000, 2)) * gain).T)).T - 1, 0, 255).astype(np.uint8) for k, gain in (("a", 1.0), ("b", 0.6))}
+    table = spark.createDataFrame(pd.concat([stain.colours(v.reshape(40, 100, 3), k) for k, v in images.items()]), stain.COLOURS)
+    found = {r.slide_id: r for r in stain.macenko(table, ["slide_id"], "n").collect()}
+    for k, rgb in images.items():  # the definition, on the image
+        od = -np.log((rgb.astype(float) + 1) / 240)
+        tissue = od[(od >= 0.15).all(1) & (rgb.max(1) >= 10)]
+        values, vectors = np.linalg.eigh(np.cov(tissue.T))
+        angles = np.arctan2(tissue @ vectors[:, 2], tissue @ vectors[:, 1])
+        ends = [vectors[:, 1:] @ [np.cos(t), np.sin(t)] for t in np.percentile(angles, [1, 99])]
+        want = np.stack(sorted(ends, key=lambda e: -e[0]), axis=1)
+        assert np.allclose(np.abs(np.reshape(found[k].stains, (3, 2))), np.abs(want), atol=1e-6)
+        amounts = np.percentile(np.linalg.lstsq(want, od.T, rcond=None)[0], 99, axis=1)
+        assert np.allclose(np.abs(found[k].largest), np.abs(amounts), rtol=1e-5)
+    fits = {r.slide_id: np.array(r.fit) for r in stain.fits(table, "macenko").collect()}
+    px = spark.createDataFrame(pd.DataFrame(images["a"].astype(int), columns=list("rgb")).assign(slide_id="a", i=range(4000)))
+    brought = stain.stained(px, stain.macenko(table, ["slide_id"], "n"), ["slide_id"]).orderBy("i").select("r", "g", "b").toPandas().to_numpy()
+    assert np.abs(stain.applied(images["a"].reshape(40, 100, 3), fits["a"]).reshape(-1, 3).astype(int) - brought).max() <= 1
+    vahadane = stain.vahadane(table, ["slide_id"], "n", sample=2000).collect()
+    assert len(vahadane) == 2 and all(min(r.stains) >= 0 for r in vahadane)
+    flat = spark.createDataFrame([("w", 250, 250, 250, 20)], stain.COLOURS)
+    assert stain.fits(flat, "macenko").count() == 0 and stain.fits(flat, "vahadane").count() == 0
+    fit = stain.fits(table.where("slide_id = 'a'"), "reinhard").first().fit
+    moved = P.lab_from_rgb(stain.applied(images["a"].reshape(40, 100, 3), np.array(fit))).astype(float)
     assert abs(moved[..., 0].mean() - 180) < 15
+    assert stain.fits(flat, "reinhard").count() == 1  # too little tissue: all pixels count
 
 
 # --- sources -------------------------------------------------------------------------------------------------------
@@ -257,7 +267,49 @@ def test_image_metadata(spark, slide, tmp_path):
     assert (Image(moved).origin) == (10.0, 20.0)
 
 
-@pytest.mark.parametrize("codec", [None, "zlib", "gzip", "zstd"])
+def blosc_frame(data, size, codec, shuffle, block=64, split=True):
+    """A frame by the format's description, for codecs that are here."""
+    import struct
+    import zlib
+
+    import pyarrow as pa
+    import zstandard
+
+    pack = {"lz4": lambda b: pa.compress(b, "lz4_raw", asbytes=True), "snappy": lambda b: pa.compress(b, "snappy", asbytes=True), "zlib": zlib.compress, "zstd": zstandard.ZstdCompressor().compress}[codec]
+    flags = {"none": 0, "byte": 1, "bit": 4}[shuffle] | {"lz4": 1, "snappy": 2, "zlib": 3, "zstd": 4}[codec] << 5 | (0 if split else 16)
+    blocks = []
+    for at in range(0, len(data), block):
+        own = data[at : at + block]
+        n = len(own) // size
+        if shuffle == "byte":
+            own = bytes(own[i * size + k] for k in range(size) for i in range(n)) + own[n * size :]
+        if shuffle == "bit":
+            n -= n % 8
+            bits = [[own[i * size + k] >> b & 1 for i in range(n)] for k in range(size) for b in range(8)]
+            own = bytes(sum(row[8 * j + b] << b for b in range(8)) for row in bits for j in range(n // 8)) + own[n * size :]
+        parts = size if split and len(own) == block else 1
+        each = len(own) // parts
+        streams = [own[k * each : (k + 1) * each] for k in range(parts)]
+        blocks.append(b"".join(struct.pack("<i", len(min(x, pack(x), key=len))) + min(x, pack(x), key=len) for x in streams))
+    starts, at = [], 16 + 4 * len(blocks)
+    for b in blocks:
+        starts.append(at)
+        at += len(b)
+    return bytes([2, 1, flags, size]) + struct.pack("<III", len(data), block, at) + struct.pack(f"<{len(starts)}i", *starts) + b"".join(blocks)
+
+
+@pytest.mark.parametrize("codec", ["lz4", "snappy", "zlib", "zstd"])
+@pytest.mark.parametrize("shuffle", ["none", "byte", "bit"])
+def test_blosc_frames(codec, shuffle):
+    from tissuelake.sources.omezarr import blosc
+
+    data = np.arange(100, dtype="<u2").tobytes() + b"\1" * 112
+    for split in (True, False):
+        assert blosc(blosc_frame(data, 2, codec, shuffle, split=split)) == data
+    assert blosc(bytes([2, 1, 2, 2, 3, 0, 0, 0, 3, 0, 0, 0, 19, 0, 0, 0]) + b"abc") == b"abc"
+
+
+@pytest.mark.parametrize("codec", [None, "zlib", "gzip", "zstd", "blosc"])
 def test_chunk_codecs(tmp_path, codec):
     import gzip
     import json
@@ -270,10 +322,60 @@ def test_chunk_codecs(tmp_path, codec):
         meta = json.load(open(f"{path}/0/.zarray")) | {"compressor": {"id": codec}}
         json.dump(meta, open(f"{path}/0/.zarray", "w"))
         raw = open(f"{path}/0/0.0.0.0.0", "rb").read()
-        open(f"{path}/0/0.0.0.0.0", "wb").write({"zlib": zlib.compress, "gzip": gzip.compress, "zstd": zstandard.ZstdCompressor().compress}[codec](raw))
+        open(f"{path}/0/0.0.0.0.0", "wb").write({"zlib": zlib.compress, "gzip": gzip.compress, "zstd": zstandard.ZstdCompressor().compress, "blosc": lambda b: blosc_frame(b, 2, "lz4", "byte")}[codec](raw))
     assert Array(f"{path}/0").chunk((0, 0, 0, 0, 0))[0, 0, 0, 7, 7] == 63
 
 
+def test_shards_and_transposed_chunks(tmp_path):
+    import json
+    import struct
+
+    whole = np.arange(64, dtype="<i4").reshape(8, 8)
+    meta = {"zarr_format": 3, "shape": [8, 8], "data_type": "int32", "fill_value": 7, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [4, 8]}}, "chunk_key_encoding": {"name": "default"}}
+    inner = [{"name": "transpose", "configuration": {"order": [1, 0]}}, {"name": "bytes", "configuration": {"endian": "little"}}]
+    meta["codecs"] = [{"name": "sharding_indexed", "configuration": {"chunk_shape": [4, 4], "codecs": inner, "index_codecs": [{"name": "bytes"}, {"name": "crc32c"}], "index_location": "end"}}]
+    (tmp_path / "c" / "0").mkdir(parents=True)
+    (tmp_path / "zarr.json").write_text(json.dumps(meta))
+    part = np.ascontiguousarray(whole[:4, :4].T).tobytes()
+    (tmp_path / "c" / "0" / "0").write_bytes(part + struct.pack("<QQQQ", 0, len(part), 2**64 - 1, 2**64 - 1) + b"crc.")
+    a = Array(str(tmp_path))
+    assert (a.chunk((0, 0)) == whole[:4, :4]).all() and (a.chunk((0, 1)) == 7).all() and (a.chunk((1, 0)) == 7).all()
+
+
+def test_reads_over_http_with_a_query(spark, slide):
+    import threading
+    from functools import partial
+    from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(SimpleHTTPRequestHandler):
+        def do_GET(self):
+            if not self.path.endswith("?sig=abc"):
+                self.send_error(403)
+                return
+            super().do_GET()
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(Handler, directory=os.path.dirname(slide)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        uri = f"http://127.0.0.1:{server.server_port}/{os.path.basename(slide)}?sig=abc"
+        r = read_slides(spark, [uri, uri.replace("?sig=abc", "")]).orderBy(F.length("path").desc()).collect()
+        assert r[0].width == 512 and r[0].error is None
+        assert r[1].width is None and "403" in r[1].error
+    finally:
+        server.shutdown()
+
+
+def test_float_images_have_one_scale(tmp_path):
+    for top, fill, want in ((0.9, 0, 255.0), (3.0, 0, 1.0)):
+        image = np.full((1, 64, 64), 0.5, np.float32)
+        image[0, 0, 0], image[0, 40, 40] = top, np.nan
+        assert Image(write_image(str(tmp_path / f"{top}.zarr"), [image], 1.0, 16)).float_scale() == want
+    assert Image(write_image(str(tmp_path / "u.zarr"), [np.zeros((1, 8, 8), np.uint8)], 1.0, 8)).float_scale() is None
+
+
 def test_blocks_and_patches_read_alike_and_borders_are_padded(spark, slide):
     whole = np.zeros((3, 512, 512), np.uint8)
     image = Image(slide)
@@ -282,16 +384,29 @@ def test_blocks_and_patches_read_alike_and_borders_are_padded(spark, slide):
             for _, _, c, _, _, y, x, h, w, _, data in image.planes(0, cy, cx):
                 whole[c, y : y + h, x : x + w] = np.frombuffer(data, np.uint8).reshape(h, w)
     at = [(0, 0), (200, 230), (-20, -30), (480, 490), (700, 0)]
-    windows = spark.createDataFrame([("s", i, x, y) for i, (x, y) in enumerate(at)], "slide_id string, patch_idx long, lx long, ly long").select("*", F.lit(64).alias("read_w"), F.lit(64).alias("read_h"), F.lit(0).alias("read_level"), F.lit(512).alias("level_w"), F.lit(512).alias("level_h"))
-    chunks = read_chunks(spark, [slide], [0]).withColumn("slide_id", F.lit("s"))
-    single = {r.patch_idx: r.pixels for r in regions.assemble(windows, chunks, 256, 256, 3).collect()}
-    for side in (1, 4):
-        assert {r.patch_idx: r.pixels for r in regions.assemble_blocks(windows, chunks, 256, 256, 3, side).collect()} == single
+    windows = spark.createDataFrame([("s", slide, i, x, y) for i, (x, y) in enumerate(at)], "slide_id string, path string, patch_idx long, lx long, ly long").select("*", F.lit(64).alias("read_w"), F.lit(64).alias("read_h"), F.lit(0).alias("read_level"), F.lit(None).cast("double").alias("float_scale"))
+    single = {r.patch_idx: r.pixels for r in regions.read_patches(windows, 1, 5).collect()}
+    assert {r.patch_idx: r.pixels for r in regions.read_patches(windows, 8, 5000).collect()} == single
     padded = np.pad(whole.transpose(1, 2, 0), ((300, 300), (300, 300), (0, 0)), constant_values=255)
     for i, (x, y) in enumerate(at):
         assert (np.frombuffer(single[i], np.uint8).reshape(64, 64, 3) == padded[y + 300 : y + 364, x + 300 : x + 364]).all()
-    native = {r.patch_idx: r for r in regions.assemble(windows, chunks, 256, 256, 3, rgb=False).collect()}
+    native = {r.patch_idx: r for r in regions.read_patches(windows, 4, 5, rgb=False).collect()}
     assert np.frombuffer(native[2].pixels, np.uint8).reshape(64, 64, 3)[0, 0].tolist() == [0, 0, 0]
+    gone = regions.read_patches(windows.withColumn("path", F.lit("/nowhere")), 4, 5).collect()
+    assert len(gone) == 5 and all(r.pixels is None and r.error for r in gone)
+
+
+def test_zonal_sums_equal_means_under_cells():
+    draw = np.random.default_rng(11)
+    raster = draw.integers(0, 3, (40, 50)).astype(np.uint8)
+    slide = {"slide_id": "s", "xs": list(range(-20, 230, 35)), "ys": list(range(0, 200, 35)), "level0_patch": 35}
+    found = pd.concat(segment.zonal(raster, [1, 2], slide, 4.0, (3.0, -2.0)))
+    assert len(found) == len(slide["xs"]) * len(slide["ys"])
+    for r in found.itertuples():
+        y, x = round((r.y + 2) / 4), round((r.x - 3) / 4)
+        own = raster[max(0, y) : max(0, y + 9), max(0, x) : max(0, x + 9)]
+        for k, share in ((1, r.class_1), (2, r.class_2)):
+            assert share == np.float32((own == k).mean() if own.size else 0)
 
 
 def test_text_inputs(spark, tmp_path):
@@ -440,29 +555,130 @@ class Broken(E.MeanEmbedder):
         raise RuntimeError("no")
 
 
+def listed(spark, *paths):
+    return spark.createDataFrame([(p, None) for p in paths], "path string, source_mpp double")
+
+
+def statuses(frame):
+    return {r.slide_id: r.status for r in frame.collect()}
+
+
+REQUEST = Request(("mean",), 1.0, 64)
+MEAN = [(REQUEST, [E.MeanEmbedder("mean")])]
+
+
 def test_run_resumes_and_conforms(spark, slide, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
-    manifest = spark.createDataFrame([(slide, None)], "path string, source_mpp double")
-    request = Request(("mean",), 1.0, 64)
-    first = pipeline.run(spark, store, manifest, [(request, [E.MeanEmbedder("mean")])], {"mean": "mean"}).collect()
-    assert [r.status for r in first] == ["complete"]
-    n = store.raw("patches").count()
-    assert n > 0 and store.features().count() == n and store.raw("slide_vectors").count() == 1
-    assert [r.status for r in pipeline.run(spark, store, manifest, [(request, [Broken("mean")])]).collect()] == ["skipped"]
-    two = request.at(models=("mean", "histogram"))
-    pipeline.run(spark, store, manifest, [(two, [E.MeanEmbedder("mean"), E.HistogramEmbedder("histogram", 24)])])
+    assert statuses(pipeline.run(spark, store, listed(spark, slide), MEAN, {"mean": "mean"})) == {"a": "complete"}
+    n = store.table("patches").count()
+    assert n > 0 and store.features().count() == n and store.table("slide_vectors").count() == 1
+    assert statuses(pipeline.run(spark, store, listed(spark, slide), [(REQUEST, [Broken("mean")])])) == {"a": "skipped"}
+    two = [(REQUEST.at(models=("mean", "histogram")), [E.MeanEmbedder("mean"), E.HistogramEmbedder("histogram", 24)])]
+    pipeline.run(spark, store, listed(spark, slide), two)
     assert store.features().count() == 2 * n and store.raw("patches").count() == n
     assert store.grid() == "mpp1_px64" and store.grid_of("histogram") == "mpp1_px64"
-    check = lambda f: conformance.violations(store.raw("grids"), store.raw("patches"), f, store.raw("outputs").drop("batch").distinct(), store.raw("cells"), store.raw("slide_vectors")).collect()
+    check = lambda f: conformance.violations(store.table("grids"), store.table("patches"), f, store.table("outputs"), store.table("cells"), store.table("slide_vectors")).collect()
     assert check(store.features()) == []
     assert len(check(store.features().where("not (model = 'mean' and patch_idx = 0)"))) == 1
-    other = Store(spark, str(tmp_path / "other"))
-    pipeline.run(spark, other, manifest, [(two.at(read_block=1), [E.MeanEmbedder("mean"), E.HistogramEmbedder("histogram", 24)])])
-    assert all(r.ok for r in conformance.compared(store.features(), other.features(), ["slide_id", "grid_key", "patch_idx"]).collect())
-    corrected = Store(spark, str(tmp_path / "stain"))
-    assert pipeline.run(spark, corrected, manifest, [(request.at(stain="macenko"), [E.MeanEmbedder("mean")])]).count() == 1
-    png = pipeline.thumbnail(spark, pipeline.slides_of(spark, manifest), store.raw("patches").withColumn("level0_patch", F.lit(128)), None).first()["png"]
-    assert png[:4] == b"\x89PNG"
+
+
+def test_forced_runs_replace(spark, slide, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    pipeline.run(spark, store, listed(spark, slide), MEAN, {"mean": "mean"})
+    n = store.table("patches").count()
+    for _ in range(2):
+        assert statuses(pipeline.run(spark, store, listed(spark, slide), [(REQUEST, [E.MeanEmbedder("mean", bias=1.0)])], {"mean": "mean"}, force=True)) == {"a": "complete"}
+    assert store.raw("features").count() == 3 * n
+    assert store.features().count() == store.table("patches").count() == n
+    assert pipeline.whole_models(store).count() == 1 and store.table("slide_vectors").count() == 1
+    low = store.features().agg(F.min(F.get("vec", F.lit(0)))).first()[0]
+    assert low > 0.2  # the last one's bias
+
+
+def test_a_run_that_stopped_leaves_nothing_that_shows(spark, slide, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    append = store.append
+
+    def stop(table, rows):
+        if table == "outputs":
+            raise KeyboardInterrupt
+        append(table, rows)
+
+    monkeypatch.setattr(store, "append", stop)
+    with pytest.raises(KeyboardInterrupt):
+        pipeline.run(spark, store, listed(spark, slide), MEAN)
+    assert store.raw("features").count() > 0 and store.features().count() == 0
+    monkeypatch.setattr(store, "append", append)
+    pipeline.run(spark, store, listed(spark, slide), MEAN)
+    assert store.features().count() == store.table("patches").count() == store.raw("patches").count()
+    assert pipeline.whole_models(store).count() == 1
+
+
+def test_slides_of_several_chunk_shapes_and_a_broken_one(spark, tmp_path):
+    draw = np.random.default_rng(12)
+    image = draw.integers(0, 256, (3, 256, 256)).astype(np.uint8)
+    paths = [write_image(str(tmp_path / f"c{c}.zarr"), [image, image[:, ::2, ::2]], 0.5, c) for c in (48, 128)]
+    bad = write_image(str(tmp_path / "bad.zarr"), [image], 0.5, 128)
+    os.remove(f"{bad}/0/.zarray")
+    plain = write_image(str(tmp_path / "plain.zarr"), [image], None, 128)
+    torn = write_image(str(tmp_path / "torn.zarr"), [image], 0.5, 64)
+    with open(f"{torn}/0/0.0.0.0.0", "wb") as f:
+        f.write(b"short")
+    store = Store(spark, str(tmp_path / "store"))
+    request = [(Request(("mean",), 0.5, 32, no_segmentation=True, read_block=1), [E.MeanEmbedder("mean", 4, 32)])]
+    found = pipeline.run(spark, store, listed(spark, *paths, bad, plain, torn), request).collect()
+    assert {r.slide_id: r.status for r in found} == {"c48": "complete", "c128": "complete", "bad": "failed", "plain": "failed", "torn": "failed"}
+    assert all((r.error is None) == (r.status == "complete") for r in found)
+    assert "scale" in {r.slide_id: r.error for r in found}["plain"]
+    f = store.features()
+    assert all(r.ok for r in conformance.compared(f.where("slide_id = 'c48'").drop("slide_id"), f.where("slide_id = 'c128'").drop("slide_id"), ["patch_idx"]).collect())
+    want = (image[:, :32, :32].astype(np.float64) / 255).mean() * 2 - 1
+    assert f.where("patch_idx = 0 and slide_id = 'c48'").first().vec[0] == pytest.approx(want, abs=2e-3)
+    receipts = {r.slide_id: r for r in store.raw("receipts").collect()}
+    assert receipts["torn"].error and receipts["c48"].n_patches == 64 and receipts["c48"].model_dims == {"mean": 4}
+    assert statuses(pipeline.run(spark, store, listed(spark, *paths), request)) == {"c48": "skipped", "c128": "skipped"}
+
+
+def test_geometries_and_segmenters_of_one_run(spark, slide, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    make = lambda **c: (REQUEST.at(**c), [E.MeanEmbedder("mean")])
+    requests = [make(), make(patch_px=32, segmenter="canny"), make(segmenter="canny")]
+    assert statuses(pipeline.run(spark, store, listed(spark, slide), requests)) == {"a": "complete"}
+    grids = {r.grid_key: r for r in store.table("grids").collect()}
+    assert len(grids) == 3 and {r.segmenter for r in grids.values()} == {"otsu", "canny"}
+    assert sorted(k for k in grids if k.startswith("mpp1_px64")) == ["mpp1_px64", f"mpp1_px64_{requests[2][0].grid_hash()[:8]}"]
+    assert statuses(pipeline.run(spark, store, listed(spark, slide), requests)) == {"a": "skipped"}
+    assert statuses(pipeline.run(spark, store, listed(spark, slide), requests[:2])) == {"a": "complete"}
+    assert store.primary().first().grid_key == "mpp1_px64"
+
+
+def test_stain_corrected_runs_and_thumbnails(spark, slide, tmp_path):
+    for method in ("macenko", "reinhard"):
+        store = Store(spark, str(tmp_path / method))
+        assert statuses(pipeline.run(spark, store, listed(spark, slide), [(REQUEST.at(stain=method), [E.MeanEmbedder("mean")])])) == {"a": "complete"}
+    slides = pipeline.slides_of(spark, listed(spark, slide))
+    r = pipeline.thumbnail(slides, store.table("patches").withColumn("level0_patch", F.lit(128)), segmenter="otsu", max_px=100).first()
+    assert r.error is None and r.png[:4] == b"\x89PNG"
+
+
+def test_multiplex_runs(spark, tmp_path):
+    draw = np.random.default_rng(13)
+    y, x = np.mgrid[:256, :256]
+    inside = ((y - 128) ** 2 + (x - 128) ** 2 < 90**2)
+    image = np.stack([np.where(inside, 9000, 300), draw.integers(0, 4000, (256, 256)), np.arange(65536).reshape(256, 256)]).astype(np.uint16)
+    path = write_image(str(tmp_path / "m.zarr"), [image, image[:, ::2, ::2]], 4.0, 100, ["DAPI", "CD3", "CD8"])
+    blank = write_image(str(tmp_path / "n.zarr"), [image], 4.0, 128, ["a", "CD3", "CD8"])
+    store = Store(spark, str(tmp_path / "store"))
+    request = Request(("mean",), 4.0, 32, multiplex="channelwise", markers=("cd8", "CD3"), aggregation="concat", percentiles=(0.0, 100.0), half=False)
+    found = {r.slide_id: r for r in pipeline.run(spark, store, listed(spark, path, blank), [(request, [E.MeanEmbedder("mean", 2, 32)])]).collect()}
+    assert found["m"].status == "complete" and found["n"].status == "failed" and "nuclear" in found["n"].error
+    assert store.table("grids").first().segmenter == "nuclear"
+    f = store.features().join(store.table("patches"), ["slide_id", "patch_idx"]).collect()
+    assert 10 < len(f) < 64 and all(len(r.vec) == 4 for r in f)
+    r = f[0]
+    own = image[2, r.y : r.y + 32, r.x : r.x + 32] / 65535
+    assert r.vec[0] == pytest.approx((np.rint(own * 255) / 255).mean() * 2 - 1, abs=1e-3)
+    assert statuses(pipeline.run(spark, store, listed(spark, path), [(request, [Broken("mean", 2, 32)])])) == {"m": "skipped"}
 
 
 def test_shared_transforms_and_half_precision(spark):
@@ -516,24 +732,32 @@ def test_quality_and_stored_pooling(spark, slide, tmp_path):
     from tissuelake.plans.resume import complete_tools
 
     store = Store(spark, str(tmp_path / "q"))
-    manifest = spark.createDataFrame([(slide, None)], "path string, source_mpp double")
-    pipeline.run(spark, store, manifest, [(Request(("mean",), 1.0, 64), [E.MeanEmbedder("mean")])])
-    pipeline.score_quality(spark, store, pipeline.slides_of(spark, manifest))
-    qc = store.raw("qc")
-    assert qc.count() == store.raw("patches").count()
-    assert complete_tools(qc, store.raw("patches"), store.raw("qc_status")).count() == 1
+    pipeline.run(spark, store, listed(spark, slide), MEAN)
+    for _ in range(2):
+        assert pipeline.score_quality(spark, store, pipeline.slides_of(spark, listed(spark, slide)), tile=50).count() == 0
+    qc = store.table("qc")
+    assert qc.count() == store.table("patches").count() == store.raw("qc").count()
+    assert complete_tools(qc, store.table("patches"), store.table("qc_status")).count() == 1
     assert all(0 <= v <= 1 for r in qc.collect() for v in r.scores.values())
     for _ in range(2):
         pipeline.pool_stored(store, store.grid(), "max", "max")
     assert store.raw("slide_vectors").count() == 1
 
 
-def test_large_levels_are_averaged(spark, slide):
-    slides = pipeline.slides_of(spark, spark.createDataFrame([(slide, None)], "path string, source_mpp double"))
-    whole, half = (pipeline.coarse_images(spark, slides, 0.5, most=m).first() for m in (512, 256))
-    assert (whole.width, half.width, half.mask_downsample) == (512, 256, 2.0)
-    a = np.frombuffer(whole.pixels, np.uint8).reshape(512, 512, 3).astype(float).reshape(256, 2, 256, 2, 3).mean(axis=(1, 3))
-    assert np.abs(np.frombuffer(half.pixels, np.uint8).reshape(256, 256, 3) - a).max() <= 1
+def test_large_levels_are_averaged(slide):
+    image = Image(slide)
+    whole, half = (regions.read_level(image, 0, most)[0].astype(float) for most in (512, 256))
+    assert whole.shape == (512, 512, 3) and half.shape == (256, 256, 3)
+    assert np.abs(half - whole.reshape(256, 2, 256, 2, 3).mean(axis=(1, 3))).max() <= 1
+    assert regions.read_level(image, 0, 200)[1] == 3
+
+
+def test_levels_by_side(spark):
+    levels = "array(named_struct('width', 4000, 'height', 900), named_struct('width', 2000, 'height', 450), named_struct('width', 1000, 'height', 225))"
+    row = spark.range(1).select(F.expr(levels).alias("l"))
+    pick = lambda f, px: row.select(f(F.col("l"), px)).first()[0]
+    assert [pick(G.coarsest_level_over, px) for px in (5000, 4000, 1500, 1000, 10)] == [0, 0, 1, 2, 2]
+    assert [pick(G.first_level_under, px) for px in (4000, 2048, 1000, 999)] == [0, 1, 2, None]
 
 
 def test_marker_embedding(spark):

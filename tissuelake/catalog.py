@@ -318,23 +318,63 @@ def stain_tissue(spark: SparkSession, d: str) -> DataFrame:
     return stain.with_density(pixels(spark, d)).where(stain.is_tissue()).groupBy("l_returnflag").agg(F.count("*").alias("n"), *(F.round(F.avg(f"od_{c}"), 6).alias(f"od_{c}") for c in "rgb"))
 
 
-@_registered("stain_covariance", f"SELECT round(covar_samp(od_r, od_r), 6) AS rr, round(covar_samp(od_r, od_g), 6) AS rg, round(covar_samp(od_g, od_b), 6) AS gb, round(quantile_cont(od_r, 0.99), 6) AS p99 FROM ({TISSUE})")
+PAIRS = [(a, b) for i, a in enumerate("rgb") for b in "rgb"[i:]]
+
+
+@_registered("stain_covariance", "SELECT l_returnflag, count(*) AS pixels, " + ", ".join(f"round(covar_samp(od_{a}, od_{b}), 6) AS {a}{b}" for a, b in PAIRS) + f" FROM ({TISSUE}) GROUP BY l_returnflag")
 def stain_covariance(spark: SparkSession, d: str) -> DataFrame:
-    od = stain.with_density(pixels(spark, d)).where(stain.is_tissue())
-    return od.agg(*(F.round(F.covar_samp(f"od_{a}", f"od_{b}"), 6).alias(a + b) for a, b in ("rr", "rg", "gb")), F.round(F.percentile("od_r", F.lit(0.99)), 6).alias("p99"))
+    cov = stain.covariances(stain.with_density(pixels(spark, d)).where(stain.is_tissue()), ["l_returnflag"])
+    return cov.select("l_returnflag", "pixels", *(F.round(a + b, 6).alias(a + b) for a, b in PAIRS))
+
+
+#: Two stains (row by row) and their largest concentrations, for queries that apply a given fit.
+STAINS, LARGEST = ((0.65, 0.07), (0.70, 0.99), (0.29, 0.11)), (1.7, 0.9)
+
+
+def _amount(k: int) -> str:
+    """SQL of a stain's least-squares concentration."""
+    dot = lambda i, j: sum(r[i] * r[j] for r in STAINS)
+    det = dot(0, 0) * dot(1, 1) - dot(0, 1) ** 2
+    rows = [(dot(1, 1) * r[0] - dot(0, 1) * r[1]) / det if k == 0 else (dot(0, 0) * r[1] - dot(0, 1) * r[0]) / det for r in STAINS]
+    return "(" + " + ".join(f"od_{c} * {v!r}::DOUBLE" for c, v in zip("rgb", rows, strict=True)) + ")"
+
+
+def _given_stains(spark: SparkSession, d: str) -> DataFrame:
+    flat = F.array(*(F.lit(v) for row in STAINS for v in row))
+    return table(spark, d, "lineitem").select("l_returnflag").distinct().select("l_returnflag", flat.alias("stains"), F.array(*map(F.lit, LARGEST)).alias("largest"))
 
 
-@_registered("stain_normalised")
+@_registered("stain_largest", f"SELECT l_returnflag, round(quantile_cont({_amount(0)}, 0.99), 6) AS a, round(quantile_cont({_amount(1)}, 0.99), 6) AS b FROM ({OD}) GROUP BY l_returnflag")
+def stain_largest(spark: SparkSession, d: str) -> DataFrame:
+    found = stain._with_largest(stain.with_density(pixels(spark, d)), _given_stains(spark, d).drop("largest"), ["l_returnflag"], None)
+    return found.select("l_returnflag", F.round(F.get("largest", F.lit(0)), 6).alias("a"), F.round(F.get("largest", F.lit(1)), 6).alias("b"))
+
+
+def _brought(i: int) -> str:
+    """SQL of a channel in the canonical stains."""
+    parts = (f"{float(stain.CANONICAL_STAINS[i, k] * stain.CANONICAL_LARGEST[k] / LARGEST[k])!r}::DOUBLE * {_amount(k)}" for k in range(2))
+    return f"floor(least(greatest(240 * exp(-({' + '.join(parts)})), 0), 255))"
+
+
+@_registered("stain_normalised", "SELECT l_returnflag, " + ", ".join(f"round(avg({_brought(i)}), 1) AS {c}" for i, c in enumerate("rgb")) + f" FROM ({OD}) GROUP BY l_returnflag")
 def stain_normalised(spark: SparkSession, d: str) -> DataFrame:
-    px = pixels(spark, d)
-    fit = stain.macenko(px)
-    return (stain.stained(px, *fit) if fit else px).groupBy("r").count()
+    brought = stain.stained(pixels(spark, d), _given_stains(spark, d), ["l_returnflag"])
+    return brought.groupBy("l_returnflag").agg(*(F.round(F.avg(c), 1).alias(c) for c in "rgb"))
+
+
+@_registered("macenko_fit")
+def macenko_fit(spark: SparkSession, d: str) -> DataFrame:
+    return stain.macenko(pixels(spark, d), ["l_returnflag"])
+
+
+LAB = [(c, x) for c, x in zip("lab", "rgb", strict=True)]
 
 
-@_registered("lab_statistics", f"SELECT l_returnflag, round(avg(r), 6) AS mean_l, round(stddev_pop(r) + 1e-6, 6) AS std_l, round(avg(b), 6) AS mean_b FROM ({PIXELS}) WHERE r > 20 AND r < 235 GROUP BY l_returnflag")
+@_registered("lab_statistics", "SELECT l_returnflag, " + ", ".join(f"round(avg({x}), 6) AS mean_{c}, round(stddev_pop({x}) + 1e-6, 5) AS std_{c}" for c, x in LAB) + f" FROM ({PIXELS}) WHERE r > 20 AND r < 235 GROUP BY l_returnflag")
 def lab_statistics(spark: SparkSession, d: str) -> DataFrame:
     lab = pixels(spark, d).select("l_returnflag", F.col("r").alias("l"), F.col("g").alias("a"), "b")
-    return stain.lab_statistics(lab, ["l_returnflag"]).select("l_returnflag", F.round("mean_l", 6).alias("mean_l"), F.round("std_l", 6).alias("std_l"), F.round("mean_b", 6).alias("mean_b"))
+    found = stain.lab_statistics(lab, ["l_returnflag"])
+    return found.select("l_returnflag", *(F.round(f"{m}_{c}", 6 if m == "mean" else 5).alias(f"{m}_{c}") for c in "lab" for m in ("mean", "std")))
 
 
 # --- multiplex -----------------------------------------------------------------------------------------------------

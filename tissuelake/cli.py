@@ -9,12 +9,13 @@ import sys
 from pyspark.sql import functions as F
 
 from tissuelake.operators.embed import HistogramEmbedder, MeanEmbedder, ProjectionEmbedder
-from tissuelake.plans import cohort, conformance, pipeline, registry
-from tissuelake.plans.request import Request, run_hash
-from tissuelake.plans.resume import complete_models, complete_slides, receipt_totals
+from tissuelake.plans import cohort, conformance, pipeline, plugins, registry
+from tissuelake.plans.request import Request
+from tissuelake.plans.resume import receipt_totals
 from tissuelake.session import local_session
 from tissuelake.sources import export
-from tissuelake.sources.omezarr import Image, read_slides, write_sample
+from tissuelake.sources.files import stores_below
+from tissuelake.sources.omezarr import Image, write_sample
 from tissuelake.sources.store import Store
 from tissuelake.sources.text import read_extractions, read_manifest
 
@@ -37,7 +38,12 @@ def _parser() -> argparse.ArgumentParser:
         e.add_argument("--patch-px", type=int)
         e.add_argument("--step-px", type=int)
         e.add_argument("--source-mpp", type=float)
-        e.add_argument("--segmenter", default="otsu", choices=("otsu", "canny", "combined"))
+        e.add_argument("--segmenter", default="otsu")
+        e.add_argument("--multiplex")
+        e.add_argument("--marker", action="append", default=None)
+        e.add_argument("--aggregation", default="mean", choices=("mean", "concat"))
+        e.add_argument("--sink", default="parquet")
+        e.add_argument("--model-options", default="{}", type=registry.json_object)
         e.add_argument("--no-seg", action="store_true")
         e.add_argument("--stain", choices=("macenko", "reinhard", "vahadane"))
         e.add_argument("--pool", action="append", default=[], choices=("mean", "max", "meanmax"))
@@ -56,7 +62,7 @@ def _parser() -> argparse.ArgumentParser:
     x.add_argument("--grid")
     x.add_argument("--model", action="append")
     x.add_argument("--overwrite", action="store_true")
-    add("thumbnail", "slide", "out")
+    add("thumbnail", "slide", "out").add_argument("--max-px", type=int)
     add("models")
     return p
 
@@ -64,22 +70,24 @@ def _parser() -> argparse.ArgumentParser:
 def _requests(spark, a) -> list[tuple[Request, list]]:
     plan = read_extractions(spark, a.plan) if a.plan else None
     groups = registry.geometries(a.model or ["mean"], a.mpp, a.patch_px, plan)
-    return [(Request(g.models, g.mpp, g.patch_px, a.step_px, a.segmenter, a.no_seg, source_mpp=a.source_mpp, stain=a.stain, read_block=a.read_block), [EMBEDDERS[m]() for m in g.models]) for g in groups]
+    options = {"multiplex": a.multiplex, "markers": tuple(a.marker) if a.marker else None, "aggregation": a.aggregation}
+    embedder = lambda m: EMBEDDERS[m]() if m in EMBEDDERS and not a.model_options else plugins.get("embedders", m)(m, **a.model_options)
+    return [(Request(g.models, g.mpp, g.patch_px, a.step_px, a.segmenter, no_segmentation=a.no_seg, source_mpp=a.source_mpp, stain=a.stain, read_block=a.read_block, **options), [embedder(m) for m in g.models]) for g in groups]
 
 
 def _manifest(spark, a):
     if a.command == "embed":
         return spark.createDataFrame([(a.slides, a.source_mpp)], "path string, source_mpp double")
-    if os.path.isdir(a.slides):
-        rows = [(os.path.join(a.slides, n), a.source_mpp) for n in sorted(os.listdir(a.slides)) if n.endswith(".zarr")]
-        found = spark.createDataFrame(rows, "path string, source_mpp double")
-    else:
-        found = read_manifest(spark, a.slides)
+    found = _listed(spark, a.slides, a.source_mpp) if not a.slides.endswith((".csv", ".txt", ".tsv")) else read_manifest(spark, a.slides)
     named = cohort.identified(found)
     cohort.require_unique(named)  # of the whole cohort, before it is cut into shards
     return cohort.strided(named, a.shard_index, a.shard_count).select("path", "source_mpp")
 
 
+def _listed(spark, folder, source_mpp=None):
+    return spark.createDataFrame([(p, source_mpp) for p in stores_below(spark, folder)], "path string, source_mpp double")
+
+
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     if a.command == "models":
@@ -104,23 +112,21 @@ def main(argv: list[str] | None = None) -> int:
 
 def _run(spark, a) -> int:
     if a.command in ("embed", "embed-many"):
-        done = pipeline.run(spark, Store(spark, a.store), _manifest(spark, a), _requests(spark, a), {p: p for p in a.pool}, a.force)
+        done = pipeline.run(spark, plugins.get("sinks", a.sink)(spark, a.store), _manifest(spark, a), _requests(spark, a), {p: p for p in a.pool}, a.force)
         totals = {r["status"]: r["n"] for r in receipt_totals(done).collect()}
+        for r in done.where("error is not null").orderBy("slide_id").limit(100).collect():
+            print(f"{r['slide_id']}: {r['error']}", file=sys.stderr)
         print(", ".join(f"{n} {s}" for s, n in sorted(totals.items())))
         return int("failed" in totals)
     if a.command == "verify":
         store, requests = Store(spark, a.store), _requests(spark, a)
         slides = cohort.identified(_manifest(spark, a))
-        digests = F.create_map(*(F.lit(x) for r, ms in requests for m in ms for x in (m.name, pipeline.digest_of(m, r))))
-        names = sorted({m.name for _, ms in requests for m in ms})
-        wanted = slides.select("slide_id", F.lit(run_hash([r for r, _ in requests])).alias("config_hash"), "source_uri", F.lit(store.path).alias("output_uri"), F.array(*map(F.lit, names)).alias("models"), pipeline.grid_key(F.lit(float(requests[0][0].mpp)), F.lit(requests[0][0].patch_px)).alias("grid_key"), digests.alias("digests"))
-        whole = complete_models(store.raw("patches"), store.raw("features"), store.raw("outputs").drop("batch").distinct())
-        lacking = [r[0] for r in slides.select("slide_id").join(complete_slides(store.raw("receipts"), wanted, whole), "slide_id", "left_anti").collect()]
+        lacking = [r[0] for r in slides.select("slide_id").join(pipeline.finished_slides(store, slides, requests), "slide_id", "left_anti").collect()]
         print("complete" if not lacking else "incomplete: " + ", ".join(sorted(lacking)))
         return int(bool(lacking))
     if a.command == "validate":
         s = Store(spark, a.store)
-        found = conformance.violations(s.raw("grids"), s.raw("patches"), s.features(), s.raw("outputs").drop("batch").distinct(), s.raw("cells"), s.raw("slide_vectors")).limit(1000).collect()
+        found = conformance.violations(s.table("grids"), s.table("patches"), s.features(), s.table("outputs"), s.table("cells"), s.table("slide_vectors"), s.table("qc")).limit(1000).collect()
         for r in found:
             print(f"{r['slide_id']} {r['grid_key']}: {r['violation']}")
         return int(bool(found))
@@ -131,9 +137,10 @@ def _run(spark, a) -> int:
             pipeline.pool_stored(s, key, how, how)
         return 0
     if a.command == "quality":
-        found = spark.createDataFrame([(os.path.join(a.slides, n), None) for n in sorted(os.listdir(a.slides)) if n.endswith(".zarr")], "path string, source_mpp double")
-        pipeline.score_quality(spark, Store(spark, a.store), pipeline.slides_of(spark, found))
-        return 0
+        errors = pipeline.score_quality(spark, Store(spark, a.store), pipeline.slides_of(spark, _listed(spark, a.slides))).limit(100).collect()
+        for r in errors:
+            print(f"{r['slide_id']}: {r['error']}", file=sys.stderr)
+        return int(bool(errors))
     if a.command == "compare":
         keys = ["slide_id", "grid_key", "patch_idx"]
         rows = conformance.compared(Store(spark, a.a).features(), Store(spark, a.b).features(), keys).collect()
@@ -143,20 +150,25 @@ def _run(spark, a) -> int:
     if a.command == "export":
         s = Store(spark, a.store)
         key = s.grid(a.grid)
-        own = lambda t: s.raw(t).where(F.col("grid_key") == key)
+        own = lambda t: s.table(t, key)
         if a.layout == "tiles":
             export.tiles(own("patches"), own("grids")).join(export.observations(own("patches"), own("grids"), own("cells")), ["slide_id", "grid_key", "patch_idx"]).write.mode("overwrite" if a.overwrite else "error").parquet(a.out)
         elif a.layout == "geojson":
             sized = own("patches").join(own("grids").select("slide_id", "level0_patch"), "slide_id")
-            export.geojson(sized, F.col("level0_patch")).write.mode("overwrite" if a.overwrite else "error").partitionBy("slide_id").text(a.out)
+            export.write_geojson(sized, F.col("level0_patch"), a.out, a.overwrite)
         else:
             f = s.features(key)
             models = export.selected_models(f, a.model)
             export.write_layout(export.layout(own("patches"), f.where(F.col("model").isin(models)), own("grids"), a.layout), a.out, a.overwrite)
         return 0
-    slides = read_slides(spark, [a.slide]).withColumn("slide_id", F.lit("slide"))
-    with open(a.out, "wb") as f:
-        f.write(pipeline.thumbnail(spark, slides, None, None).first()["png"])
+    slides = pipeline.slides_of(spark, spark.createDataFrame([(a.slide, None)], "path string, source_mpp double"))
+    drawn = pipeline.thumbnail(slides, max_px=a.max_px).first()
+    if drawn["error"]:
+        raise SystemExit(drawn["error"])
+    part = f"{a.out}.part"
+    with open(part, "wb") as f:
+        f.write(drawn["png"])
+    os.replace(part, a.out)
     return 0
 
 

@@ -21,6 +21,21 @@ def nearest_level(mpp0: Column, downsamples: Column, target: Column) -> Column:
     return F.array_min(ranked)["level"]
 
 
+def _sides(levels: Column, when) -> Column:
+    """The first level (largest of its sides given to when) for which when holds; null if there is none."""
+    return F.array_min(F.transform(levels, lambda l, i: F.when(when(F.greatest(l["width"], l["height"])), i)))
+
+
+def coarsest_level_over(levels: Column, px: Column | int) -> Column:
+    """The last level, from the finest on, whose longer side is still px at least; 0 if already the first one's isn't."""
+    return F.greatest(F.coalesce(_sides(levels, lambda side: side < px), F.size(levels)) - 1, F.lit(0))
+
+
+def first_level_under(levels: Column, px: Column | int) -> Column:
+    """The finest level whose longer side is px at most; null if there is none."""
+    return _sides(levels, lambda side: side <= px)
+
+
 def read_plan(target: Column, mpp0: Column, downsamples: Column, patch_px: Column, tolerance: float = 0.001, snap: bool = False, upsample: bool = False) -> Column:
     """Level, scales and read size of a patch at exactly the target scale, as a struct; null where it can't be read.
 

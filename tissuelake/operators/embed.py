@@ -9,10 +9,11 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tissuelake.functions.pixels import model_input
 
-FEATURES = "slide_id string, patch_idx long, model string, vec array<float>"
+FEATURES = "slide_id string, patch_idx long, model string, vec array<float>, error string"
 
 
 class Embedder(Protocol):
@@ -83,22 +84,34 @@ class ProjectionEmbedder(_Rgb):
 def embed(patches: DataFrame, models: list[Embedder], half: bool = True, batch: int = 256) -> DataFrame:
     """slide_id, patch_idx, model and vec for every patch and model; half keeps half precision's values.
 
-    Pixels are decoded once for all models, and prepared once for all models of one signature.
+    Pixels are decoded once for all models, and prepared once for all models of one signature. Patches that came with
+    an error, or whose batch a model fails on, have it in place of a vector.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups: dict[tuple, list[Embedder]] = {}
         for m in models:
             groups.setdefault(m.signature(), []).append(m)
+        def failed(rows: pd.DataFrame, names: list[str], why) -> Iterator[pd.DataFrame]:
+            for name in names:
+                yield pd.DataFrame({"slide_id": rows["slide_id"].to_numpy(), "patch_idx": rows["patch_idx"].to_numpy(), "model": name, "vec": None, "error": why})
+
         for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                some = pdf.iloc[at : at + batch]
+            bad = pdf["pixels"].isna()
+            yield from failed(pdf[bad], [m.name for m in models] if bad.any() else [], pdf.loc[bad, "error"].to_numpy())
+            good = pdf[~bad]
+            for at in range(0, len(good), batch):
+                some = good.iloc[at : at + batch]
                 images = [np.frombuffer(p, t).reshape(h, w, c) for p, t, h, w, c in zip(some["pixels"], some["dtype"], some["height"], some["width"], some["channels"], strict=True)]
                 for group in groups.values():
-                    ready = np.stack([group[0].prepare(i) for i in images])
-                    for m in group:
-                        vectors = m.embed(ready).astype(np.float32)
-                        vectors = vectors.astype(np.float16).astype(np.float32) if half else vectors
-                        yield pd.DataFrame({"slide_id": some["slide_id"].to_numpy(), "patch_idx": some["patch_idx"].to_numpy(), "model": m.name, "vec": list(vectors)})
-
-    return patches.select("slide_id", "patch_idx", "height", "width", "channels", "dtype", "pixels").mapInPandas(run, FEATURES)
+                    try:
+                        ready = np.stack([group[0].prepare(i) for i in images])
+                        for m in group:
+                            vectors = m.embed(ready).astype(np.float32)
+                            vectors = vectors.astype(np.float16).astype(np.float32) if half else vectors
+                            yield pd.DataFrame({"slide_id": some["slide_id"].to_numpy(), "patch_idx": some["patch_idx"].to_numpy(), "model": m.name, "vec": list(vectors), "error": None})
+                    except Exception as e:  # noqa: BLE001 - one slide's failure must not stop a cohort
+                        yield from failed(some, [m.name for m in group], f"{type(e).__name__}: {e}")
+
+    error = F.col("error") if "error" in patches.columns else F.lit(None).cast("string").alias("error")
+    return patches.select("slide_id", "patch_idx", "height", "width", "channels", "dtype", "pixels", error).mapInPandas(run, FEATURES)

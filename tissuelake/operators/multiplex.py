@@ -50,18 +50,21 @@ def normalised(pixels: DataFrame, bounds: DataFrame, keys: list[str], value: str
     return joined.withColumn("unit", F.rint(unit * 255).cast("short") if as_uint8 else unit)
 
 
-def selected(panel: DataFrame, requested: list[str]) -> DataFrame:
-    """The panel's channels of the requested markers in request order; a missing or ambiguous one is an error.
+def marker_choices(panel: DataFrame, requested: list[str]) -> DataFrame:
+    """slide_id, position, marker, n (channels of that name), source_index and source_name of the requested markers.
 
-    panel: slide_id, source_index, source_name.
+    panel: slide_id, source_index, source_name. Names are compared by identity (form, case and outer spaces don't matter).
     """
-    spark = panel.sparkSession
-    wanted = spark.createDataFrame(list(enumerate(requested)), "position int, marker string").withColumn("id_", identity("marker"))
+    wanted = panel.sparkSession.createDataFrame(list(enumerate(requested)), "position int, marker string").withColumn("id_", identity("marker"))
     named = panel.withColumn("id_", identity("source_name"))
     slides = panel.select("slide_id").distinct().crossJoin(F.broadcast(wanted))
-    found = slides.join(named, ["slide_id", "id_"], "left").groupBy("slide_id", "position", "marker").agg(F.count("source_index").alias("n"), F.min("source_index").alias("source_index"), F.min("source_name").alias("source_name"))
+    return slides.join(named, ["slide_id", "id_"], "left").groupBy("slide_id", "position", "marker").agg(F.count("source_index").alias("n"), F.min("source_index").alias("source_index"), F.min("source_name").alias("source_name"))
+
+
+def selected(panel: DataFrame, requested: list[str]) -> DataFrame:
+    """The panel's channels of the requested markers in request order; a missing or ambiguous one is an error."""
     error = F.raise_error(F.concat(F.lit("marker "), "marker", F.lit(" is missing or ambiguous"))).cast("int")
-    return found.withColumn("source_index", F.when(F.col("n") == 1, F.col("source_index")).otherwise(error)).drop("n")
+    return marker_choices(panel, requested).withColumn("source_index", F.when(F.col("n") == 1, F.col("source_index")).otherwise(error)).drop("n")
 
 
 def resolved_markers(panel: DataFrame, vocabulary: DataFrame, name: str = "source_name") -> DataFrame:
@@ -75,12 +78,16 @@ def resolved_markers(panel: DataFrame, vocabulary: DataFrame, name: str = "sourc
     return joined.groupBy(*keys).agg(F.min(F.when(F.col("marker_id").isNotNull(), F.struct("try_", "marker", "marker_id"))).alias("m")).select(*keys, "m.marker", "m.marker_id")
 
 
-def nuclear_channels(panel: DataFrame) -> DataFrame:
-    """slide_id, channels (in source order) and family; several stain families in one slide are an error."""
+def nuclear_families(panel: DataFrame) -> DataFrame:
+    """slide_id, channels (in source order) and families of the nuclear stains that each slide has."""
     kinds = panel.withColumn("kind_", nuclear_kind(identity("source_name"))).where("kind_ is not null")
-    found = kinds.groupBy("slide_id").agg(F.array_sort(F.collect_list("source_index")).alias("channels"), F.collect_set("kind_").alias("families"))
+    return kinds.groupBy("slide_id").agg(F.array_sort(F.collect_list("source_index")).alias("channels"), F.array_sort(F.collect_set("kind_")).alias("families"))
+
+
+def nuclear_channels(panel: DataFrame) -> DataFrame:
+    """slide_id, channels and family; several stain families in one slide are an error."""
     error = F.raise_error(F.lit("nuclear segmentation needs one stain family")).cast("string")
-    return found.select("slide_id", "channels", F.when(F.size("families") == 1, F.get("families", F.lit(0))).otherwise(error).alias("family"))
+    return nuclear_families(panel).select("slide_id", "channels", F.when(F.size("families") == 1, F.get("families", F.lit(0))).otherwise(error).alias("family"))
 
 
 def nuclear_mean(pixels: DataFrame, channels: DataFrame) -> DataFrame:
@@ -121,33 +128,55 @@ def effective_key(model: str, how: str, settings: dict) -> str:
     return f"{model}__channelwise_{how}_{hashlib.sha256(canonical_json(settings).encode()).hexdigest()[:16]}"
 
 
+def image_bounds(image: np.ndarray, low: float, high: float) -> list[tuple[float, float]]:
+    """Exact linear percentiles of each channel of one image; an empty range is an error."""
+    out = [tuple(float(np.float32(v)) for v in np.percentile(image[..., c], [low, high])) for c in range(image.shape[-1])]
+    if bad := [c for c, (a, b) in enumerate(out) if not (np.isfinite(a) and np.isfinite(b) and a < b)]:
+        raise ValueError(f"the normalisation range of channels {bad} is degenerate")
+    return out
+
+
 def marker_images(patches: DataFrame, markers: DataFrame) -> DataFrame:
     """One RGB patch a marker: its channel between its bounds on 0..255, repeated three times.
 
     patches: native pixels as read. markers: slide_id, position, source_index, low, high; a few rows a slide, gathered to
-    an array and joined by slide.
+    an array and joined by slide. Patches that couldn't be read keep their error, once for each marker.
     """
     own = markers.groupBy("slide_id").agg(F.array_sort(F.collect_list(F.struct("position", "source_index", "low", "high"))).alias("markers"))
+    patches = patches if "error" in patches.columns else patches.withColumn("error", F.lit(None).cast("string"))
 
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples():
-                image = np.frombuffer(r.pixels, r.dtype).reshape(r.height, r.width, r.channels)
+                image = None if r.pixels is None else np.frombuffer(r.pixels, r.dtype).reshape(r.height, r.width, r.channels)
                 for m in r.markers:
-                    v = image[..., m["source_index"]].astype(np.float32)
-                    low, high = np.float32(m["low"]), np.float32(m["high"])
-                    v8 = np.rint(np.clip((v - low) / (high - low), 0, 1) * 255).astype(np.uint8)
-                    rows.append((r.slide_id, r.patch_idx, m["position"], r.height, r.width, 3, "uint8", np.repeat(v8[..., None], 3, axis=2).tobytes()))
-            yield pd.DataFrame(rows, columns=["slide_id", "patch_idx", "position", "height", "width", "channels", "dtype", "pixels"])
+                    pixels = None
+                    if image is not None:
+                        low, high = np.float32(m["low"]), np.float32(m["high"])
+                        unit = np.clip((image[..., m["source_index"]].astype(np.float32) - low) / (high - low), 0, 1)
+                        pixels = np.repeat(np.rint(unit * 255).astype(np.uint8)[..., None], 3, axis=2).tobytes()
+                    rows.append((r.slide_id, r.patch_idx, m["position"], r.height, r.width, 3, "uint8", pixels, r.error))
+            yield pd.DataFrame(rows, columns=["slide_id", "patch_idx", "position", "height", "width", "channels", "dtype", "pixels", "error"])
 
-    return patches.join(own, "slide_id").mapInPandas(run, "slide_id string, patch_idx long, position int, height int, width int, channels int, dtype string, pixels binary")
+    return patches.join(own, "slide_id").mapInPandas(run, "slide_id string, patch_idx long, position int, height int, width int, channels int, dtype string, pixels binary, error string")
 
 
-def embed_markers(patches: DataFrame, markers: DataFrame, models: list, how: str = "mean") -> DataFrame:
-    """slide_id, patch_idx, model and vec of native patches: each marker embedded as RGB, then aggregated."""
+def embed_markers(patches: DataFrame, markers: DataFrame, models: list, how: str = "mean", half: bool = True, batch: int = 256) -> DataFrame:
+    """slide_id, patch_idx, model, vec and error of native patches: each marker embedded as RGB, then aggregated."""
     images = marker_images(patches, markers)
     # A marker's image is a patch of its own; its number tells patch and marker apart.
     wide = images.withColumn("patch_idx", F.col("patch_idx") * 4096 + F.col("position")).drop("position")
-    vectors = embed(wide, models).withColumn("position", (F.col("patch_idx") % 4096).cast("int")).withColumn("patch_idx", F.expr("patch_idx div 4096"))
-    return aggregated(vectors, ["slide_id", "patch_idx", "model"], how)
+    vectors = embed(wide, models, half, batch).withColumn("position", (F.col("patch_idx") % 4096).cast("int")).withColumn("patch_idx", F.expr("patch_idx div 4096"))
+    keys = ["slide_id", "patch_idx", "model"]
+    # One pass over the embedded rows: a patch's few marker vectors meet and are joined, or their first error is kept.
+    gathered = vectors.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "vec"))).alias("m"), F.min("error").alias("error"))
+    if how == "concat":
+        joined = F.flatten(F.transform("m", lambda s: s["vec"]))
+    elif how == "mean":
+        width = F.size(F.get("m", F.lit(0))["vec"])
+        total = F.transform(F.sequence(F.lit(0), width - 1), lambda d: F.aggregate("m", F.lit(0.0), lambda acc, s: acc + F.get(s["vec"], d).cast("double")))
+        joined = F.transform(total, lambda v: (v / F.size("m")).cast("float"))
+    else:
+        raise ValueError(f"unknown aggregation {how!r}")
+    return gathered.select(*keys, F.when(F.col("error").isNull(), joined).alias("vec"), "error")

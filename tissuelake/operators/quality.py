@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Classes of the artifact raster: clean tissue, five artifacts, background.
 CLASSES = {1: "clean_tissue", 2: "fold", 3: "darkspot", 4: "pen", 5: "bubble", 6: "out_of_focus", 7: "background"}
 ARTIFACTS = [2, 3, 4, 5, 6]
+#: Micrometres a pixel at which classifiers of tiles work.
+SCALES = (1.0, 1.5, 2.0)
 
 
 def without_canvas(pixels: DataFrame, cls: str = "cls") -> DataFrame:
@@ -79,16 +80,14 @@ def rule_classes(image: np.ndarray) -> np.ndarray:
     return out
 
 
-def class_pixels(images: DataFrame, classify=rule_classes) -> DataFrame:
-    """slide_id, rx, ry and cls of coarse images: one row a pixel, for class_fractions()."""
-
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                cls = classify(np.frombuffer(r.pixels, r.dtype).reshape(r.height, r.width, r.channels))
-                for y in range(0, r.height, 64):
-                    part = cls[y : y + 64]
-                    ry, rx = np.indices(part.shape)
-                    yield pd.DataFrame({"slide_id": r.slide_id, "rx": rx.ravel(), "ry": ry.ravel() + y, "cls": part.ravel().astype(int)})
-
-    return images.mapInPandas(run, "slide_id string, rx long, ry long, cls int")
+def tiled_classes(image: np.ndarray, classify=rule_classes, tile: int = 512) -> np.ndarray:
+    """Classes of an image of any size by a classifier of square tiles; border tiles are filled up with their edges."""
+    h, w = image.shape[:2]
+    out = np.zeros((h, w), np.uint8)
+    for y in range(0, h, tile):
+        for x in range(0, w, tile):
+            own = image[y : y + tile, x : x + tile]
+            full = np.pad(own, ((0, tile - own.shape[0]), (0, tile - own.shape[1]), (0, 0)), mode="edge")
+            out[y : y + tile, x : x + tile] = classify(full)[: own.shape[0], : own.shape[1]]
+    out[image.max(-1) < 10] = 0  # the black canvas around a scan
+    return out

@@ -1,17 +1,14 @@
-"""Tissue segmentation of one coarse level of each slide."""
+"""Tissue segmentation of one coarse level of each slide, and sums of its raster under a grid's cells."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
 
 from tissuelake.functions import pixels as P
 
-MASK = "slide_id string, mask_h int, mask_w int, mask binary"
-
 
 def otsu_mask(image: np.ndarray, blur: int = 7, kernel: int = 4) -> np.ndarray:
     """Saturated pixels of an RGB image, smoothed, closed and opened."""
@@ -34,6 +31,8 @@ def combined_mask(image: np.ndarray, mode: str = "or") -> np.ndarray:
     if mode not in ("or", "and"):
         raise ValueError(f"mode must be 'or' or 'and', not {mode!r}")
     a, b = otsu_mask(image), canny_mask(image)
+    if b.shape != a.shape:  # the second on the first's pixels, by the nearest
+        b = b[np.arange(a.shape[0]) * b.shape[0] // a.shape[0]][:, np.arange(a.shape[1]) * b.shape[1] // a.shape[1]]
     return a & b if mode == "and" else a | b
 
 
@@ -48,31 +47,36 @@ def nuclear_mask(image: np.ndarray, channels: list[int], kernel: int = 4) -> np.
 SEGMENTERS: dict[str, Callable[..., np.ndarray]] = {"otsu": otsu_mask, "canny": canny_mask, "combined": combined_mask}
 
 
-def segment(images: DataFrame, method: str | Callable[[np.ndarray], np.ndarray] = "otsu") -> DataFrame:
-    """slide_id and mask of whole coarse levels (one bounded image a slide) as assembled by read operators."""
-    run = SEGMENTERS[method] if isinstance(method, str) else method
-
-    def masks(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                m = run(np.frombuffer(r.pixels, r.dtype).reshape(r.height, r.width, r.channels))
-                out.append((r.slide_id, *m.shape, m.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["slide_id", "mask_h", "mask_w", "mask"])
-
-    return images.mapInPandas(masks, MASK)
-
-
-def mask_pixels(masks: DataFrame) -> DataFrame:
-    """slide_id, mx, my and v: one row a mask pixel, for joins and sums."""
-
-    def spread(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                m = np.frombuffer(r.mask, np.uint8).reshape(r.mask_h, r.mask_w)
-                for y in range(0, r.mask_h, 64):
-                    part = m[y : y + 64]
-                    my, mx = np.indices(part.shape)
-                    yield pd.DataFrame({"slide_id": r.slide_id, "mx": mx.ravel(), "my": my.ravel() + y, "v": part.ravel().astype(np.float32)})
-
-    return masks.mapInPandas(spread, "slide_id string, mx long, my long, v float")
+def zonal(raster: np.ndarray, classes: list[int], slide: dict, downsample: float, origin: tuple[float, float] = (0.0, 0.0)) -> Iterator[pd.DataFrame]:
+    """row, col, x, y and the share of each class under each cell of a slide's grid, in float32; 0 off the raster.
+
+    Sums over rectangles come from four places of a class's running sums, so that a cell costs the same at any size.
+    The window is clipped to the raster, not padded. slide has xs, ys and level0_patch.
+    """
+    xs, ys = np.asarray(slide["xs"], np.int64), np.asarray(slide["ys"], np.int64)
+    n = max(1, int(np.rint(slide["level0_patch"] / downsample)))
+    low = lambda at, o, size: np.clip(np.rint((at - o) / downsample).astype(np.int64), 0, size)
+    high = lambda at, o, size: np.clip(np.rint((at - o) / downsample).astype(np.int64) + n, 0, size)
+    h, w = raster.shape
+    x0, x1, y0, y1 = low(xs, origin[0], w), high(xs, origin[0], w), low(ys, origin[1], h), high(ys, origin[1], h)
+    shares = []
+    for k in classes:
+        sums = np.zeros((h + 1, w + 1), np.int32)
+        np.cumsum(raster == k, axis=0, dtype=np.int32, out=sums[1:, 1:])
+        np.cumsum(sums[1:, 1:], axis=1, out=sums[1:, 1:])
+        inside = sums[y1][:, x1] - sums[y0][:, x1] - sums[y1][:, x0] + sums[y0][:, x0]
+        area = (y1 - y0)[:, None] * (x1 - x0)[None, :]
+        shares.append(np.where(area > 0, inside / np.maximum(area, 1), 0).astype(np.float32))
+    for i in range(0, len(ys), max(1, 100_000 // max(1, len(xs)))):
+        rows = slice(i, i + max(1, 100_000 // max(1, len(xs))))
+        m = len(ys[rows])
+        part = {"slide_id": slide["slide_id"], "row": np.repeat(np.arange(i, i + m), len(xs)), "col": np.tile(np.arange(len(xs)), m), "x": np.tile(xs, m), "y": np.repeat(ys[rows], len(xs))}
+        yield pd.DataFrame(part | {f"class_{k}": s[rows].ravel() for k, s in zip(classes, shares, strict=True)})
+
+
+def segmenter(name: str, channels: list[int] | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from whole images to masks: one of this module's, or a plug-in's."""
+    from tissuelake.plans import plugins
+
+    run = plugins.get("segmenters", name)
+    return (lambda image: run(image, channels)) if name == "nuclear" else run

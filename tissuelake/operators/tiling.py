@@ -11,15 +11,21 @@ from tissuelake.functions.numerics import at_least, half_even
 GRID = ["slide_id", "grid_key"]
 
 
-def grids(slides: DataFrame, target_mpp: float, patch_px: int, step_px: int | None = None, **plan: object) -> DataFrame:
-    """One grid a slide. slides: slide_id, mpp_level0, downsamples, width, height. An unreadable scale is an error."""
+def planned_grids(slides: DataFrame, target_mpp: float, patch_px: int, step_px: int | None = None, **plan: object) -> DataFrame:
+    """One grid a slide, with a null plan where the scale can't be read. slides: slide_id, mpp_level0, downsamples, width, height."""
     target = F.lit(float(target_mpp))
-    planned = slides.withColumn("plan", require_plan(read_plan(target, F.col("mpp_level0"), F.col("downsamples"), F.lit(patch_px), **plan), F.col("mpp_level0")))
+    planned = slides.withColumn("plan", read_plan(target, F.col("mpp_level0"), F.col("downsamples"), F.lit(patch_px), **plan))
     achieved = F.col("plan.achieved_mpp")
     sized = planned.withColumn("level0_patch", level0_px(F.lit(patch_px), achieved, F.col("mpp_level0"))).withColumn("level0_step", level0_px(F.lit(step_px or patch_px), achieved, F.col("mpp_level0")))
     return sized.withColumn("xs", axis(F.col("width"), F.col("level0_patch"), F.col("level0_step"))).withColumn("ys", axis(F.col("height"), F.col("level0_patch"), F.col("level0_step")))
 
 
+def grids(slides: DataFrame, target_mpp: float, patch_px: int, step_px: int | None = None, **plan: object) -> DataFrame:
+    """Like planned_grids(); an unreadable scale is an error."""
+    planned = planned_grids(slides, target_mpp, patch_px, step_px, **plan)
+    return planned.withColumn("plan", require_plan(F.col("plan"), F.col("mpp_level0")))
+
+
 def cells(grid: DataFrame) -> DataFrame:
     """All cells of grids with xs and ys: row, col, x, y."""
     keys = [c for c in grid.columns if c not in ("xs", "ys")]
@@ -50,6 +56,11 @@ def numbered(cell: DataFrame, keys: list[str]) -> DataFrame:
     return cell.withColumn("patch_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("row", "col")) - 1)
 
 
+def kept(cell: DataFrame, keys: list[str], threshold: float = 0.1) -> DataFrame:
+    """Numbered patches of the cells with enough tissue: the patcher of runs."""
+    return numbered(keep_tissue(cell, threshold), keys)
+
+
 def tile(grid: DataFrame, mask_px: DataFrame | None, keys: list[str], threshold: float = 0.1) -> DataFrame:
     """Kept patches of grids. Without a mask all cells stay, at fraction 1."""
     every = cells(grid)

@@ -54,12 +54,12 @@ def _built_in() -> None:
     from tissuelake.sources.omezarr import OmeZarr
     from tissuelake.sources.store import Store
 
-    for seam, things in {"readers": {"omezarr": OmeZarr}, "segmenters": segment.SEGMENTERS | {"nuclear": segment.nuclear_mask}, "patchers": {"grid": tiling.tile}, "embedders": {"mean": embed.MeanEmbedder, "histogram": embed.HistogramEmbedder, "projection": embed.ProjectionEmbedder}, "sinks": {"parquet": Store}, "slide_embedders": {"mean": pooling.mean_pool, "max": pooling.max_pool, "meanmax": pooling.meanmax_pool, "gated": pooling.gated_attention_pool, "multihead": pooling.multihead_pool}}.items():
+    for seam, things in {"readers": {"omezarr": OmeZarr}, "segmenters": segment.SEGMENTERS | {"nuclear": segment.nuclear_mask}, "patchers": {"grid": tiling.kept}, "embedders": {"mean": embed.MeanEmbedder, "histogram": embed.HistogramEmbedder, "projection": embed.ProjectionEmbedder}, "sinks": {"parquet": Store}, "slide_embedders": {"mean": pooling.mean_pool, "max": pooling.max_pool, "meanmax": pooling.meanmax_pool, "gated": pooling.gated_attention_pool, "multihead": pooling.multihead_pool}}.items():
         for name, thing in things.items():
             _own[seam].setdefault(name, thing)
-    from tissuelake.operators.multiplex import marker_images
+    from tissuelake.operators.multiplex import embed_markers
 
-    _own["multiplex_strategies"].setdefault("channelwise", marker_images)
+    _own["multiplex_strategies"].setdefault("channelwise", embed_markers)
 
 
 _built_in()

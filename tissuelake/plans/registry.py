@@ -67,6 +67,19 @@ def as_table(spark: SparkSession, catalog: Mapping[str, Model]) -> DataFrame:
     return spark.createDataFrame([(m.name, m.family, m.dim, m.input_size, m.mpp, m.patch_px, m.pooling, m.amp, m.modality) for m in catalog.values()], COLUMNS)
 
 
+def json_object(text: str) -> dict:
+    """A JSON object with finite numbers only, as options of models come on the command line."""
+    import json
+
+    def refuse(name: str) -> float:
+        raise ValueError(f"{name} is not a finite number")
+
+    found = json.loads(text, parse_constant=refuse)
+    if not isinstance(found, dict):
+        raise ValueError("a JSON object is needed")
+    return found
+
+
 def _number(x: float, what: str) -> float:
     if isinstance(x, bool) or not math.isfinite(x) or x <= 0:
         raise ValueError(f"{what} must be finite and over zero")

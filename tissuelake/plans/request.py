@@ -11,7 +11,7 @@ SCHEMA_VERSION = "0.1"
 #: Fields that don't change what is computed.
 RUNTIME = frozenset({"device", "batch", "read_block", "shard_index", "shard_count"})
 #: Content fields that belong to a model's output, not to its grid.
-OUTPUT = frozenset({"models", "amp", "multiplex", "percentiles", "aggregation"})
+OUTPUT = frozenset({"models", "amp", "multiplex", "percentiles", "aggregation", "markers", "bounds_px"})
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,7 @@ class Request:
     patch_px: int = 224
     step_px: int | None = None
     segmenter: str = "otsu"
+    patcher: str = "grid"
     no_segmentation: bool = False
     threshold: float = 0.1
     tolerance: float = 0.001
@@ -33,6 +34,8 @@ class Request:
     multiplex: str | None = None
     percentiles: tuple[float, float] = (1.0, 99.0)
     aggregation: str = "mean"
+    markers: tuple[str, ...] | None = None
+    bounds_px: int = 2048
     device: str = "cpu"
     batch: int = 256
     read_block: int = 8
@@ -47,7 +50,7 @@ class Request:
 
         if not self.models:
             raise ValueError("at least one model is needed")
-        for name in ("mpp", "patch_px", "step_px", "source_mpp", "batch", "read_block", "shard_count"):
+        for name in ("mpp", "patch_px", "step_px", "source_mpp", "batch", "read_block", "shard_count", "bounds_px"):
             positive(name)
         if not 0 <= self.threshold <= 1:
             raise ValueError("threshold must be between 0 and 1")
@@ -57,7 +60,7 @@ class Request:
             raise ValueError(f"unknown stain method {self.stain!r}")
         if self.aggregation not in ("mean", "concat"):
             raise ValueError(f"unknown aggregation {self.aggregation!r}")
-        if self.multiplex is None and (self.percentiles != (1.0, 99.0) or self.aggregation != "mean"):
+        if self.multiplex is None and (self.percentiles != (1.0, 99.0) or self.aggregation != "mean" or self.markers):
             raise ValueError("multiplex options need a multiplex strategy")
         if not 0 <= self.shard_index < self.shard_count:
             raise ValueError("shard_index must lie in 0 .. shard_count - 1")
@@ -69,7 +72,7 @@ class Request:
         if self.source_mpp is None:
             out.pop("source_mpp")
         if self.multiplex is None:
-            for k in ("multiplex", "percentiles", "aggregation"):
+            for k in ("multiplex", "percentiles", "aggregation", "markers", "bounds_px"):
                 out.pop(k, None)
         if "models" in out:
             out["models"] = sorted(out["models"])

@@ -87,8 +87,17 @@ def geojson_lines(patches: DataFrame, side: Column) -> DataFrame:
     return patches.select("slide_id", "patch_idx", feature_json(F.col("x"), F.col("y"), side).alias("feature"))
 
 
-def geojson(patches: DataFrame, side: Column) -> DataFrame:
-    """slide_id and one feature collection a slide, which holds all its patches in one text."""
-    lines = geojson_lines(patches, side)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("patch_idx", "feature"))), lambda s: s["feature"])
-    return lines.groupBy("slide_id").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(ordered, ","), F.lit("]}")).alias("geojson"))
+def write_geojson(patches: DataFrame, side: Column, path: str, overwrite: bool = False) -> None:
+    """A folder a slide of feature collections, each a task's part of the slide: text files that no task has to hold whole.
+
+    The rows of a slide go to tasks by runs of patches, sorted; a line that opens and one that closes the collection
+    go first and last in each file.
+    """
+    runs = geojson_lines(patches, side).withColumn("run", F.expr("patch_idx div 100000"))
+    last = runs.groupBy("slide_id", "run").agg(F.max("patch_idx").alias("last"))
+    joined = runs.join(last, ["slide_id", "run"])
+    head = F.when(F.col("patch_idx") == F.col("run") * 100000, '{"type":"FeatureCollection","features":[').otherwise("")
+    tail = F.when(F.col("patch_idx") == F.col("last"), "]}").otherwise(",")
+    lines = joined.select("slide_id", "run", "patch_idx", F.concat(head, "feature", tail).alias("value"))
+    dealt = lines.repartition("slide_id", "run").sortWithinPartitions("slide_id", "run", "patch_idx")
+    dealt.select("slide_id", "run", "value").write.mode("overwrite" if overwrite else "error").partitionBy("slide_id", "run").text(path)

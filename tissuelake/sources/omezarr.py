@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import gzip
 import itertools
 import json
 import math
 import os
+import struct
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,18 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tissuelake.sources.files import child, read_bytes
+
 # Fixed values.
 _MICROMETRES = {"nanometer": 1e-3, "micrometer": 1.0, "millimeter": 1e3, "centimeter": 1e4, "meter": 1e6, "nm": 1e-3, "um": 1.0, "µm": 1.0, "micron": 1.0, "mm": 1e3, "cm": 1e4, "m": 1e6}
-SLIDES = "path string, mpp_level0 double, scale_x double, scale_y double, origin_x double, origin_y double, width long, height long, downsamples array<double>, levels array<struct<level:int,width:long,height:long,ds_x:double,ds_y:double,off_x:double,off_y:double>>, dtype string, channels int, channel_names array<string>, warnings array<string>"
+SLIDES = "path string, mpp_level0 double, scale_x double, scale_y double, origin_x double, origin_y double, width long, height long, downsamples array<double>, levels array<struct<level:int,width:long,height:long,ds_x:double,ds_y:double,off_x:double,off_y:double,chunk_h:int,chunk_w:int>>, dtype string, channels int, channel_names array<string>, warnings array<string>, float_scale double, error string"
 CHUNKS = "path string, level int, c int, cy int, cx int, y0 int, x0 int, h int, w int, dtype string, data binary"
+#: Bytes of decoded chunks that a Python worker keeps; TISSUELAKE_CHUNK_MB sets another number, 0 none.
+CACHE_MB = 128
 
 
 def _json(path: str, name: str) -> dict:
-    try:
-        with open(os.path.join(path, name)) as f:
-            return json.load(f)
-    except FileNotFoundError:
-        return {}
+    found = read_bytes(child(path, name))
+    return json.loads(found) if found else {}
 
 
 def attributes(path: str) -> dict:
@@ -35,56 +39,137 @@ def attributes(path: str) -> dict:
     return found.get("ome", found)
 
 
+def _inflated(codec: str, raw: bytes, n: int) -> bytes:
+    """n bytes out of a chunk by the name of its codec."""
+    if codec in ("zlib", "gzip"):
+        return (zlib if codec == "zlib" else gzip).decompress(raw)
+    if codec == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(raw, max_output_size=n)
+    if codec == "lz4":
+        return pa.decompress(raw[4:], n, "lz4_raw", asbytes=True)
+    if codec == "blosc":
+        return blosc(raw)
+    raise ValueError(f"chunks compressed with {codec} can't be read here")
+
+
+def blosc(raw: bytes) -> bytes:
+    """A Blosc frame's bytes: blocks of LZ4, Snappy, zlib or Zstandard streams, shuffled by byte, by bit or not at all."""
+    flags, size = raw[2], raw[3]
+    n, block, _ = struct.unpack("<III", raw[4:16])
+    if flags & 2:
+        return raw[16 : 16 + n]
+    codec = {1: "lz4_raw", 2: "snappy", 3: "zlib", 4: "zstd"}.get(flags >> 5)
+    if codec is None:
+        raise ValueError("chunks compressed with blosclz can't be read here")
+
+    def stream(at: int, want: int) -> tuple[bytes, int]:
+        (packed,) = struct.unpack_from("<i", raw, at)
+        data = raw[at + 4 : at + 4 + packed]
+        if packed != want:
+            data = _inflated(codec, data, want) if codec in ("zlib", "zstd") else pa.decompress(data, want, codec, asbytes=True)
+        return data, at + 4 + packed
+
+    out = []
+    for k, at in enumerate(struct.unpack_from(f"<{-(-n // block)}i", raw, 16)):
+        own = min(block, n - k * block)
+        splits = size if own == block and not flags & 16 else 1
+        parts = []
+        for _ in range(splits):
+            data, at = stream(at, own // splits)
+            parts.append(data)
+        out.append(_unshuffled(b"".join(parts), size, flags))
+    return b"".join(out)
+
+
+def _unshuffled(data: bytes, size: int, flags: int) -> bytes:
+    n = len(data) // size
+    if flags & 1 and size > 1:
+        whole = np.frombuffer(data, np.uint8, n * size)
+        return whole.reshape(size, n).T.tobytes() + data[n * size :]
+    if flags & 4:
+        n -= n % 8
+        planes = np.frombuffer(data, np.uint8, n * size).reshape(size * 8, n // 8)
+        bits = np.unpackbits(planes, axis=1, bitorder="little").T
+        return np.packbits(np.ascontiguousarray(bits), axis=1, bitorder="little").tobytes() + data[n * size :]
+    return data
+
+
 class Array:
-    """An array of a Zarr store, read chunk by chunk."""
+    """An array of a Zarr store, read chunk by chunk; of a sharded one the inner chunks."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.shard, self.order, self.codec = path, None, None, None
         two, three = _json(path, ".zarray"), _json(path, "zarr.json")
         if two:
-            self.shape, self.chunks, self.dtype, self.fill = two["shape"], two["chunks"], np.dtype(two["dtype"]), two.get("fill_value") or 0
-            self.codec = (two.get("compressor") or {}).get("id")
+            if two.get("filters"):
+                raise ValueError(f"{path}: filters can't be read here")
+            self.shape, self.chunks, self.dtype = two["shape"], two["chunks"], np.dtype(two["dtype"])
+            fill, self.codec = two.get("fill_value"), (two.get("compressor") or {}).get("id")
+            self.order = list(range(len(self.shape)))[::-1] if two.get("order") == "F" else None
             self.name = lambda at: two.get("dimension_separator", ".").join(map(str, at))
         elif three:
-            self.shape, self.dtype, self.fill = three["shape"], np.dtype(three["data_type"]), three.get("fill_value") or 0
+            self.shape, self.dtype, fill = three["shape"], np.dtype(three["data_type"]), three.get("fill_value")
             self.chunks = three["chunk_grid"]["configuration"]["chunk_shape"]
-            codecs = {c["name"]: c.get("configuration", {}) for c in three.get("codecs", [])}
-            if codecs.get("bytes", {}).get("endian") == "big":
-                self.dtype = self.dtype.newbyteorder(">")
-            self.codec = next((c for c in codecs if c not in ("bytes", "crc32c", "transpose")), None)
+            codecs = three.get("codecs", [])
+            if codecs and codecs[0]["name"] == "sharding_indexed":
+                inside = codecs[0]["configuration"]
+                self.shard = [a // b for a, b in zip(self.chunks, inside["chunk_shape"], strict=True)]
+                self.at_end = inside.get("index_location", "end") == "end"
+                self.checked = any(c["name"] == "crc32c" for c in inside.get("index_codecs", []))
+                self.chunks, codecs = inside["chunk_shape"], inside.get("codecs", [])
+            for c in codecs:
+                settings = c.get("configuration", {})
+                if c["name"] == "bytes":
+                    self.dtype = self.dtype.newbyteorder(">") if settings.get("endian") == "big" else self.dtype
+                elif c["name"] == "transpose":
+                    self.order = settings["order"]
+                elif c["name"] == "crc32c":
+                    self.tail = 4
+                else:
+                    self.codec = c["name"]
             separator = three.get("chunk_key_encoding", {}).get("configuration", {}).get("separator", "/")
             self.name = lambda at: separator.join(["c", *map(str, at)])
         else:
             raise FileNotFoundError(f"{path} is not a Zarr array")
+        self.fill = self.dtype.type(float(fill) if isinstance(fill, str) else fill or 0)
+
+    tail = 0
+
+    def _raw(self, at: tuple[int, ...]) -> bytes | None:
+        if self.shard is None:
+            return read_bytes(child(self.path, self.name(at)))
+        file = child(self.path, self.name(tuple(i // n for i, n in zip(at, self.shard, strict=True))))
+        size = 16 * math.prod(self.shard) + 4 * self.checked
+        index = read_bytes(file, -size if self.at_end else 0, size)
+        if index is None:
+            return None
+        k = int(np.ravel_multi_index([i % n for i, n in zip(at, self.shard, strict=True)], self.shard))
+        start, length = struct.unpack_from("<QQ", index, 16 * k)
+        return None if start == length == 2**64 - 1 else read_bytes(file, start, length)
 
     def chunk(self, at: tuple[int, ...]) -> np.ndarray:
-        try:
-            with open(os.path.join(self.path, self.name(at)), "rb") as f:
-                raw = f.read()
-        except FileNotFoundError:
+        raw = self._raw(at)
+        if raw is None:
             return np.full(self.chunks, self.fill, self.dtype)
-        n = math.prod(self.chunks) * self.dtype.itemsize
-        if self.codec == "zlib":
-            raw = zlib.decompress(raw)
-        elif self.codec == "gzip":
-            raw = gzip.decompress(raw)
-        elif self.codec == "zstd":
-            import zstandard
-
-            raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=n)
-        elif self.codec == "lz4":
-            raw = pa.decompress(raw[4:], n, "lz4_raw", asbytes=True)
-        elif self.codec is not None:
-            raise ValueError(f"chunks compressed with {self.codec} can't be read here")
-        return np.frombuffer(raw, self.dtype).reshape(self.chunks)
+        raw = raw[: len(raw) - self.tail]
+        if self.codec is not None:
+            raw = _inflated(self.codec, raw, math.prod(self.chunks) * self.dtype.itemsize)
+        values = np.frombuffer(raw, self.dtype)
+        if self.order is None:
+            return values.reshape(self.chunks)
+        return values.reshape([self.chunks[i] for i in self.order]).transpose(np.argsort(self.order))
 
 
 class Image:
     """The pyramid of one image: axes, scales, levels and channels as its metadata have them."""
 
+    read = ""
+
     def __init__(self, path: str):
         self.path = path.rstrip("/")
-        for self.group in (self.path, os.path.join(self.path, "0"), os.path.join(self.path, "1")):
+        for self.group in (self.path, child(self.path, "0"), child(self.path, "1")):
             meta = attributes(self.group)
             if meta.get("multiscales"):
                 break
@@ -93,7 +178,7 @@ class Image:
         scales = meta["multiscales"][0]
         self.axes = [(a if isinstance(a, str) else a["name"]) for a in scales.get("axes", ["t", "c", "z", "y", "x"])]
         units = {a["name"]: a.get("unit") for a in scales.get("axes", []) if isinstance(a, dict)}
-        self.arrays = [Array(os.path.join(self.group, d["path"])) for d in scales["datasets"]]
+        self.arrays = [Array(child(self.group, d["path"])) for d in scales["datasets"]]
         self.warnings: list[str] = []
         ix, iy = self.axes.index("x"), self.axes.index("y")
         steps = [self._vector(d.get("coordinateTransformations"), "scale", 1.0) for d in scales["datasets"]]
@@ -111,7 +196,7 @@ class Image:
         self.levels = []
         for k, (array, step, move) in enumerate(zip(self.arrays, steps, moves, strict=True)):
             w, h = array.shape[ix], array.shape[iy]
-            self.levels.append((k, w, h, step[ix] / steps[0][ix], step[iy] / steps[0][iy], (moves[0][ix] - move[ix]) / step[ix], (moves[0][iy] - move[iy]) / step[iy]))
+            self.levels.append((k, w, h, step[ix] / steps[0][ix], step[iy] / steps[0][iy], (moves[0][ix] - move[ix]) / step[ix], (moves[0][iy] - move[iy]) / step[iy], array.chunks[iy], array.chunks[ix]))
         for axis, n in zip(self.axes, self.arrays[0].shape, strict=True):
             if axis not in "cyx" and n > 1:
                 self.warnings.append(f"axis {axis} has {n} planes; the first is read")
@@ -125,7 +210,32 @@ class Image:
 
     def row(self) -> tuple:
         ds = [(lv[3] + lv[4]) / 2 for lv in self.levels]
-        return (self.path, self.mpp, *self.scale, *self.origin, self.levels[0][1], self.levels[0][2], ds, self.levels, self.arrays[0].dtype.newbyteorder("=").name, self.channels, self.names, self.warnings)
+        return (self.path, self.mpp, *self.scale, *self.origin, self.levels[0][1], self.levels[0][2], ds, self.levels, self.arrays[0].dtype.newbyteorder("=").name, self.channels, self.names, self.warnings, self.float_scale(), None)
+
+    def float_scale(self) -> float | None:
+        """What a float image's pixels are multiplied by: 1 if the fill value or a finite pixel of nine chunks is over 1, else 255."""
+        if self.arrays[0].dtype.kind != "f":
+            return None
+        some = [sorted({0, (n - 1) // 2, n - 1}) for n in self.grid(0)]
+        values = itertools.chain([np.array([self.arrays[0].fill])], (np.frombuffer(p[-1], p[-2]) for cy, cx in itertools.product(*some) for p in self.planes(0, cy, cx)))
+        return 1.0 if any((v[np.isfinite(v)] > 1).any() for v in values) else 255.0
+
+    def window(self, level: int, y: int, x: int, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """All channels of a rectangle of a level (HWC, zeros off it), and which of its pixels lie on the level."""
+        a = self.arrays[level]
+        ch, cw = (a.chunks[self.axes.index(k)] for k in "yx")
+        rows, columns = self.grid(level)
+        out = np.zeros((h, w, self.channels), a.dtype.newbyteorder("="))
+        inside = np.zeros((h, w), bool)
+        for cy in range(max(0, y // ch), min(rows, -(-(y + h) // ch))):
+            for cx in range(max(0, x // cw), min(columns, -(-(x + w) // cw))):
+                block = _decoded(self, level, cy, cx)
+                top, left = cy * ch - y, cx * cw - x
+                to = (slice(max(top, 0), min(top + block.shape[0], h)), slice(max(left, 0), min(left + block.shape[1], w)))
+                if to[0].start < to[0].stop and to[1].start < to[1].stop:
+                    out[to] = block[to[0].start - top : to[0].stop - top, to[1].start - left : to[1].stop - left]
+                    inside[to] = True
+        return out, inside
 
     def grid(self, level: int) -> tuple[int, int]:
         """Rows and columns of chunks of a level."""
@@ -149,6 +259,31 @@ class Image:
                 yield self.path, level, cc * depth + k, cy, cx, y0, x0, h, w, a.dtype.newbyteorder("=").name, np.ascontiguousarray(block[k, :h, :w], a.dtype.newbyteorder("=")).tobytes()
 
 
+_cache: OrderedDict[tuple, np.ndarray] = OrderedDict()
+
+
+def _decoded(image: Image, level: int, cy: int, cx: int) -> np.ndarray:
+    """The chunk at a place with all its channels (HWC); the ones used last stay decoded in this worker."""
+    key = (image.path, image.read, level, cy, cx)
+    if key in _cache:
+        _cache.move_to_end(key)
+        return _cache[key]
+    planes = [np.frombuffer(p[-1], p[-2]).reshape(p[7], p[8]) for p in image.planes(level, cy, cx)]
+    _cache[key] = block = np.stack(planes, axis=-1)
+    most = int(os.environ.get("TISSUELAKE_CHUNK_MB", CACHE_MB)) << 20
+    while _cache and sum(b.nbytes for b in _cache.values()) > most:
+        _cache.popitem(last=False)
+    return block
+
+
+@functools.lru_cache(maxsize=256)
+def opened(path: str, read: str) -> Image:
+    """An image whose metadata this worker has read before for the same read, which has a name of its own."""
+    image = Image(path)
+    image.read = read
+    return image
+
+
 class _Part(InputPartition):
     def __init__(self, path: str, level: int | None = None, rows: tuple[int, int] = (0, 0)):
         self.path, self.level, self.rows = path, level, rows
@@ -171,10 +306,13 @@ class _Reader(DataSourceReader):
         return parts
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        image = Image(part.path)
         if part.level is None:
-            yield image.row()
+            try:
+                yield Image(part.path).row()
+            except Exception as e:  # noqa: BLE001 - a source that can't be opened is a row that says so
+                yield (part.path, *[None] * 14, f"{type(e).__name__}: {e}")
             return
+        image = Image(part.path)
         for cy, cx in itertools.product(range(*part.rows), range(image.grid(part.level)[1])):
             yield from image.planes(part.level, cy, cx)
 
