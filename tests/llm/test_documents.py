@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def odd_rows() -> list[tuple]:
     long_text = " ".join(f"word{i % 977} the and" for i in range(9000))
-    texts = [None, "", " \t\n ", "the", "the", "The  the\tthe", "a\x1cb\x85c d", "ünïcödé wörds hier und da, ñandú ça", long_text, long_text + " x", "x" * 60_000, "!!! 123 ###", "all rights reserved cc by cc by general public license", "<|endoftext|> 's 't don't", "same text of five words here", "same text of five words here"]
+    texts = [None, "", " \t\n ", "the", "the", "The  the\tthe", "a\x1cb\x85c d", "ünïcödé wörds hier und da, ñandú ça", long_text, long_text + " x", "x" * 60_000, "!!! 123 ###", "all rights reserved cc by cc by general public license", "<|endoftext|> 's 't don't", "hello <|endoftext|> world", "a<|ENDOFTEXT|>b <|StartOfText|>c<|startoftext|>d", "<|endoftext|>" * 3, "same text of five words here", "same text of five words here"]
     rows = [(9000 + i, t, "en" if i % 2 else None, None if i % 3 else "", None) for i, t in enumerate(texts)]
     rows += [(9014, "same text of five words here", "en", "src1", 1)] * 2  # repeats id and text
     rows += [(None, "the", None, None, None), (None, "only null ids say this sentence here today", "de", "z", 3), (9030, "KK İ ß Σ", "xx", "\U0001f600", 1)]
@@ -247,7 +247,6 @@ def test_pack(docs, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.vocabulary_path())
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for r in rows:
         ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]
@@ -288,6 +287,33 @@ def test_plan_uses_every_piece_once():
         assert bins <= len(rooms)
 
 
+def test_thousands_of_tiny_pieces_complete_bins():
+    assert packing.best_filling(2047, [1], {1: 5000}) == [1] * 2047
+    assert packing.plan({1: 5000, 1500: 3}, 2048)[1] == 5
+    assert packing.plan({1: 100_000, 2: 1}, 2048)[1] == 49
+
+
+def test_plans_reach_the_optimum_of_small_tables():
+    from functools import lru_cache
+
+    assert packing.plan(Counter([1042, 969, 927, 927, 913, 698, 678, 596, 375, 357, 243, 223]), 2048)[1] == 4
+    draw = np.random.default_rng(6)
+    for _ in range(40):
+        pieces = tuple(sorted(draw.integers(3, 50, 10).tolist(), reverse=True))
+
+        @lru_cache(maxsize=None)
+        def least(left, room):
+            if not left:
+                return 0
+            best = 1 + least(left[1:], 60 - left[0])
+            for k, x in enumerate(left):
+                if x <= room:
+                    best = min(best, least(left[:k] + left[k + 1 :], room - x))
+            return best
+
+        assert packing.plan(Counter(pieces), 60)[1] == least(pieces, 0)
+
+
 def test_best_filling_is_best():
     from itertools import combinations
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 
 from tissuelake.llm.common import no_threads, ranges, remembered, trimmed, written
 
-#: Branch-and-bound nodes for one bin; the best-fit incumbent stands when they are used up.
-NODES = 400
-#: Parts that the pieces of one length are numbered in.
-PARTS = 32
+#: Pieces of the last bins that are searched together where a plan needs more than the least number of bins, and the
+#: nodes of such a search. It only ever improves a whole plan, which stands when the nodes are used up.
+TAIL, NODES = 60, 20_000
+#: Pieces of one length that are numbered together, at most on average.
+PART_PIECES = 1_000_000
 #: Words whose ids a Python worker remembers.
 CACHE_WORDS = 600_000
 
@@ -38,6 +40,7 @@ class WordTokenizer:
     The tokenizer lower-cases, normalises and splits without looking across an ASCII white-space character, so that a
     text's ids are its words' ids in order; nor does it look across the place between a letter and punctuation that
     ends the word, so that "word," has the ids of "word" and of ",". Words met before come from a bounded memory.
+    Texts that hold the content of an added token, in any case, go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -45,7 +48,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.forget()
 
     def forget(self) -> None:
@@ -90,7 +93,17 @@ class WordTokenizer:
 
     def texts(self, texts: pa.Array, step: int = 250) -> Iterator[np.ndarray]:
         """The ids of each text; words are looked up for all texts at once, ids gathered for some at a time."""
-        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        lower = pc.ascii_lower(pc.fill_null(texts, ""))
+        whole: dict[int, np.ndarray] = {}
+        for content in self.added:
+            for k in pc.indices_nonzero(pc.match_substring(lower, content)).to_pylist():
+                if k not in whole:
+                    whole[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+        if whole:
+            some = np.zeros(len(texts), bool)
+            some[list(whole)] = True
+            lower = pc.if_else(pa.array(some), pa.scalar("", lower.type), lower)
+        words = pc.ascii_split_whitespace(lower)
         flat = words.flatten().dictionary_encode()
         ends = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64))
         stems, tails = self.numbers(flat.dictionary.to_pylist())
@@ -103,8 +116,8 @@ class WordTokenizer:
             both = np.stack([stems[at], tails[at]], axis=1).ravel()
             ids = self.pool[ranges(self.at[both], self.size[both])]
             stops = np.concatenate([[0], np.cumsum(size[at])])[own - begin].tolist()
-            for start, stop in zip([0, *stops], stops, strict=False):
-                yield ids[start:stop]
+            for k, (start, stop) in enumerate(zip([0, *stops], stops, strict=False), first):
+                yield whole.get(k, ids[start:stop])
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -131,39 +144,102 @@ def token_pieces(docs: DataFrame, capacity: int, path: str | None = None, id_col
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(cut, _PIECES)
 
 
+def reachable(room: int, lengths: list[int], left: dict[int, int]) -> list[int]:
+    """For each k the sums up to room that pieces of the first k lengths can make, as the bits of a number."""
+    found, bits, mask = [1], 1, (2 << room) - 1
+    for x in lengths:
+        n, step = min(left[x], room // x), 1
+        while n:
+            bits |= bits << x * min(step, n) & mask
+            n -= min(step, n)
+            step *= 2
+        found.append(bits)
+    return found
+
+
 def best_filling(room: int, lengths: list[int], left: dict[int, int]) -> list[int]:
     """The lengths that fill room with least waste, largest first.
 
     A depth-first search over fillings in descending order, which meets dominating ones (a larger piece in place of
-    smaller ones) first. The first descent is best fit, the first incumbent. A branch is cut when all pieces of its
-    lengths together can't waste less than the incumbent; a filling without waste ends the search.
+    smaller ones) first. Its bound is exact: the sums that smaller pieces can still make. A branch that can't reach the
+    least waste is never entered, so that the search neither backtracks nor needs a limit.
+    """
+    upto = bisect_right(lengths, room)
+    sums = reachable(room, lengths[:upto], left)
+    want, taken = sums[-1].bit_length() - 1, []
+    for k in range(upto - 1, -1, -1):
+        x = lengths[k]
+        n = min(left[x], want // x)
+        while not sums[k] >> (want - n * x) & 1:
+            n -= 1
+        taken += [x] * n
+        want -= n * x
+        if not want:
+            break
+    return taken
+
+
+def fillings(room: int, lengths: list[int], left: dict[int, int], waste: int) -> Iterator[list[int]]:
+    """All undominated fillings of room that waste that much at most, the least waste first.
+
+    One is dominated, and left out, if a piece that it leaves could take the place of a smaller one of its own.
+    """
+    upto = bisect_right(lengths, room)
+    sums = reachable(room, lengths[:upto], left)
+
+    def descend(k: int, want: int, taken: list[int]) -> Iterator[list[int]]:
+        if not want:
+            yield taken
+            return
+        x = lengths[k]
+        for n in range(min(left[x], want // x), -1, -1):
+            if sums[k] >> (want - n * x) & 1:
+                yield from descend(k - 1, want - n * x, taken + [x] * n)
+
+    for lost in range(min(waste, room) + 1):
+        if sums[-1] >> (room - lost) & 1:
+            for taken in descend(upto - 1, room - lost, []):
+                used = Counter(taken)
+                spare = [y for y in lengths[:upto] if left[y] > used[y]]
+                if not any(0 < y - x <= lost for x in used for y in spare):
+                    yield taken
+
+
+def search_bins(counts: dict[int, int], capacity: int, bins: int, nodes: int = NODES) -> list[list[int]] | None:
+    """Fillings of that many bins for all pieces, or None: bin completion, branching over undominated fillings.
+
+    Each bin is completed around the largest piece left. The waste that the goal allows is shared by all bins, which
+    prunes fillings and whole branches; states that failed before aren't tried again.
     """
-    best: list[int] = []
-    best_waste = room + 1
-    nodes = 0
-    taken: list[int] = []
-    sums = list(accumulate(x * left[x] for x in lengths))
-
-    def search(space: int, high: int) -> bool:
-        nonlocal best, best_waste, nodes
-        nodes += 1
-        if space < best_waste:
-            best, best_waste = list(taken), space
-        if not best_waste or nodes > NODES:
-            return True
-        k = min(high, bisect_right(lengths, space) - 1)
-        while k >= 0 and space - sums[k] < best_waste:
-            x = lengths[k]
-            if left[x] > taken.count(x):
-                taken.append(x)
-                if search(space - x, k):
-                    return True
-                taken.pop()
-            k -= 1
-        return False
-
-    search(room, len(lengths) - 1)
-    return best
+    failed: set[tuple] = set()
+    budget = nodes
+
+    def complete(left: dict[int, int], rest: int, spare: int) -> list[list[int]] | None:
+        nonlocal budget
+        lengths = sorted(x for x, n in left.items() if n)
+        if not lengths:
+            return []
+        key = tuple((x, left[x]) for x in lengths)
+        if not rest or (key, rest) in failed:
+            return None
+        largest = lengths[-1]
+        others = left | {largest: left[largest] - 1}
+        for own in fillings(capacity - largest, [x for x in lengths if others[x]], others, spare):
+            budget -= 1
+            if budget < 0:
+                return None
+            after = dict(others)
+            for x in own:
+                after[x] -= 1
+            found = complete(after, rest - 1, spare - (capacity - largest - sum(own)))
+            if found is not None:
+                return [[largest, *own], *found]
+        if budget >= 0:
+            failed.add((key, rest))
+        return None
+
+    spare = bins * capacity - sum(x * n for x, n in counts.items())
+    return complete(dict(counts), bins, spare) if spare >= 0 else None
 
 
 Runs = dict[int, list[tuple[int, int, int, int]]]
@@ -182,44 +258,73 @@ def best_fit(room: int, lengths: list[int], left: dict[int, int]) -> list[int]:
     return filling
 
 
-def _planned(counts: dict[int, int], capacity: int, fill: Callable[[int, list[int], dict[int, int]], list[int]]) -> tuple[Runs, int]:
+Steps = list[tuple[list[int], int]]
+
+
+def _planned(counts: dict[int, int], capacity: int, fill: Callable[[int, list[int], dict[int, int]], list[int]]) -> Steps:
+    """Fillings and how often each is made: around the largest length left, as often as the counts allow."""
     left = {x: n for x, n in counts.items() if n}
-    used = dict.fromkeys(left, 0)
-    runs: Runs = {x: [] for x in left}
-    lengths = sorted(left)
-    sequence = 0
+    lengths, steps = sorted(left), []
     while lengths:
         largest = lengths[-1]
         left[largest] -= 1
-        filling = [largest, *fill(capacity - largest, lengths, left)]
+        filling = [largest, *fill(capacity - largest, lengths if left[largest] else lengths[:-1], left)]
         left[largest] += 1
-        need = {x: filling.count(x) for x in filling}
+        need = Counter(filling)
         times = min(left[x] // n for x, n in need.items())
-        offset = 0
-        for x in filling:
-            runs[x].append((used[x], times, sequence, offset))
-            used[x] += times
-            offset += x
+        steps.append((filling, times))
         for x, n in need.items():
             left[x] -= times * n
             if not left[x]:
                 lengths.pop(bisect_right(lengths, x) - 1)
-        sequence += times
-    return runs, sequence
+    return steps
+
+
+def _bins(steps: Steps) -> int:
+    return sum(times for _, times in steps)
+
+
+def _improved(steps: Steps, capacity: int, least: int) -> Steps:
+    """The plan with its last bins searched for a way to need fewer."""
+    while _bins(steps) > least:
+        tail, pieces, at = [], 0, len(steps)
+        while at and pieces + len(steps[at - 1][0]) * steps[at - 1][1] <= TAIL:
+            at -= 1
+            tail.append(steps[at])
+            pieces += len(steps[at][0]) * steps[at][1]
+        counts: Counter[int] = Counter()
+        for filling, times in tail:
+            for x in filling:
+                counts[x] += times
+        found = search_bins(counts, capacity, _bins(tail) - 1) if tail else None
+        if found is None:
+            return steps
+        steps = steps[:at] + [(own, 1) for own in found]
+    return steps
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[Runs, int]:
     """Runs (first rank, how many, first sequence, offset) for each length, and the number of sequences.
 
-    The plan works on counts of lengths alone, of which there are at most capacity: a filling is found around the
-    largest length left, and made as often as the counts allow. Best fit is the incumbent of the whole plan, too: it
-    stands unless bin completion needs fewer sequences.
+    The plan works on counts of lengths alone, of which there are at most capacity. Best fit is the incumbent of the
+    whole plan: it stands unless bin completion needs fewer sequences. A plan that needs more than the sum of lengths
+    does is searched again in its last bins.
     """
-    completed = _planned(counts, capacity, best_filling)
-    if completed[1] * capacity - sum(x * n for x, n in counts.items()) < capacity:
-        return completed  # no plan has fewer
-    incumbent = _planned(counts, capacity, best_fit)
-    return completed if completed[1] <= incumbent[1] else incumbent
+    least = -(-sum(x * n for x, n in counts.items()) // capacity)
+    steps = _planned(counts, capacity, best_filling)
+    if _bins(steps) > least:
+        incumbent = _planned(counts, capacity, best_fit)
+        steps = min(_improved(steps, capacity, least), _improved(incumbent, capacity, least), key=_bins)
+    runs: Runs = {x: [] for x, n in counts.items() if n}
+    used, sequence = dict.fromkeys(runs, 0), 0
+    for filling, times in steps:
+        offset = 0
+        for x in filling:
+            runs[x].append((used[x], times, sequence, offset))
+            used[x] += times
+            offset += x
+        sequence += times
+    return runs, sequence
 
 
 def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,14 +334,19 @@ def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, id_col:
     of one length) are dealt by id. Other columns don't matter. An empty table gives an empty result.
 
     Texts are tokenised once into a written table of pieces without their ids. What the driver gets are the numbers
-    of pieces by length and part, at most capacity times PARTS, at any size of the input. Pieces take their place by
-    their rank within their length, which parts keep from meeting in one task.
+    of pieces by length (at most capacity) and by part, of which a length has one for each PART_PIECES. Pieces take
+    their place by their rank within their length, which parts keep from meeting in one task.
     """
     spark = docs.sparkSession
     pieces = written(token_pieces(docs, capacity, path, id_col, text_col), "pieces")
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int")
-    parted = pieces.withColumn("part", part)
+    by_length = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    many = {x: -(-n // PART_PIECES) for x, n in by_length.items() if n > PART_PIECES}
+    parts = F.lit(1)
+    for x, n in sorted(many.items()):
+        parts = F.when(F.col("length") == x, n).otherwise(parts)
+    parted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), parts.cast("long")).cast("int"))
     sizes = sorted((r["length"], r["part"], r["count"]) for r in parted.groupBy("length", "part").count().collect())
+    stride = max(many.values(), default=1)
     counts: dict[int, int] = {}
     before: list[tuple[int, int, int]] = []
     for length, k, n in sizes:
@@ -253,7 +363,7 @@ def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, id_col:
             if not batch.num_rows:
                 continue
             length = batch["length"].to_numpy()
-            start = offsets[np.searchsorted(offsets[:, 0] * PARTS + offsets[:, 1], length * PARTS + batch["part"].to_numpy()), 2]
+            start = offsets[np.searchsorted(offsets[:, 0] * stride + offsets[:, 1], length * stride + batch["part"].to_numpy()), 2]
             rank = start + batch["nth"].to_numpy()
             row = table[np.searchsorted(table[:, 0] << 40 | table[:, 1], length << 40 | rank, side="right") - 1]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
