@@ -429,6 +429,29 @@ def test_lm_base(docs, rows):
         assert all(math.isfinite(r.score) and r.score < 0 for r in found)
 
 
+def thue_morse(n, flip=False):
+    """Of two such words every polynomial hash modulo a power of two is the same."""
+    return "".join("ab"[(k.bit_count() + flip) % 2] for k in range(n))
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = thue_morse(2048), thue_morse(2048, True)
+    free = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1)
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = spark.createDataFrame([(free, a), (held, b)], "doc_id long, text string")
+    assert {r.doc_id: r.n_known for r in lm.score(rows).collect()} == {free: 2, held: 1}
+    scanned = license_scan.scan(rows, base=((a, "x"),)).collect()
+    assert {r.doc_id: r.n_base for r in scanned} == {free: 1, held: 0}
+    removed = suffix_dedup.remove_repeats(spark.createDataFrame([(1, a + "c" * 60), (2, b + "d" * 60)], "doc_id long, text string"), length=2048).collect()
+    assert [r.n_removed for r in removed] == [0, 0]
+
+
+def test_many_license_lines_in_one_text(spark):
+    rows = [(1, "Licensed under CC BY-NC 4.0. Some words between here and there. " * 20_000)]
+    r = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).first()
+    assert r.labels == "cc-by,cc-by-nc-4.0" and r.spans.count("cc-by-nc-4.0") == 20_000
+
+
 def test_lm_against_a_direct_model(spark):
     draw = np.random.default_rng(4)
     rows = [(i, " ".join(f"t{x}" for x in draw.zipf(1.5, 80) % 40)) for i in range(60)]

@@ -2,67 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import functools
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 
-#: ASCII white space as the contracts spell it, for Java's and Python's regular expressions.
-SPACES = r"[\x20\x09-\x0D]+"
-
-_written: list[str] = []
-_tables: list[str] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of this machine only where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tissuelake-scratch")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again, which cuts its lineage.
-
-    Any executor may be lost afterwards. The table goes when this process ends, or by drop_scratch().
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def bucketed(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
-    """df written as a Parquet table of the warehouse in n buckets by a column; binary columns come compressed."""
-    spark = df.sparkSession
-    df.write.format("parquet").option("compression", "uncompressed").bucketBy(n, column).saveAsTable(name)
-    _tables.append(name)
-    return spark.table(name)
+from tissuelake.scratch import bucketed, drop_scratch, scratch_dir, written
 
+__all__ = ["SPACES", "bucketed", "drop_scratch", "forget", "mix", "no_threads", "ranges", "remembered", "scratch_dir", "string_bytes", "trim", "trimmed", "word_hashes", "written", "Blocks"]
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this process."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _tables:
-        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-@atexit.register
-def _at_exit() -> None:
-    with contextlib.suppress(Exception):
-        if spark := SparkSession.getActiveSession():
-            drop_scratch(spark)
+#: ASCII white space as the contracts spell it, for Java's and Python's regular expressions.
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def no_threads() -> None:
@@ -138,27 +92,6 @@ def string_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return whole, at - at[0]
 
 
-_rng = np.random.default_rng(0x5EED)
-#: One odd multiplier and a random word for each byte value, for RollingHash.
-_BASE = 0x9E3779B97F4A7C15
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(12, n - 1).bit_length()
-        have = np.ones(size, np.uint64)
-        done = 1
-        while done < size:  # doubling: base^(i+done) = base^i * base^done
-            step = np.uint64(pow(base, done, 2**64))
-            have[done : 2 * done] = have[:done] * step
-            done *= 2
-        _powers[base] = have
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit words (the finaliser of SplitMix64)."""
     h = h ^ (h >> np.uint64(30))
@@ -168,19 +101,65 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class RollingHash:
-    """64-bit hashes of any substrings of one byte array, by wrapping sums; equal bytes hash alike anywhere."""
+def word_hashes(folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all words of some texts, one after the other, and the number of words of each text.
+
+    folded: the texts' bytes with a space for all that parts words. Each different word is hashed once.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from xxhash import xxh64_intdigest
+
+    n = len(offsets) - 1
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(folded))])
+    words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    lists = words.flatten().dictionary_encode()
+    parents = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
+    different = lists.dictionary.cast(pa.large_binary()).to_pylist()
+    own = np.fromiter((xxh64_intdigest(w) for w in different), np.uint64, len(different))
+    at = lists.indices.to_numpy(zero_copy_only=False)
+    # Splitting leaves empty strings at the ends of texts; they aren't words.
+    real = np.fromiter(map(len, different), np.int64, len(different))[at] > 0
+    return own[at[real]], np.bincount(parents[real], minlength=n)
+
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power_table(_BASE, n)[:n], out=self.sums[1:])
-        self.down = _power_table(pow(_BASE, -1, 2**64), n + 1)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-    def raw(self, length: int) -> np.ndarray:
-        """Of the substrings of one length, at each place where one starts; only the high bits are well mixed."""
-        n = max(0, len(self.sums) - length)
-        return (self.sums[length:] - self.sums[:n]) * self.down[:n]
+class Blocks:
+    """Hashes of substrings of one byte array by doubling: a string's from those of its two halves.
+
+    Each doubling multiplies and folds bits down, so that no sum of powers is ever compared: strings that are alike by
+    the rules of a polynomial aren't here. Another seed gives an independent hash.
+    """
+
+    def __init__(self, data: np.ndarray, seed: int = 0):
+        values = np.arange(256, dtype=np.uint64) * _ODD[0] + np.uint64(seed) * _ODD[1] + _ODD[2]
+        self.levels = [mix(values)[data]]
+
+    def _pair(self, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+        h = (a ^ (b >> np.uint64(29))) * _ODD[k & 7] + (b ^ (a >> np.uint64(31))) * _ODD[(k + 3) & 7]
+        return h ^ (h >> np.uint64(32))
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            half, n = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(self._pair(half[: len(half) - n], half[n:], len(self.levels)) if len(half) > n else half[:0])
+        return self.levels[k]
+
+    def all(self, length: int) -> np.ndarray:
+        """Of the substrings of one length, at each place where one starts: two overlapping powers of two cover it."""
+        k = length.bit_length() - 1
+        whole, rest = self._level(k), length - (1 << k)
+        n = len(self.levels[0]) - length + 1
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        return mix(whole[:n] + _ODD[1]) if not rest else mix(self._pair(whole[:n], whole[rest : rest + n], length & 7) + np.uint64(length))
+
+    def of(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """Of the substrings of one length at some places."""
+        k = length.bit_length() - 1
+        whole, rest = self._level(k), length - (1 << k)
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        return mix(whole[starts] + _ODD[1]) if not rest else mix(self._pair(whole[starts], whole[starts + rest], length & 7) + np.uint64(length))

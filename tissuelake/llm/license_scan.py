@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import RollingHash, mix, string_bytes, written
+from tissuelake.llm.common import mix, string_bytes, word_hashes, written
 
 #: Words of a k-gram.
 K = 3
@@ -51,31 +52,22 @@ TEMPLATES = (
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _TABLE = np.frombuffer(_FOLD, np.uint8)
-_ODD = (0x9E3779B97F4A7C15 * np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of some texts, one after the other, and the number of words of each text."""
-    folded = _TABLE[data]
-    inside = folded != 32
-    first = np.zeros(len(folded) + 1, bool)
-    first[offsets[:-1]] = True
-    starts = np.nonzero(inside & (~np.concatenate([[False], inside[:-1]]) | first[:-1]))[0]
-    last = np.zeros(len(folded) + 1, bool)
-    last[offsets[1:]] = True
-    ends = np.nonzero(inside & (~np.concatenate([inside[1:], [False]]) | last[1:]))[0] + 1
-    counts = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
-    return RollingHash(folded).of(starts, ends), counts
+    return word_hashes(_TABLE[data], offsets)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, k, np.uint64)
     for i in range(k):
-        out += hashes[i : i + n] * _ODD[i]
-    return mix(out)
+        out = mix(out * _ODD + hashes[i : i + n])
+    return out
 
 
 def words_of(text: str) -> np.ndarray:
@@ -136,7 +128,7 @@ def scan(docs: DataFrame, k: int = K, base: tuple = BASE, templates: tuple = TEM
                     start = int(ends[d]) - n
                     places = found.get(d, [])
                     mine = [{"gram": int(g[p]), "pos": p - start} for p in by.get(d, ())]
-                    near = [{"pos": p, "word": int(x)} for p, x in _context(hashes[start : start + n], [h["pos"] for h in mine])] if mine else []
+                    near = [{"pos": p, "word": int(x)} for p, x in _context(hashes[start : start + n], [h["pos"] for h in mine], k)] if mine else []
                     rows.append((identifier, n, len(places), min((p for p, _ in places), default=None), max((p for p, _ in places), default=None), sorted({x for _, x in places}), mine, near))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int64())])), pa.list_(pa.struct([("pos", pa.int64()), ("word", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base", "hits", "near"])
@@ -177,11 +169,11 @@ def scan(docs: DataFrame, k: int = K, base: tuple = BASE, templates: tuple = TEM
     )
 
 
-def _context(hashes: np.ndarray, positions: list[int]) -> list[tuple[int, int]]:
+def _context(hashes: np.ndarray, positions: list[int], k: int) -> list[tuple[int, int]]:
     """The words around places with votes."""
     keep = np.zeros(len(hashes), bool)
     for p in positions:
-        keep[max(0, p - CONTEXT) : p + K + CONTEXT] = True
+        keep[max(0, p - CONTEXT) : p + k + CONTEXT] = True
     at = np.nonzero(keep)[0]
     return list(zip(at.tolist(), hashes[at].view(np.int64).tolist(), strict=True))
 
@@ -211,9 +203,15 @@ def _verified(span: dict, at: dict[int, int], templates: list[list[int]], k: int
 
 
 def _best(spans: list[dict], names: list[str]) -> list[dict]:
-    """Of overlapping spans those with most words in order (ties: the larger share, then the first label)."""
-    kept: list[dict] = []
+    """Of overlapping spans those with most words in order (ties: the larger share, then the first label).
+
+    The spans kept so far don't overlap and lie in order, so that a new one is held against its neighbours only.
+    """
+    firsts: list[int] = []
+    kept: dict[int, dict] = {}
     for s in sorted(spans, key=lambda s: (-s["matched"], -s["share"], names[s["template"]], s["first"])):
-        if all(s["last"] < o["first"] or o["last"] < s["first"] for o in kept):
-            kept.append(s)
-    return kept
+        k = bisect_right(firsts, s["last"])
+        if not k or kept[firsts[k - 1]]["last"] < s["first"]:
+            firsts.insert(k, s["first"])
+            kept[s["first"]] = s
+    return [kept[f] for f in firsts]

@@ -9,17 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import RollingHash, mix, string_bytes, written
+from tissuelake.llm.common import mix, string_bytes, word_hashes, written
 
 #: Tokens of a unit (documents counted together; a longer document is a unit of its own), and of all that one
 #: counting partition gets.
 UNIT_TOKENS, PARTITION_TOKENS = 800_000, 2_000_000
-#: One unit in HELD_UNITS serves to learn the mixture weights; rounds of expectation-maximisation.
-HELD_UNITS, ROUNDS = 8, 40
+#: Rounds of expectation-maximisation.
+ROUNDS = 40
 #: Steps of a natural-log ratio by which held-out tokens are summed up.
 STEP = 0.25
-#: Bits that a bigram's key keeps.
-KEY_BITS = 52
 
 _END, _BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543211)
 _SPACE = bytes(32 if c in b" \t\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -56,14 +54,8 @@ def _sums(b: bytes) -> np.ndarray:
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of some texts (words, then one end), one after the other; how many each text has."""
-    folded = _TABLE[data]
-    inside = folded != 32
-    edge = np.zeros(len(folded) + 1, bool)
-    edge[offsets] = True
-    starts = np.nonzero(inside & (~np.concatenate([[False], inside[:-1]]) | edge[:-1]))[0]
-    ends = np.nonzero(inside & (~np.concatenate([inside[1:], [False]]) | edge[1:]))[0] + 1
-    words = RollingHash(folded).of(starts, ends)
-    sizes = np.diff(np.searchsorted(starts, offsets)) + 1
+    words, n = word_hashes(_TABLE[data], offsets)
+    sizes = n + 1
     out = np.full(len(words) + len(sizes), _END)
     last = np.zeros(len(out), bool)
     last[np.cumsum(sizes) - 1] = True
@@ -80,7 +72,7 @@ class Unit:
         before[1:] = words[ids[:-1]]
         before[np.cumsum(sizes) - sizes] = _BEGIN
         with np.errstate(over="ignore"):
-            keys = mix(before * np.uint64(0x9E3779B97F4A7C15) + words[ids] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - KEY_BITS) << np.uint64(64 - KEY_BITS)
+            keys = mix(mix(before) * np.uint64(0x9E3779B97F4A7C15) + words[ids])
         self.pairs, self.pair_ids = np.unique(keys, return_inverse=True)
         self.train = np.repeat(~self.held, sizes)
 
@@ -159,7 +151,7 @@ def counted(all_units: DataFrame, bits: int) -> DataFrame:
                 rows = []
                 for part, a, b, c, d in zip(parts.tolist(), *bounds, strict=True):
                     least = np.uint64(part << (64 - bits)) if bits else np.uint64(0)
-                    rows.append((part, batch["unit"][row].as_py(), _deltas(u.words[a:b] - least), squeeze(word_counts[a:b]), _deltas((u.pairs[c:d] - least) >> np.uint64(64 - KEY_BITS)), squeeze(pair_counts[c:d])))
+                    rows.append((part, batch["unit"][row].as_py(), _deltas(u.words[a:b] - least), squeeze(word_counts[a:b]), _deltas(u.pairs[c:d] - least), squeeze(pair_counts[c:d])))
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "unit", "word_keys", "word_counts", "pair_keys", "pair_counts"])
 
@@ -270,8 +262,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_
     unigram sum of the contract. score is the log10 probability of the text: each token's is the mixture of its
     maximum-likelihood bigram estimate c(vw)/c(v), unigram estimate c(w)/N and the uniform one 1/(V+1), with weights
     by the frequency c(v) of the word before. A document's first token has a begin mark before it. The weights are
-    learned by expectation-maximisation on the documents of one unit in HELD_UNITS (all units, if none is drawn),
-    each predicted from counts without its own. Rows that repeat an id are documents of their own. Texts are read
+    learned by expectation-maximisation on all training documents, each predicted from counts without its own. Rows that repeat an id are documents of their own. Texts are read
     whole. Other columns don't matter. An empty table gives an empty result; without training documents all tokens
     are unknown.
     """
@@ -285,9 +276,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_
     answers = counted(all_units, bits)
     total = answers.agg(F.sum("n_tokens"), F.sum("n_types")).first()
     n, v, starts = float(total[0]), float(total[1]), float(size[1])
-    drawn = all_units.where(F.pmod(F.xxhash64("unit"), F.lit(HELD_UNITS)) == 0)
-    learning = drawn if drawn.select("unit").limit(1).count() else all_units
-    weights = learn_weights(held_out_sums(_with_counts(learning, answers), n, v, starts))
+    weights = learn_weights(held_out_sums(_with_counts(all_units, answers), n, v, starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

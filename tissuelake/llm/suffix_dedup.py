@@ -1,17 +1,18 @@
-"""Removal of repeated substrings: prefix doubling over sampled suffixes, with ranks of growing length."""
+"""Removal of repeated substrings: prefix doubling over sampled suffixes, by sorted pairs of ranks at growing offsets."""
 
 from __future__ import annotations
 
 import hashlib
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import RollingHash, bucketed, mix, ranges, string_bytes, trimmed, written
+from tissuelake.llm.common import Blocks, bucketed, mix, ranges, string_bytes, trimmed, written
 from tissuelake.llm.lm import leading, squeeze, unsqueeze
 
 #: Bytes of a unit of whole documents, of units in one bucket of their table, and suffixes in one ranking partition.
@@ -23,7 +24,7 @@ FIRST_BITS = 44
 _NEVER = np.iinfo(np.int64).max
 
 _UNITS = "docs array<long>, sizes array<long>, data binary"
-_ASKED = "part long, unit long, base long, keys binary, a binary, b binary"
+_ASKED = "part long, unit long, base long, keys binary, more binary, a binary, b binary"
 
 
 def _pack(keys: np.ndarray, bits: int) -> bytes:
@@ -39,14 +40,27 @@ def _unflags(b: bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(pa.decompress(b[8:], max(1, (n + 7) // 8), "zstd", asbytes=True), np.uint8), count=n).astype(bool)
 
 
-def _by_key(keys: np.ndarray, *columns: tuple[np.ufunc, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The different keys in order, each row's place among them, and the columns reduced by key."""
+def _by_key(keys: np.ndarray, *columns: tuple[np.ufunc, np.ndarray], more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray | None]:
+    """The different keys in order, each row's place among them, the columns reduced by key, and the keys' second words."""
     order = np.argsort(keys, kind="stable")
     s = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+    if more is not None and len(s):
+        m = more[order]
+        if ((s[1:] == s[:-1]) & (m[1:] != m[:-1])).any():  # the first words alone don't tell them apart
+            order = np.lexsort((more, keys))
+            s, m = keys[order], more[order]
+        apart = (s[1:] != s[:-1]) | (m[1:] != m[:-1])
+    else:
+        m, apart = more, s[1:] != s[:-1]
+    first = np.flatnonzero(np.concatenate([[True], apart])) if len(s) else np.empty(0, np.int64)
     at = np.empty(len(keys), np.int64)
     at[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(s)))
-    return s[first], at, [op.reduceat(values[order], first) if len(s) else values[:0] for op, values in columns]
+    return s[first], at, [op.reduceat(values[order], first) if len(s) else values[:0] for op, values in columns], None if m is None else m[first]
+
+
+def _named(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The rank of a pair of ranks, named by mixing both."""
+    return mix(mix(left + np.uint64(0xA0761D6478BD642F)) * np.uint64(0x9FB21C651E98DF25) + right)
 
 
 class Unit:
@@ -92,7 +106,7 @@ class Unit:
     @staticmethod
     def _picked(data: np.ndarray, gram: int, before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows of a part whose sampled start is another than the window's before; all sampled starts; hashes."""
-        grams = RollingHash(data).raw(gram)
+        grams = Blocks(data).all(gram)
         least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
         # A part has span - 1 starts more than windows.
         width, span = 1, gram + 1
@@ -104,19 +118,35 @@ class Unit:
         pick = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
         return np.flatnonzero(np.concatenate([[pick[0] != before], pick[1:] != pick[:-1]])), pick, grams
 
-    def ranks(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges in order of their starts, each of two lengths at most."""
-        out = np.empty(len(starts), np.uint64)
+    def ranks(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the windows at sorted places, in two words: pairs of the ranks of a window's halves.
+
+        The halves' ranks are hashes, the second word's by another seed; a pair stands at the offset that is left of
+        the window behind a half.
+        """
+        half = -(-self.length // 2)
+        words = np.empty((2, len(starts)), np.uint64)
         for at in range(0, len(self.data), CHUNK):
             i, j = np.searchsorted(starts, [at, at + CHUNK]).tolist()
             if j > i:
-                out[i:j] = RollingHash(self.data[at : at + CHUNK + 2 * self.length]).of(starts[i:j] - at, ends[i:j] - at)
-        return out
-
-    def whole(self, suffixes: np.ndarray) -> np.ndarray:
-        """Ranks of all bytes of the windows that sample these suffixes."""
-        low = self.low[suffixes]
-        return mix(self.ranks(low, self.high[suffixes] + self.length) + (self.at[suffixes] - low).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+                part, places = self.data[at : at + CHUNK + self.length], starts[i:j] - at
+                for seed in (0, 1):
+                    blocks = Blocks(part, seed)
+                    words[seed, i:j] = _named(blocks.of(places, half), blocks.of(places + (self.length - half), half))
+        return words[0], words[1]
+
+    def whole(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of all bytes of the windows that sample these suffixes: pairs of the first and the last window's.
+
+        The pair's offset is at most the sampled part's length, so that the two windows cover all bytes between.
+        """
+        low, high = self.low[suffixes], self.high[suffixes]
+        # Both places in order, each once, as ranks() reads the bytes from front to back.
+        places, at = np.unique(np.concatenate([low, high]), return_inverse=True)
+        ranks = self.ranks(places)
+        shape = ((high - low) << 32 | (self.at[suffixes] - low)).astype(np.uint64)
+        n = len(low)
+        return tuple(_named(r[at[:n]] + shape, r[at[n:]]) for r in ranks)
 
     @classmethod
     def read(cls, batch: pa.RecordBatch, row: int, length: int) -> Unit:
@@ -124,11 +154,11 @@ class Unit:
         data = np.frombuffer(pa.decompress(batch["data"][row].as_py(), max(1, sum(sizes)), "zstd", asbytes=True), np.uint8)[: sum(sizes)]
         return cls(batch["docs"][row].as_py(), sizes, data, length)
 
-    def windows(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, suffixes: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
         """Starts, ranks and documents of all windows that sample these suffixes."""
         n = self.high[suffixes] - self.low[suffixes] + 1
         starts = ranges(self.low[suffixes], n)
-        return starts, mix(self.ranks(starts, starts + self.length) + np.uint64(0xA0761D6478BD642F)), np.repeat(self.doc[suffixes], n)
+        return starts, self.ranks(starts), np.repeat(self.doc[suffixes], n)
 
 
 def units(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int, bucket_bytes: int) -> DataFrame:
@@ -164,15 +194,25 @@ def units(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int, bucket_b
     return bucketed(gathered, f"suffix_units_{uuid.uuid4().hex}", "unit", max(1, min(50_000, -(-size // bucket_bytes)))), size
 
 
-def _asking(unit: int, base: int, bits: int, streams: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]) -> Iterator[tuple]:
-    """Rows that ask the partitions of some streams of sorted keys, each with its key bits and two values."""
-    for k, (keys, key_bits, a, b) in enumerate(streams):
-        own = leading(keys, bits)
+class Stream(NamedTuple):
+    """Sorted keys of a round with key bits, second words (none for a first round's) and two values each."""
+
+    keys: np.ndarray
+    bits: int
+    more: np.ndarray | None
+    a: np.ndarray
+    b: np.ndarray | None = None
+
+
+def _asking(unit: int, base: int, bits: int, streams: list[Stream]) -> Iterator[tuple]:
+    """Rows that ask the partitions of some streams' keys by the keys' leading bits."""
+    for k, s in enumerate(streams):
+        own = leading(s.keys, bits)
         parts = np.unique(own)
         low, high = np.searchsorted(own, parts).tolist(), np.searchsorted(own, parts, side="right").tolist()
         for part, i, j in zip(parts.tolist(), low, high, strict=True):
             least = np.uint64(part << (64 - bits)) if bits else np.uint64(0)
-            yield (k << 32) | part, unit, base, _pack(keys[i:j] - least, key_bits), squeeze(a[i:j]), squeeze(b[i:j])
+            yield (k << 32) | part, unit, base, _pack(s.keys[i:j] - least, s.bits), squeeze(s.more[i:j]) if s.more is not None else b"", squeeze(s.a[i:j]), squeeze(s.b[i:j]) if s.b is not None else b""
 
 
 def _answers(asked: DataFrame, kinds: tuple[str, ...], name: str) -> DataFrame:
@@ -180,25 +220,25 @@ def _answers(asked: DataFrame, kinds: tuple[str, ...], name: str) -> DataFrame:
 
     shared: whether rows of different documents have the rank (a: this unit's do). many: whether suffixes of the
     rank go on differently (a, b: least rank of the whole and what the greatest exceeds it by). least: whether a
-    smaller document has the rank elsewhere (a: this unit's smallest less base).
+    smaller document has the rank elsewhere (a: this unit's smallest less base); its keys have two words.
     """
 
     def answer(table: pa.Table) -> pa.Table:
         kind = kinds[table["part"][0].as_py() >> 32]
         keys = [np.cumsum(unsqueeze(b), dtype=np.uint64) for b in table["keys"].to_pylist()]
-        a = np.concatenate([unsqueeze(b) for b in table["a"].to_pylist()])
+        values = lambda c: np.concatenate([unsqueeze(b) for b in table[c].to_pylist()])
+        a = values("a")
         ends = np.cumsum(list(map(len, keys)))
         joined = np.concatenate(keys)
         if kind == "shared":
-            _, at, (n, flag) = _by_key(joined, (np.add, np.ones(len(joined), np.int64)), (np.maximum, a))
+            _, at, (n, flag), _ = _by_key(joined, (np.add, np.ones(len(joined), np.int64)), (np.maximum, a))
             out = ((n > 1) | (flag > 0))[at]
         elif kind == "many":
-            b = a + np.concatenate([unsqueeze(b) for b in table["b"].to_pylist()])
-            _, at, (low, high) = _by_key(joined, (np.minimum, a), (np.maximum, b))
+            _, at, (low, high), _ = _by_key(joined, (np.minimum, a), (np.maximum, a + values("b")))
             out = (low != high)[at]
         else:
             doc = a.astype(np.int64) + np.repeat(np.array(table["base"].to_pylist(), np.int64), list(map(len, keys)))
-            _, at, (least,) = _by_key(joined, (np.minimum, doc))
+            _, at, (least,), _ = _by_key(joined, (np.minimum, doc), more=values("more"))
             out = least[at] < doc
         return pa.table([table["part"], table["unit"], pa.array([_flags(out[e - len(k) : e]) for k, e in zip(keys, ends.tolist(), strict=True)], pa.binary())], names=["part", "unit", "flags"])
 
@@ -221,16 +261,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     Suffixes are sampled by content (see Unit), so that each string of the given length has one, equal for equal
     strings. In each round, units send the ranks of the suffixes still undecided, Spark sorts them together, and
-    suffixes that are unique leave. The first rank is of half the length. The next is of all bytes that the windows of
-    a suffix cover, at which most copies are decided at once: all but those of the smallest document go. Where
-    suffixes of one first rank go on differently, the last round ranks each of their windows of the full length.
-    Ranks are 64-bit hashes. A unit sends each rank once, so that frequent passages meet in one row for each unit.
+    suffixes that are unique leave. The first rank is of half the length. It doubles to the whole length by pairs of
+    ranks half a length apart, and to all bytes that the windows of a suffix cover (up to one and a half lengths) by
+    pairs of those, at which most copies are decided at once: all but those of the smallest document go. Where
+    suffixes of one first rank go on differently, the last round has the pair of each of their windows. Ranks are
+    named by hashes instead of numbered, of 128 bits where they decide. A unit sends each rank once, so that frequent
+    passages meet in one row for each unit.
     """
     spark = docs.sparkSession
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     table, size = units(docs, id_col, text_col, unit_bytes, bucket_bytes)
     bits = min(24, max(0, int(np.ceil(np.log2(max(1, size / (length // 4) / partition_suffixes))))))
-    asked = [pa.field("part", pa.int64()), pa.field("unit", pa.int64()), pa.field("base", pa.int64()), pa.field("keys", pa.binary()), pa.field("a", pa.binary()), pa.field("b", pa.binary())]
+    asked = [pa.field("part", pa.int64()), pa.field("unit", pa.int64()), pa.field("base", pa.int64()), pa.field("keys", pa.binary()), pa.field("more", pa.binary()), pa.field("a", pa.binary()), pa.field("b", pa.binary())]
 
     def asker(streams):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,38 +290,38 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         return (doc - base).astype(np.uint64)
 
     def first_ranks(u: Unit, batch: pa.RecordBatch, row: int, base: int):
-        keys, _, (low, high) = _by_key(u.first, (np.minimum, u.doc), (np.maximum, u.doc))
-        return [(keys, FIRST_BITS, (low != high).astype(np.uint64), np.zeros(len(keys), np.uint64))]
+        keys, _, (low, high), _ = _by_key(u.first, (np.minimum, u.doc), (np.maximum, u.doc))
+        return [Stream(keys, FIRST_BITS, None, (low != high).astype(np.uint64))]
 
     def undecided(u: Unit, batch: pa.RecordBatch, row: int) -> np.ndarray:
         """Suffixes whose first rank another document has."""
-        _, at, _ = _by_key(u.first)
+        _, at, _, _ = _by_key(u.first)
         return np.flatnonzero(_answered(batch, row, "r1", 0)[at]) if len(at) else at
 
     def whole_ranks(u: Unit, batch: pa.RecordBatch, row: int, base: int):
         some = undecided(u, batch, row)
-        rank = u.whole(some)
-        wholes, _, (least,) = _by_key(rank, (np.minimum, u.doc[some]))
-        short = rank >> np.uint64(16)
-        firsts, _, (low, high) = _by_key(u.first[some], (np.minimum, short), (np.maximum, short))
-        return [(wholes, 64, less(least, base), np.zeros(len(wholes), np.uint64)), (firsts, FIRST_BITS, low, high - low)]
+        rank, second = u.whole(some)
+        wholes, _, (least,), more = _by_key(rank, (np.minimum, u.doc[some]), more=second)
+        firsts, _, (low, high), _ = _by_key(u.first[some], (np.minimum, rank), (np.maximum, rank))
+        return [Stream(wholes, 64, more, less(least, base)), Stream(firsts, FIRST_BITS, None, low, high - low)]
 
     def decided(u: Unit, batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes whose windows all go, and suffixes whose windows are ranked one by one."""
         some = undecided(u, batch, row)
         if not len(some):
             return some, some
-        _, at, (least,) = _by_key(u.whole(some), (np.minimum, u.doc[some]))
+        rank, second = u.whole(some)
+        _, at, (least,), _ = _by_key(rank, (np.minimum, u.doc[some]), more=second)
         copy = _answered(batch, row, "r2", 0)[at] | (u.doc[some] > least[at])
-        _, at, _ = _by_key(u.first[some])
+        _, at, _, _ = _by_key(u.first[some])
         many = _answered(batch, row, "r2", 1)[at]
         return some[copy], some[~copy & many]
 
     def window_ranks(u: Unit, batch: pa.RecordBatch, row: int, base: int):
         _, rest = decided(u, batch, row)
-        _, ranks, doc = u.windows(rest)
-        keys, _, (least,) = _by_key(ranks, (np.minimum, doc))
-        return [(keys, 64, less(least, base), np.zeros(len(keys), np.uint64))]
+        _, (rank, second), doc = u.windows(rest)
+        keys, _, (least,), more = _by_key(rank, (np.minimum, doc), more=second)
+        return [Stream(keys, 64, more, less(least, base))]
 
     @trimmed
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +329,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             for row in range(batch.num_rows):
                 u = Unit.read(batch, row, length)
                 gone, rest = decided(u, batch, row)
-                starts, ranks, doc = u.windows(rest)
-                keys, at, (least,) = _by_key(ranks, (np.minimum, doc))
+                starts, (rank, second), doc = u.windows(rest)
+                _, at, (least,), _ = _by_key(rank, (np.minimum, doc), more=second)
                 copy = (_answered(batch, row, "r3", 0)[at] | (doc > least[at])) if len(at) else np.empty(0, bool)
                 cover = np.zeros(len(u.data) + 1, np.int32)
                 np.add.at(cover, np.concatenate([u.low[gone], starts[copy]]), 1)
