@@ -89,6 +89,37 @@ def test_patricia_trie_matches_a_dictionary():
     assert {k: (a, n) for k, a, n, _ in trie.terminals()} == want
 
 
+def test_tries_spill_by_subtree():
+    draw = np.random.default_rng(4)
+    trie, want, out = exact_dedup.PatriciaTrie(), Counter(), []
+    for i in range(4000):
+        key = bytes(draw.integers(97, 100, draw.integers(0, 12)).astype(np.uint8))
+        trie.insert(key, i, 1)
+        want[key] += 1
+        if trie.held > 3000:
+            out += trie.spill(1500)
+            assert 0 < trie.held <= 1500
+    left = list(trie.terminals())
+    assert sum(len(label) for node in [trie.root] for label in labels(node)) == trie.held
+    found = Counter()
+    for key, _, n, _ in out + left:
+        found[key] += n
+    assert out and left and found == want
+
+
+def labels(node):
+    for label, below in node[0].values():
+        yield label
+        yield from labels(below)
+
+
+def test_spilled_groups_add_up(docs, monkeypatch):
+    want = sorted(map(str, exact_dedup.exact_groups(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "_combine", lambda batches: exact_dedup.combined(batches, 2000))
+    monkeypatch.setattr(exact_dedup, "_own", lambda batches: exact_dedup.owned(batches, 2000))
+    assert sorted(map(str, exact_dedup.exact_groups(docs).collect())) == want
+
+
 def brute_fingerprint(text, k=4):
     words = (text or "").translate(LOWER).encode().split()
     grams = [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([b" ".join(words)] if words else [])
@@ -219,7 +250,8 @@ def test_mix(docs, rows):
     for (size, target), n in taken.items():
         docs_of = [len(re.findall(WORD, r.text or "")) for r in rows]
         assert abs(n - target) <= max(docs_of)
-    key = lambda r: (ident(r.doc_id), r.size, r.taken, r.shard, r.position)
+    assert all(len(r.shards) == r.passes and all(0 <= x < 4 for x in r.shards) for r in found)
+    key = lambda r: (ident(r.doc_id), r.size, r.taken, r.shards, r.position)
     assert sorted(map(key, found)) == sorted(map(key, mixing.mix(docs.repartition(5), shards=4).collect()))
 
 
@@ -238,6 +270,22 @@ def test_splitting_tree_is_exact():
     assert (deal == mixing.split_quotas(quotas, 5)).all()
 
 
+def test_block_queues_make_up_the_target():
+    draw = np.random.default_rng(3)
+    for _ in range(200):
+        sizes = draw.integers(0, 50, draw.integers(1, 30)).tolist()
+        target = float(draw.uniform(0, 2 * sum(sizes)))
+        queue = mixing.block_queue(sizes, target, 2.0, draw)
+        assert max(Counter(b for b, _ in queue).values(), default=0) <= 2
+        whole = sum(sizes[b] for b, part in queue if part is None)
+        parts = [(b, part) for b, part in queue if part is not None]
+        assert whole <= target + 1e-9 and len(parts) <= 1
+        if parts:
+            assert parts[0][1] == pytest.approx(target - whole) and sizes[parts[0][0]] > parts[0][1]
+        else:
+            assert whole == pytest.approx(target) or not sum(sizes) or whole == 2 * sum(sizes)
+
+
 def test_mixed_documents_repeat_what_is_taken(docs):
     passes = Counter(r.passes for r in mixing.mix(docs).collect())
     assert mixing.mixed_documents(docs).count() >= passes[1]

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tissuelake.llm.common import SPACES, written
@@ -41,10 +39,10 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def split_quotas(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """Blocks of each source (columns) for each output shard (rows), exact in both sums up to the tree's halves.
+    """Block draws of each source (columns) for each output shard (rows), exact in both sums up to the tree's halves.
 
     A node of the tree splits its quotas between its two halves of the shards: the left half gets its share of all
-    the node's blocks, and which source they come from is a multivariate-hypergeometric draw. A node's draw is
+    the node's draws, and which source they come from is a multivariate-hypergeometric draw. A node's draw is
     seeded by its place in the tree, so that any part of the tree can be drawn anew alone.
     """
     out = np.zeros((shards, len(quotas)), np.int64)
@@ -65,8 +63,33 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarra
     return out
 
 
+def block_queue(sizes: list[int], target: float, most: float, draw: np.random.Generator) -> list[tuple[int, float | None]]:
+    """The draws of one source's blocks that make up its target: (block, None), or (block, words) for a part of one.
+
+    The blocks come in one drawn order, again and again while the target has room for all of them. Of the last pass
+    those are drawn that still fit; of the first that doesn't, a part is drawn, as large as what the others leave.
+    """
+    order = draw.permutation(len(sizes)).tolist()
+    total = sum(sizes)
+    if not total:
+        return []
+    passes = min(int(target // total), int(most))
+    queue: list[tuple[int, float | None]] = [(b, None) for _ in range(passes) for b in order]
+    room, crossing = target - passes * total, None
+    if passes < most:
+        for b in order:
+            if sizes[b] <= room:
+                queue.append((b, None))
+                room -= sizes[b]
+            elif crossing is None:
+                crossing = b
+        if crossing is not None:
+            queue.append((crossing, room))
+    return queue
+
+
 def _greedy(rest: pd.DataFrame) -> pd.DataFrame:
-    """Of one source's boundary block, the documents that get one more pass: in their drawn order while they fit."""
+    """Of a block that is drawn in part, the documents that the part has: in their drawn order while they fit."""
     rest = rest.sort_values(["draw", "doc"], kind="stable")
     room, gets = float(rest["room"].iloc[0]), []
     smallest_miss = None
@@ -82,18 +105,19 @@ def _greedy(rest: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_docs: int = BLOCK_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most_blocks: int = 1 << 20) -> DataFrame:
-    """For each row of docs: doc_id, size, source_size, target, taken, passes, shard and position.
-
-    size counts words (null text: none). Sources go by code point, null last; weights 5, 2, 1 repeat over them. A
-    source's words are its target's whole passes over all its documents and one pass over some of them. Documents
-    are taken whole, so that taken is size times passes, and passes is at most 2. Rows that repeat an id are rows of
-    their own; ties of the draw go by id. A source without words has target 0. Empty tables give empty results.
-
-    A source's documents are dealt by a hash into blocks (of block_docs at most on average, until most_blocks), which
-    come in a drawn order. The blocks of the partial pass are those whose sizes fit the target in that order; the
-    documents of the first one that doesn't fit are chosen in their drawn order. The splitting tree deals exact block quotas of each source to
-    output shards; each shard takes the next blocks of that permuted order, so that no two shards share one, and
-    shuffles its documents by the hash in position. The driver gets sizes of sources and blocks only.
+    """For each row of docs: doc_id, size, source_size, target, taken, passes, shards and position.
+
+    size counts words (null text: none). Sources go by code point, null last; weights 5, 2, 1 repeat over them.
+    Documents are taken whole, so that taken is size times passes, and passes is at most 2; shards has an output shard
+    for each pass. Rows that repeat an id are rows of their own; ties of the draw go by id. A source without words has
+    target 0. Empty tables give empty results.
+
+    A source's documents are dealt by a hash into blocks (of block_docs at most on average, until most_blocks). Its
+    quota is the number of block draws that make up its target (block_queue). The splitting tree deals the quotas of
+    all sources to output shards; a shard takes the next draws of each source's queue, as many as the tree gave it, so
+    that no two shards share one. What a document is taken is the number of its block's draws; of the one block that is
+    drawn in part, the documents are chosen in their drawn order. A shard's documents come in the order of position, a
+    hash, which shuffles them locally. The driver gets sizes of sources and blocks only.
     """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
@@ -103,50 +127,42 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_docs: int
     sources.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     blocks_of = [max(1, min(4 * shards, r["docs"] // 8), min(r["docs"] // block_docs, most_blocks // len(sources))) for r in sources]
     wanted = targets([r["size"] for r in sources])
-    plan_schema = "source string, source_no int, n_blocks int, source_size long, target double, base int"
-    base = [min(int(t // r["size"]), int(MOST)) if r["size"] else 0 for r, t in zip(sources, wanted, strict=True)]
-    planned = spark.createDataFrame([(r["source"], k, blocks_of[k], r["size"], float(wanted[k]), base[k]) for k, r in enumerate(sources)], plan_schema)
+    planned = spark.createDataFrame([(r["source"], k, blocks_of[k], r["size"], float(wanted[k])) for k, r in enumerate(sources)], "source string, source_no int, n_blocks int, source_size long, target double")
     # The plan has a row for each source; Spark broadcasts it only below its own size limit.
     dealt = rows.join(planned, rows["source"].eqNullSafe(planned["source"])).drop("source").withColumn("block", F.pmod(F.shiftright("draw", 8), F.col("n_blocks")).cast("int"))
     have = {(r["source_no"], r["block"]): r["size"] for r in dealt.groupBy("source_no", "block").agg(F.sum("size").alias("size")).collect()}
-    passes: list[tuple] = []
-    for k, r in enumerate(sources):
-        order = np.random.default_rng([seed, k]).permutation(blocks_of[k]).tolist()
-        room, more, missed = wanted[k] - base[k] * r["size"], {}, None
-        for block in order:
-            n = have.get((k, block), 0)
-            more[block] = int(n <= room)
-            room -= n * more[block]
-            if not more[block] and missed is None:
-                missed = block
-        if missed is not None:
-            more[missed] = None  # its documents are chosen one by one
-        passes.extend((k, block, place, more[block], float(room)) for place, block in enumerate(order))
-    quotas = np.array(blocks_of, np.int64)
-    deal = split_quotas(quotas, shards, seed)
-    ends = np.cumsum(deal, axis=0)
-    shard_of = [np.searchsorted(ends[:, k], np.arange(blocks_of[k]), side="right") for k in range(len(sources))]
-    blocks = spark.createDataFrame([(k, b, m, room, int(shard_of[k][place])) for k, b, place, m, room in passes], "source_no int, block int, more int, room double, shard int")
-    chosen = dealt.join(blocks, ["source_no", "block"])
-    crossing = chosen.where("more is null").select("row", "doc", "draw", "size", "room", "source_no").groupBy("source_no").applyInPandas(_greedy, "row long, more int").withColumnRenamed("more", "own")
-    final = chosen.join(crossing, "row", "left").withColumn("passes", F.col("base") + F.coalesce("more", "own"))
+    queues = [block_queue([have.get((k, b), 0) for b in range(blocks_of[k])], wanted[k], MOST, np.random.default_rng([seed, k])) for k in range(len(sources))]
+    deal = np.cumsum(split_quotas(np.array([len(q) for q in queues], np.int64), shards, seed), axis=0)
+    drawn: dict[tuple[int, int], tuple[list[int], float | None, int | None]] = {}
+    for k, queue in enumerate(queues):
+        shard_of = np.searchsorted(deal[:, k], np.arange(len(queue)), side="right").tolist()
+        for (block, part), shard in zip(queue, shard_of, strict=True):
+            whole, room, partly = drawn.get((k, block), ([], None, None))
+            drawn[k, block] = (whole, part, shard) if part is not None else ([*whole, shard], room, partly)
+    blocks = spark.createDataFrame([(k, b, whole, room, partly) for (k, b), (whole, room, partly) in drawn.items()], "source_no int, block int, whole array<int>, room double, partly int")
+    chosen = dealt.join(blocks, ["source_no", "block"], "left")
+    crossing = chosen.where("room is not null").select("row", "doc", "draw", "size", "room", "source_no").groupBy("source_no").applyInPandas(_greedy, "row long, more int")
+    final = chosen.join(crossing, "row", "left").withColumn("shards", F.concat(F.coalesce("whole", F.array().cast("array<int>")), F.when(F.col("more") > 0, F.array("partly")).otherwise(F.array().cast("array<int>"))))
     return final.select(
         F.col("doc").alias("doc_id"),
         "size",
         "source_size",
         "target",
-        (F.col("size") * F.col("passes")).alias("taken"),
-        F.col("passes").cast("int").alias("passes"),
-        "shard",
+        (F.col("size") * F.size("shards")).alias("taken"),
+        F.size("shards").alias("passes"),
+        "shards",
         F.xxhash64("draw", F.lit(seed + 1)).alias("position"),
     )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """docs as the mix has them: each document as often as it is taken; the columns stay.
+    """docs as the mix has them: each document as often as it is taken; the columns stay, whatever their names.
 
-    Rows that share an id are taken as often as the most taken of them.
+    Rows that share an id are taken as often as the most taken of them. Null texts and ids, ties, very long texts and
+    empty tables are as mix() has them; documents without words can be taken, too.
     """
-    decided = mix(docs, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("passes").alias("_passes"))
-    repeated = docs.join(decided.where("_passes > 0"), docs[id_col].eqNullSafe(decided["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_passes"))))
-    return repeated.select(*docs.columns)
+    decided = mix(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.max("passes").alias("passes")).where("passes > 0").select(F.struct("doc_id", "passes").alias("m"))
+    # Structs keep the names apart from any that docs has.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
+    repeated = own.join(decided, F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("m.doc_id"))).select("d", F.explode(F.sequence(F.lit(1), F.col("m.passes"))).alias("copy"))
+    return repeated.select("d.*")
