@@ -413,6 +413,70 @@ def test_forward_sums_all_segmentations():
                 assert a[n][row, k] == pytest.approx(brute("▁" + ["abab", "baba", "ac", "b"][w], k))
 
 
+def test_long_words_are_scored_whole():
+    pieces = ["▁a", "a", "b", "ab", "▁ab", "ba", "bab"]
+    known = langid.Pieces(pieces)
+    p = np.random.default_rng(1).uniform(0.1, 0.3, (known.n, 3))
+    table = langid._with_zero(p)
+    for word in ("abab", "abbabaabab", "cabab"):
+        ((at, n, found),) = known.spans([word])
+        a, logs = langid.scaled_forward(known.of_long(word), table)
+        assert np.allclose(np.log(a[-1]) + logs[-1], np.log(langid.forward(n, 1, found, table)[n][0]))
+    one = langid._with_zero(p[:, :1])
+    ((at, n, found),) = known.spans(["abbabab"])
+    f = langid.forward(n, 1, found, one)
+    b = np.zeros_like(f)
+    b[n] = 1
+    for i, j, piece in reversed(found):
+        b[i] += b[j] * one[piece]
+    want = np.zeros(known.n + 1)
+    for i, j, piece in found:
+        if piece[0] >= 0:
+            want[piece[0]] += (f[i] * one[piece] * b[j] / f[n])[0, 0]
+    assert np.allclose(langid.expected_of_long(known.of_long("abbabab"), one, known.n + 1), want)
+    scorer = langid.Scorer(pieces, p)
+    x, y = scorer.of(["ab" * 5000, "ab"])
+    assert np.isfinite(x).all() and (x < 2000 * y).all()
+    langs, probabilities = langid.fit({"a": {"ab" * 40: 2, "ab": 1}, "b": {"b" * 50: 1}}, known)
+    assert langs == ["a", "b"] and np.allclose(probabilities.sum(0), 1)
+
+
+def test_identify_against_a_direct_model(spark):
+    """The whole query: sample, fit and posterior against sums over all segmentations, word by word."""
+    draw = np.random.default_rng(7)
+    words = {"en": "the house was blue and old".split(), "de": "das haus war blau und alt".split()}
+    rows = [(i, " ".join(draw.choice(words[lang], 12)), lang) for i in range(40) for lang in [("en", "de")[i % 2]]]
+    found = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    pieces = langid.read_pieces()
+    number = {w: k for k, w in enumerate(pieces)}
+    learned = {lang: Counter(w for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 5 for w in t.split()) for lang in words}
+
+    def cuts(w):
+        if not w:
+            return [[]]
+        ends = [k for k in range(1, len(w) + 1) if w[:k] in number]
+        own = [[number[w[:k]], *rest] for k in ends for rest in cuts(w[k:])]
+        return own + ([[len(pieces), *rest] for rest in cuts(w[1:])] if w[0] not in number else [])
+
+    prob = {}
+    for lang, counts in learned.items():
+        p = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
+        for _ in range(langid.ROUNDS):
+            expected = np.full(len(p), langid.ADDED)
+            for w, c in counts.items():
+                ways = [(np.prod(p[way]), way) for way in cuts("▁" + w)]
+                for x, way in ways:
+                    for k in way:
+                        expected[k] += c * x / sum(v for v, _ in ways)
+            p = expected / expected.sum()
+        prob[lang] = {w: math.log(sum(np.prod(p[way]) for way in cuts("▁" + w))) for w in {*words["en"], *words["de"]}}
+    for i, t, _ in rows:
+        total = {lang: sum(prob[lang][w] for w in t.split()) for lang in prob}
+        best = max(sorted(total), key=total.get)
+        assert found[i].lang_pred == best
+        assert found[i].score == pytest.approx(1 / sum(math.exp(v - total[best]) for v in total.values()), abs=1e-4)
+
+
 def test_license_base(docs, rows):
     want = Counter()
     for r in rows:

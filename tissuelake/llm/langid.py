@@ -16,13 +16,13 @@ from tissuelake.llm.common import no_threads, remembered, trimmed, written
 SAMPLE_DOCS = 1000
 #: Rounds of expectation-maximisation, and what is added to each piece's expected count.
 ROUNDS, ADDED = 4, 0.1
-#: Letters of a word at most; longer runs of letters are several words.
-WORD_LETTERS = 32
+#: Longer words go through the scaled recursion, whose sums don't underflow; both give the same.
+SHORT_LETTERS = 32
 #: Words whose scores a Python worker remembers.
 CACHE_WORDS = 400_000
 UNDETERMINED = "und"
-#: Ids of the sample up to which they are broadcast.
-BROADCAST_IDS = 1_000_000
+#: Ids of the sample, and languages, up to which they are broadcast.
+BROADCAST_IDS, BROADCAST_LANGS = 1_000_000, 100_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,11 +43,8 @@ def read_pieces(path: str | None = None) -> list[str]:
 
 
 def words_of(texts: pa.Array) -> pa.Array:
-    """Lists of each text's words: runs of letters of the lower-cased text, in parts of WORD_LETTERS at most."""
+    """Lists of each text's words: runs of letters of the lower-cased text."""
     cleaned = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}]+", " ")
-    longest = rf"(\p{{L}}{{{WORD_LETTERS}}})"
-    if pc.any(pc.match_substring_regex(cleaned, longest)).as_py():
-        cleaned = pc.replace_substring_regex(cleaned, longest, r"\1 ")
     cleaned = pc.utf8_trim(cleaned, " ")
     # Splitting an empty string gives one empty word; a null gives none.
     return pc.ascii_split_whitespace(pc.if_else(pc.equal(cleaned, ""), pa.scalar(None, cleaned.type), cleaned))
@@ -95,6 +92,48 @@ class Pieces:
             yield at, n, found
 
 
+    def of_long(self, word: str) -> np.ndarray:
+        """(letters, longest): the piece that starts at a place and has a length, -1 where there is none."""
+        letters = np.frombuffer(("▁" + word).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        n = len(letters)
+        out, h = np.full((n, self.longest), -1, np.int32), np.zeros(n, np.uint64)
+        for j in range(min(self.longest, n)):
+            h = self._next(h[: n - j], letters[j:])
+            k = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+            found = np.where(self.hashes[k] == h, self.ids[k], -1) if len(self.hashes) else np.full(n - j, -1)
+            out[: n - j, j] = np.where(found < 0, self.n - 1, found) if not j else found
+        return out
+
+
+def scaled_forward(pieces: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward sums of one word as (letters + 1, languages) numbers and their common log scales, one a place."""
+    n, longest = pieces.shape
+    a, logs = np.zeros((n + 1, table.shape[1])), np.zeros(n + 1)
+    a[0] = 1
+    for j in range(1, n + 1):
+        i = np.arange(max(0, j - longest), j)
+        sums = (a[i] * np.exp(logs[i] - logs[j - 1])[:, None] * table[pieces[i, j - 1 - i]]).sum(0)  # piece -1 takes the last row, of zeros
+        top = sums.max()
+        a[j], logs[j] = sums / top, logs[j - 1] + np.log(top)
+    return a, logs
+
+
+def expected_of_long(pieces: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
+    """Expected counts of pieces in one word, of a table of one language."""
+    n, longest = pieces.shape
+    a, up = scaled_forward(pieces, table)
+    p, b, down = table[:, 0], np.zeros(n + 1), np.zeros(n + 1)
+    b[n] = 1
+    for i in range(n - 1, -1, -1):
+        j = np.arange(i + 1, min(n, i + longest) + 1)
+        total = (p[pieces[i, j - 1 - i]] * b[j] * np.exp(down[j] - down[i + 1])).sum()
+        b[i], down[i] = 1.0, down[i + 1] + np.log(total)
+    i, length = np.nonzero(pieces >= 0)
+    j = i + length + 1
+    share = a[i, 0] * p[pieces[i, length]] * b[j] * np.exp(up[i] + down[j] - up[n]) / a[n, 0]
+    return np.bincount(pieces[i, length], share, size)
+
+
 def forward(n: int, rows: int, found: list[tuple[int, int, np.ndarray]], table: np.ndarray) -> np.ndarray:
     """Sums over all segmentations of each prefix, by language: (n + 1, rows, languages). table: (pieces + 1, languages)."""
     a = np.zeros((n + 1, rows, table.shape[1]))
@@ -113,9 +152,10 @@ def fit(counts: dict[str, dict[str, int]], pieces: Pieces, rounds: int = ROUNDS,
     langs = sorted(counts)
     p = np.zeros((pieces.n, len(langs)))
     for k, lang in enumerate(langs):
-        words = sorted(counts[lang])
+        words = sorted(w for w in counts[lang] if len(w) <= SHORT_LETTERS)
         weight = np.array([counts[lang][w] for w in words], float)
         groups = list(pieces.spans(words))
+        longer = [(pieces.of_long(w), c) for w, c in sorted(counts[lang].items()) if len(w) > SHORT_LETTERS]
         own = np.full((pieces.n, 1), 1.0 / pieces.n)
         for _ in range(rounds):
             table, expected = _with_zero(own), np.zeros(pieces.n + 1)
@@ -128,6 +168,8 @@ def fit(counts: dict[str, dict[str, int]], pieces: Pieces, rounds: int = ROUNDS,
                 share = weight[at] / a[n][:, 0]
                 for i, j, piece in found:
                     expected += np.bincount(np.where(piece < 0, pieces.n, piece), a[i][:, 0] * table[piece][:, 0] * b[j][:, 0] * share, pieces.n + 1)
+            for own_pieces, c in longer:
+                expected += c * expected_of_long(own_pieces, table, pieces.n + 1)
             c = expected[:-1] + added
             own = (c / c.sum())[:, None]
         p[:, k] = own[:, 0]
@@ -153,7 +195,13 @@ class Scorer:
             first = len(self.known)
             while first + len(new) > len(self.logs):
                 self.logs = np.concatenate([self.logs, np.empty_like(self.logs)])
-            for at, n, found in self.pieces.spans(new):
+            for k in (k for k, w in enumerate(new) if len(w) > SHORT_LETTERS):
+                a, logs = scaled_forward(self.pieces.of_long(new[k]), self.table)
+                with np.errstate(divide="ignore"):
+                    self.logs[first + k] = np.log(a[-1]) + logs[-1]
+            short = np.array([k for k, w in enumerate(new) if len(w) <= SHORT_LETTERS], np.int64)
+            for own, n, found in self.pieces.spans([new[k] for k in short.tolist()]):
+                at = short[own]
                 for k in range(0, len(at), 20_000):
                     some = slice(k, k + 20_000)
                     a = forward(n, len(at[some]), [(i, j, piece[some]) for i, j, piece in found], self.table)
@@ -165,9 +213,13 @@ class Scorer:
 def learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> dict[str, dict[str, int]]:
     """Counts of words by language of the sample: labelled documents that aren't held out."""
     labelled = docs.where(F.col(lang_col).isNotNull() & ~_held_out(id_col)).select(F.col(id_col).cast("long").alias("doc"), F.col(lang_col).cast("string").alias("lang"))
-    # Only ids whose hash may be among a language's smallest are ranked, so that no task ranks all of a language.
-    sizes = labelled.groupBy(F.col("lang").alias("lang_")).agg(F.count("*").alias("n"))
-    hashed = labelled.withColumn("u", F.pmod(F.xxhash64("doc"), F.lit(1 << 40))).join(sizes, F.col("lang") == F.col("lang_")).where(F.col("u") * F.col("n") < F.lit(float(1 << 40)) * (2 * sample_docs))
+    # Only ids whose hash may be among a language's smallest are ranked, so that no task ranks all of a language. The
+    # hash that an id must stay under follows from the language's number of documents, of which the driver gets one row
+    # a language.
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    under = docs.sparkSession.createDataFrame([(r["lang"], (2 * sample_docs << 40) // r["n"]) for r in sizes], "lang_ string, under long")
+    under = F.broadcast(under) if len(sizes) <= BROADCAST_LANGS else under
+    hashed = labelled.withColumn("u", F.pmod(F.xxhash64("doc"), F.lit(1 << 40))).join(under, F.col("lang") == F.col("lang_")).where(F.col("u") < F.col("under"))
     order = Window.partitionBy("lang").orderBy("u", "doc")
     ids = hashed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_docs).select("doc").distinct()
     ids = written(ids, "language-sample")
@@ -204,8 +256,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     lang, by expectation-maximisation over all segmentations of their words. A text's log probability in a language
     is the sum over its words (repeats counted) of the log of the forward sum over all segmentations. lang_pred is the
     likeliest language (ties: the smallest name), score its posterior under equal priors. A null text, one without
-    letters, and every text when nothing was learned, is `und` with score 0. Very long texts are read whole; runs of
-    letters are cut into words of WORD_LETTERS. Rows that repeat an id are rows of their own; other columns don't
+    letters, and every text when nothing was learned, is `und` with score 0. Texts and runs of letters are read whole,
+    however long. Rows that repeat an id are rows of their own; other columns don't
     matter. An empty table gives an empty result.
     """
     predict = _predictor(docs, id_col, text_col, lang_col, sample_docs, path)
@@ -250,7 +302,11 @@ def _predictor(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sampl
 
 
 def identified_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, path: str | None = None) -> DataFrame:
-    """docs without the rows whose language is undetermined; the columns stay."""
+    """docs without the rows whose language is undetermined; the columns stay, whatever their names.
+
+    Null texts and texts without letters go, and all texts where nothing was learned. Every other row stays, rows that
+    repeat an id or text among them; very long texts are read whole. An empty table stays empty.
+    """
     predict = _predictor(docs, id_col, text_col, lang_col, sample_docs, path)
     place = docs.columns.index(text_col)
 
