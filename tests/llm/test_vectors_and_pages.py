@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tissuelake.llm import ann, html_extract
 from tissuelake.llm.graph import components
@@ -99,6 +100,41 @@ def test_extract(spark):
     assert found[45][0][1].startswith("un")
 
 
+def direct_classes(rows):
+    """Tokens of valid classes by definition: whole occurrence vectors, and different pages that have them."""
+    from collections import defaultdict
+
+    out = defaultdict(set)
+    for host in {h for _, h, _ in rows}:
+        own = [(html, html_extract.page_tokens(html)) for _, h, html in rows if h == host]
+        classes = defaultdict(list)
+        for token in {t for _, c in own for t in c}:
+            classes[tuple(c[token] for _, c in own)].append(token)
+        for vector, tokens in classes.items():
+            if len(tokens) >= 3 and len({html for (html, _), n in zip(own, vector, strict=True) if n}) >= 3:
+                out[host] |= set(tokens)
+    return dict(out)
+
+
+def test_templates_are_the_valid_classes(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet").select(F.col("page_id").alias("page"), html_extract.host_of(F.col("url")).alias("host"), "html")
+    for frame in (pages, pages.unionAll(pages).repartition(5)):  # rows that repeat change nothing
+        rows = [tuple(r) for r in frame.collect()]
+        found = {r.host: r.tokens for r in html_extract.templates(frame).collect()}
+        assert all(t == sorted(t) for t in found.values())
+        assert {h: set(t) for h, t in found.items()} == direct_classes(rows)
+
+
+def test_layouts_of_one_host_have_their_own_templates(spark):
+    body = "<div class='l{k}'><div class='b'>Banner {k}</div><div class='m'>More of layout {k}</div><div class='t'><h2>Head {i}</h2><p>Words of page {i} only.</p></div></div>"
+    rows = [(i, "http://h.example/", f"<html><body>{body.format(k=i % 5, i=i)}</body></html>") for i in range(40)]
+    rows += [(100 + i, "http://h.example/", "<html><body><div class='t'><p>One text. </p><p>Copied often.</p></div></body></html>") for i in range(9)]
+    found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        assert found[i] == f"Head {i}\nWords of page {i} only."
+    assert all(found[100 + i] == "One text.\nCopied often." for i in range(9))  # copies of a page are one page
+
+
 def test_extract_by_join_equals_broadcast(spark, data, monkeypatch):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     want = sorted(html_extract.extract(pages).collect())
