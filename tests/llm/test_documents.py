@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tissuelake.llm import exact_dedup, langid, license_scan, lm, mixing, packing, simhash, suffix_dedup
 
@@ -182,8 +183,40 @@ def test_drop_near_copies(spark):
             groups[-1].append(len(rows))
             rows.append((len(rows), " ".join(copy)))
     left = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    first = {g[0] for g in groups}
-    assert first <= left and len(left - first) <= 2  # a copy may lie beyond the radius
+    assert left == {g[0] for g in groups}
+
+
+def test_bounds_never_reject_similar_sets(spark):
+    draw = np.random.default_rng(14)
+    rows, want = [], []
+    for n in (1, 5, 40, 300, 2000):
+        for _ in range(12):
+            a = draw.integers(0, 2**63, n).astype(np.uint64)
+            b = np.concatenate([a[int(n * draw.uniform(0, 0.2)) :], draw.integers(0, 2**63, int(n * draw.uniform(0, 0.2))).astype(np.uint64)])
+            rows.append((len(a), len(b), simhash.bitmap(a), simhash.bitmap(b)))
+            want.append(simhash.jaccard(np.sort(a), np.sort(b)))
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, na int, nb int, a array<long>, b array<long>")
+    can = frame.select("i", simhash.can_be_similar(F.col("na"), F.col("nb"), F.col("a"), F.col("b"), 0.8).alias("can")).collect()
+    assert all(r.can for r in can if want[r.i] >= 0.8)
+    far = [simhash.bitmap(draw.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(2)]
+    assert not spark.createDataFrame([(300, 300, *far)], "na int, nb int, a array<long>, b array<long>").select(simhash.can_be_similar(F.col("na"), F.col("nb"), F.col("a"), F.col("b"), 0.8)).first()[0]
+
+
+def test_near_copies_against_all_pairs(spark, docs, rows):
+    """Of the whole table, odd rows and all: every link at 0.8 or more by definition, and nothing else."""
+    def shingles(t):
+        w = (t or "").translate(LOWER).encode().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    texts = sorted({r.text or "" for r in rows})
+    sets = {t: shingles(t) for t in texts}
+    sim = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] or sets[b] else 1.0
+    tops = linked(texts, lambda a, b: sim(a, b) >= 0.8)
+    least = defaultdict(lambda: math.inf)
+    for r in rows:
+        least[tops[r.text or ""]] = min(least[tops[r.text or ""]], ident(r.doc_id))
+    want = Counter((r.doc_id, None if (x := least[tops[r.text or ""]]) == math.inf else x) for r in rows)
+    assert Counter((r.doc, r.component_id) for r in simhash.similar_groups(docs).collect()) == want
 
 
 def partly_changed(words, at, k):

@@ -11,18 +11,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import forget, mix, trimmed, written
+from tissuelake.llm.common import forget, mix, string_bytes, trimmed, word_hashes, written
 from tissuelake.llm.graph import components
 
 BITS = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: The same for arrays of bytes, with one space for all white space.
+_FOLD = np.frombuffer(bytes(32 if c in b" \t\n\x0b\x0c\r" else _LOWER[c] for c in range(256)), np.uint8)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Cost of dealing one probe, in units of verifying one candidate.
 PROBE_COST = 60.0
-#: Bits of 128 in which the further fingerprints of similar texts may differ: at a similarity of 0.8, 19 do on
-#: average, with a deviation of 4.
-SECOND_BITS = 27
 #: Counters of how many texts have a shingle, by bits of its hash, and how many of them make up a part.
 COUNTERS, COUNTER_PART = 1 << 20, 1 << 10
+#: Longs of a set's bitmap, whose bits are the parities of how many shingles fall on them.
+BITMAP = 8
 #: Points of candidate pairs up to which they are broadcast to find their texts.
 BROADCAST_POINTS = 1 << 20
 
@@ -220,6 +222,44 @@ def near_groups(docs: DataFrame, k: int = 4, radius: int = 4, id_col: str = "doc
     return prints.join(of, "fp").select(F.col("doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """Hashes of the k-word shingles of each text, repeats included, from those of its words: the same for the same words.
+
+    A text of fewer words has one shingle, one without words none.
+    """
+    data, offsets = string_bytes(texts)
+    words, n = word_hashes(_FOLD[data], offsets)
+    whole = np.zeros(max(0, len(words) - k + 1), np.uint64)
+    for i in range(k):
+        whole = mix(whole * _ODD + words[i : i + len(whole)])
+    ends = np.cumsum(n)
+    for start, end in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        if end - start >= k:
+            yield whole[start : end - k + 1]
+            continue
+        h = np.zeros(min(1, end - start), np.uint64)
+        for w in words[start:end]:
+            h = mix(h * _ODD + w)
+        yield h
+
+
+def bitmap(shingles: np.ndarray) -> list[int]:
+    """A set's bitmap: two sets differ in as many elements at least as their bitmaps in bits."""
+    odd = np.bincount((shingles >> np.uint64(40)).astype(np.int64) & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").tolist()
+
+
+def can_be_similar(na: Column, nb: Column, a: Column, b: Column, similarity: float) -> Column:
+    """Whether sets of these sizes and bitmaps can have the similarity: their sizes and differing bits bound it."""
+    differing = sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITMAP))
+    return (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-9) & (differing <= na + nb - 2 * least_common(na, nb, similarity))
+
+
+def least_common(na: Column, nb: Column, similarity: float) -> Column:
+    """How many elements sets of these sizes have in common at least, if they have the similarity."""
+    return F.ceil((na + nb) * (similarity / (1 + similarity)) - 1e-9)
+
+
 def texts_of(docs: DataFrame, text_col: str) -> DataFrame:
     """point (a hash of the text, null texts as empty ones) and text of each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -227,33 +267,32 @@ def texts_of(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def described(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, point (a hash of its text), fp, fp2 and fp3 (of other hashes) and n (different shingles) of each row.
+    """doc, point (a hash of its text), fp, n (different shingles) and their bitmap of each row.
 
     Rows with a part hold, behind those of each task, how many of its rows have shingles of each counter of the part.
     """
-    names = ["doc", "point", "fp", "fp2", "fp3", "n", "part", "counts"]
+    names = ["doc", "point", "fp", "n", "bits", "part", "counts"]
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        counts = np.zeros(COUNTERS, np.int32)
-        for batch in batches:
-            rows = []
-            for t in batch["text"]:
-                h = shingle_hashes(t.as_py(), k)
-                again, different = mix(h), np.unique(h)
-                np.add.at(counts, _counter(different), 1)
-                rows.append((fingerprint(h), fingerprint(again), fingerprint(mix(again)), len(different)))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch["doc"], batch["point"], *(pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=names)
-        held = [(i, part.tobytes()) for i, part in enumerate(counts.reshape(-1, COUNTER_PART)) if part.any()]
+        counts = np.zeros(COUNTERS, np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                prints, sets = [], []
+                for h in shingle_sets(batch["text"], k):
+                    prints.append(fingerprint(h))
+                    sets.append(np.unique(h))
+                counts += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS)
+                yield pa.RecordBatch.from_arrays([batch["doc"], batch["point"], pa.array(prints, pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(bitmap, sets)), pa.list_(pa.int64())), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+        held = [(i, np.minimum(part, 2**31 - 1).astype(np.int32).tobytes()) for i, part in enumerate(counts.reshape(-1, COUNTER_PART)) if part.any()]
         if held:
-            empty = [pa.nulls(len(held), kind) for kind in (*[pa.int64()] * 5, pa.int32())]
+            empty = [pa.nulls(len(held), kind) for kind in (*[pa.int64()] * 3, pa.int32(), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*empty, pa.array([i for i, _ in held], pa.int32()), pa.array([b for _, b in held], pa.binary())], names=names)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("point"), text.alias("text")).mapInArrow(run, "doc long, point long, fp long, fp2 long, fp3 long, n int, part int, counts binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("point"), text.alias("text")).mapInArrow(run, "doc long, point long, fp long, n int, bits array<long>, part int, counts binary")
 
 
 def _counter(hashes: np.ndarray) -> np.ndarray:
@@ -293,10 +332,9 @@ def prefixes(texts: DataFrame, counts: np.ndarray, k: int, similarity: float) ->
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             tokens, points, ns, held = [], [], [], 0
-            for point, t in zip(batch["point"].to_pylist(), batch["text"], strict=True):
-                h = np.unique(shingle_hashes(t.as_py(), k))
+            for point, h in zip(batch["point"].to_pylist(), map(np.unique, shingle_sets(batch["text"], k)), strict=True):
                 first = h[np.lexsort((h, shared.value[_counter(h)]))][: prefix_length(len(h), similarity)] if len(h) else np.zeros(1, np.uint64)
                 tokens.append(first.view(np.int64))
                 points.append(point)
@@ -326,22 +364,23 @@ def shared_prefixes(texts: DataFrame, counts: np.ndarray, k: int, similarity: fl
 def prefix_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     """All pairs a < b of points of different tops that can have the similarity, each once.
 
-    shared: shared_prefixes with top. A pair shares a token of its prefixes; the numbers of shingles and the token's
-    places bound how many they can have in common.
+    shared: shared_prefixes with top and bits. A pair shares a token of its prefixes; the numbers of shingles, the
+    token's places and the bitmaps bound how many they can have in common. All bounds hold within the join.
     """
-    a, b = (shared.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("at", "point", "n", "top"))) for x in "ab")
-    least = F.ceil((F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9)
-    most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
-    on = (a["token"] == b["token"]) & (F.col("point_a") < F.col("point_b")) & (F.col("top_a") != F.col("top_b")) & sized & (most >= least)
+    a, b = (shared.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("at", "point", "n", "top", "bits"))) for x in "ab")
+    na, nb = F.col("n_a"), F.col("n_b")
+    most = F.least("at_a", "at_b") + F.least(na - F.col("at_a"), nb - F.col("at_b"))
+    on = (a["token"] == b["token"]) & (F.col("point_a") < F.col("point_b")) & (F.col("top_a") != F.col("top_b")) & (most >= least_common(na, nb, similarity)) & can_be_similar(na, nb, F.col("bits_a"), F.col("bits_b"), similarity)
     return a.join(b, on).select(F.col("point_a").alias("a"), F.col("point_b").alias("b")).distinct()
 
 
-def first_pairs(shared: DataFrame) -> DataFrame:
-    """Of each token the pairs of its smallest point with one of each other top: few, and enough for most groups to meet."""
-    each = shared.groupBy("token", "top").agg(F.min("point").alias("b"))
-    least = each.groupBy("token").agg(F.min(F.struct("b", "top")).alias("s")).select("token", F.col("s.b").alias("a"), F.col("s.top").alias("of"))
-    return each.join(least, "token").where("top <> of").select("a", "b").distinct()
+def first_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Of each token the pairs of its smallest point with one of each other top, if they can be similar: few, and enough
+    for most groups to meet."""
+    each = shared.groupBy("token", "top").agg(F.min(F.struct("point", "n", "bits")).alias("own"))
+    least = each.groupBy(F.col("token").alias("token_")).agg(F.min(F.struct("own", "top")).alias("s"))
+    can = can_be_similar(F.col("s.own.n"), F.col("own.n"), F.col("s.own.bits"), F.col("own.bits"), similarity)
+    return each.join(least, (F.col("token") == F.col("token_")) & (F.col("top") != F.col("s.top")) & can).select(F.col("s.own.point").alias("a"), F.col("own.point").alias("b")).distinct()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -355,17 +394,9 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets: dict[int, np.ndarray] = {}
-
-            def of(point: int, text: pa.Scalar, sets: dict[int, np.ndarray] = sets) -> np.ndarray:
-                if point not in sets:
-                    if len(sets) >= 256:
-                        sets.clear()
-                    sets[point] = np.unique(shingle_hashes(text.as_py(), k))
-                return sets[point]
-
-            keep = [jaccard(of(a, x), of(b, y)) >= similarity for a, b, x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["ta"], batch["tb"], strict=True)]
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            sets = zip(*(map(np.unique, shingle_sets(batch[c], k)) for c in ("ta", "tb")), strict=True)
+            keep = [jaccard(x, y) >= similarity for x, y in sets]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     pairs = written(pairs, "pairs")
@@ -377,42 +408,48 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "similar")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, radii: tuple[int, ...] = (4, 6, 8, 10), similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, radii: tuple[int, ...] = (4, 6), similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc and component_id (its smallest id) of each row: groups linked by similar sets of k-word shingles.
 
-    Two rounds of candidates link if the whole shingle sets of their texts have the similarity. The first, quick one
-    are pairs of fingerprints that differ in at most radii[-1] bits, whose further fingerprints (of other hashes of
-    the same shingles) differ in at most SECOND_BITS; its radius grows step by step. The second misses none: all pairs
-    that share one of their first shingles, rare ones first, of which a set has enough to meet every similar set. Only
-    pairs that join different groups are emitted, so that close groups cost few. Texts of one fingerprint are compared like any others.
+    Candidates link if the whole shingle sets of their texts have the similarity. The first ones are pairs of
+    fingerprints that differ in at most radii[-1] bits, in growing radii, and of texts of one fingerprint with the
+    smallest of them. The last ones miss none: all pairs that share one of their first shingles, rare ones first, of
+    which a set has enough to meet every similar set. Only pairs that join different groups are looked at, so that
+    close groups, which the first rounds link, cost few.
     """
     texts = texts_of(docs, text_col)
     rows = written(described(docs, k, id_col, text_col), "prints")
     prints, counts = rows.where("part IS NULL"), summed_counts(rows.where("part IS NOT NULL"))
-    points = written(prints.groupBy("point").agg(F.min("doc").alias("least"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("fp3").alias("fp3"), F.first("n").alias("n")), "points")
-    # Of each fingerprint, one point stands for the others in the first round.
-    first = written(points.groupBy("fp").agg(F.min(F.struct("point", "fp2", "fp3", "n")).alias("s")).select("fp", "s.*"), "first")
+    points = written(prints.groupBy("point").agg(F.min("doc").alias("least"), *(F.first(c).alias(c) for c in ("fp", "n", "bits"))), "points")
+    # Of each fingerprint, one point stands for the others in the first rounds.
+    first = written(points.groupBy("fp").agg(F.min(F.struct("point", "n")).alias("s")).select("fp", "s.*"), "first")
     alike = points.select("fp", F.col("point").alias("b")).join(first.select("fp", F.col("point").alias("a")), "fp").where("a <> b").select("a", "b")
-    linked = components(_similar(alike, texts, k, similarity))
+    linked = None
 
     def agree(a: Column, b: Column) -> Column:
-        alike = F.bit_count(a["fp2"].bitwiseXOR(b["fp2"])) + F.bit_count(a["fp3"].bitwiseXOR(b["fp3"])) <= SECOND_BITS
-        return (a["top"] != b["top"]) & alike & (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - 1e-9)
+        return (a["top"] != b["top"]) & (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - 1e-9)
 
     def topped(rows: DataFrame) -> DataFrame:
+        if linked is None:
+            return rows.withColumn("top", F.col("point"))
         return rows.join(linked, rows["point"] == linked["node"], "left").drop("node").withColumn("top", F.coalesce("component", "point")).drop("component")
 
-    def joined(found: DataFrame) -> DataFrame:
-        return components(found.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    def joined(candidates: DataFrame) -> DataFrame:
+        found = _similar(candidates, texts, k, similarity)
+        return components(found if linked is None else found.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     for beyond, radius in zip((0, *radii), radii):  # nearer pairs were looked at before
         grouped = written(topped(first), "grouped")
-        near = near_pairs(grouped, radius, ("fp2", "fp3", "n", "top"), agree, beyond).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+        near = near_pairs(grouped, radius, ("n", "top"), agree, beyond).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
         near = near.join(first.select(F.col("fp").alias("fa"), F.col("point").alias("a")), "fa").join(first.select(F.col("fp").alias("fb"), F.col("point").alias("b")), "fb").select("a", "b")
-        linked = joined(_similar(near, texts, k, similarity))
+        linked = joined(near if linked is not None else near.unionByName(alike))
     shared = shared_prefixes(texts, counts, k, similarity)
-    linked = joined(_similar(first_pairs(topped(shared)), texts, k, similarity))
-    linked = joined(_similar(prefix_pairs(written(topped(shared), "topped"), similarity), texts, k, similarity))
+
+    def grouped_prefixes() -> DataFrame:
+        return written(shared.join(topped(points.select("point", "bits")), "point"), "topped")
+
+    linked = joined(first_pairs(grouped_prefixes(), similarity))
+    linked = joined(prefix_pairs(grouped_prefixes(), similarity))
     grouped = written(topped(points.select("point", "least")), "grouped")
     tops = grouped.groupBy("top").agg(F.min("least").alias("component_id"))
     of = grouped.select("point", "top").join(tops, "top").select("point", "component_id")
@@ -420,7 +457,13 @@ def similar_groups(docs: DataFrame, k: int = 5, radii: tuple[int, ...] = (4, 6,
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """docs with the row of smallest id of each group of near copies; the columns stay. Rows that share an id stay or go together."""
+    """docs with the row of smallest id of each group of near copies; the columns stay, whatever their names.
+
+    Null texts are empty ones; texts without words are alike. Rows that share an id stay or go together; null ids are
+    never the smallest, and a group of null ids only stays. Texts are compared whole, however long; an empty table stays empty.
+    """
     groups = similar_groups(docs, id_col=id_col, text_col=text_col, **options)
-    kept = groups.where(F.col("doc").eqNullSafe(F.col("component_id"))).select(F.col("doc").alias("_keep")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_keep"]), "left_semi")
+    kept = groups.where(F.col("doc").eqNullSafe(F.col("component_id"))).select(F.struct(F.col("doc").alias("id")).alias("k")).distinct()
+    # A struct keeps the id apart from any column that docs has.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
+    return own.join(kept, F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("k.id")), "left_semi").select("d.*")
