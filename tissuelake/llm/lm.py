@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tissuelake.llm.common import mix, string_bytes, word_hashes, written
+from tissuelake.llm.common import forget, mix, string_bytes, trimmed, word_hashes, written
 
 #: Tokens of a unit (documents counted together; a longer document is a unit of its own), and of all that one
 #: counting partition gets.
@@ -94,6 +94,7 @@ class Unit:
 def units(docs: DataFrame, id_col: str, text_col: str, unit_tokens: int = UNIT_TOKENS) -> DataFrame:
     """Whole documents gathered to units. A unit is numbered when it is written and the same ever after."""
 
+    @trimmed
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         held: list = []
@@ -107,6 +108,7 @@ def units(docs: DataFrame, id_col: str, text_col: str, unit_tokens: int = UNIT_T
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["docs", "held", "sizes", "tokens", "words"])
 
         total = 0
+        forget()
         for whole in batches:
             for at in range(0, whole.num_rows, 250):
                 batch = whole.slice(at, 250)
@@ -140,6 +142,7 @@ def counted(all_units: DataFrame, bits: int) -> DataFrame:
     frequent a word is, and as many as the input needs for each to stay small.
     """
 
+    @trimmed
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -218,6 +221,7 @@ def bucket_of(context: np.ndarray) -> np.ndarray:
 def held_out_sums(rows: DataFrame, n: float, v: float, starts: float) -> list[tuple[int, int, int, int]]:
     """(bucket, bigram ratio, unigram ratio, tokens) of held-out tokens; ratios to the uniform estimate in log steps."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -278,6 +282,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_
     n, v, starts = float(total[0]), float(total[1]), float(size[1])
     weights = learn_weights(held_out_sums(_with_counts(all_units, answers), n, v, starts))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):

@@ -164,6 +164,7 @@ class Unit:
 def units(docs: DataFrame, id_col: str, text_col: str, unit_bytes: int, bucket_bytes: int) -> DataFrame:
     """Whole documents gathered to units, in a table bucketed by unit, so that joins by unit don't move the texts."""
 
+    @trimmed
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         sizes: list[int] = []
@@ -275,6 +276,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     asked = [pa.field("part", pa.int64()), pa.field("unit", pa.int64()), pa.field("base", pa.int64()), pa.field("keys", pa.binary()), pa.field("more", pa.binary()), pa.field("a", pa.binary()), pa.field("b", pa.binary())]
 
     def asker(streams):
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in range(batch.num_rows):
