@@ -6,16 +6,16 @@ import json
 import os
 import sys
 import time
+from importlib.util import find_spec
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tissuelake import catalog
 from tissuelake.session import local_session
 
-try:
+llm_queries = None
+if (found := find_spec("tissuelake.llm")) is not None and found.origin is not None:
     from tissuelake.llm import queries as llm_queries
-except ImportError:
-    llm_queries = None
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")

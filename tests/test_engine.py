@@ -202,6 +202,30 @@ def test_resizing():
     assert P.model_input(np.full((10, 10, 3), 255, np.uint8), 4, (0.5,) * 3, (0.5,) * 3).max() == 1
 
 
+@pytest.mark.parametrize("how", ["triangle", "bicubic", "lanczos", "nearest"])
+def test_resizing_filters(how):
+    flat = np.full((9, 9, 3), 77, np.uint8)
+    assert (P.resized(flat, 5, how) == 77).all() and (P.resized(flat, 17, how) == 77).all()
+    ramp = np.repeat((np.arange(16) * 10)[None, :, None], 16, axis=0).astype(np.float64)
+    small = P.resized(ramp, 8, how)[4, 1:-1, 0]
+    assert np.allclose(np.diff(small), 20, atol=1.0)
+    assert P.model_input(flat, 4, (0.5,) * 3, (0.5,) * 3, 0.8, how).shape == (3, 4, 4)
+
+
+def test_registry_metadata():
+    assert len(registry.PUBLISHED) == 41 and len(registry.PUBLISHED_SLIDE) == 13
+    m = registry.PUBLISHED["conch_v1_5"]
+    assert (m.dim, m.px, m.mpp, m.amp, m.gated) == (768, 512, 0.5, "fp16", True)
+    assert registry.PUBLISHED["resnet50"].mpp is None and registry.PUBLISHED["resnet50"].amp == "fp32"
+    assert all(s.requires in ("any", *registry.PUBLISHED) for s in registry.PUBLISHED_SLIDE.values())
+    assert all(s.patch_dim == registry.PUBLISHED[s.requires].dim for s in registry.PUBLISHED_SLIDE.values() if s.requires != "any")
+    assert [g.models for g in registry.geometries(["uni", "resnet50", "phikon"], catalog=registry.PUBLISHED)] == [("uni", "phikon"), ("resnet50",)]
+    assert registry.json_object('{"a": 1}') == {"a": 1}
+    for bad in ("[1]", '{"a": NaN}'):
+        with pytest.raises(ValueError):
+            registry.json_object(bad)
+
+
 @pytest.mark.parametrize(("dtype", "value", "want"), [("uint16", 65535, 255), ("uint16", 257, 1), ("int16", -5, 0), ("int16", 32767, 255), ("float32", 0.5, 128)])
 def test_to_uint8(dtype, value, want):
     assert P.to_uint8(np.array([[value, 0]], dtype))[0, 0] == want

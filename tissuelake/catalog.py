@@ -269,6 +269,50 @@ def patch_chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
     return regions.overlaps(w, F.lit(256), F.lit(256)).select("vec_id", "cy", "cx")
 
 
+SIDES = "WITH w AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS w FROM orders), l AS (SELECT o_orderkey, i, w // (1 << i)::BIGINT AS side FROM w, range(6) AS r(i))"
+
+
+def _pyramids(spark: SparkSession, d: str) -> DataFrame:
+    w = F.floor("o_totalprice").cast("long")
+    return table(spark, d, "orders").select("o_orderkey", F.array(*(F.struct(F.shiftright(w, k).alias("width"), F.shiftright(w, k + 1).alias("height")) for k in range(6))).alias("levels"))
+
+
+@_registered("first_level_under", SIDES + " SELECT o_orderkey, min(i) FILTER (side <= 2048) AS level FROM l GROUP BY o_orderkey")
+def first_level_under(spark: SparkSession, d: str) -> DataFrame:
+    return _pyramids(spark, d).select("o_orderkey", G.first_level_under(F.col("levels"), 2048).cast("long").alias("level"))
+
+
+@_registered("coarsest_level_over", SIDES + " SELECT o_orderkey, greatest(coalesce(min(i) FILTER (side < 10000), 6) - 1, 0) AS level FROM l GROUP BY o_orderkey")
+def coarsest_level_over(spark: SparkSession, d: str) -> DataFrame:
+    return _pyramids(spark, d).select("o_orderkey", G.coarsest_level_over(F.col("levels"), 10_000).cast("long").alias("level"))
+
+
+@_registered("level_mapping", "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice / (1 << (l_linenumber % 4))::DOUBLE + l_quantity / 8, 0)::BIGINT AS lx FROM lineitem")
+def level_mapping(spark: SparkSession, d: str) -> DataFrame:
+    ds = F.pow(F.lit(2.0), F.col("l_linenumber") % 4)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.mapped(F.col("l_extendedprice"), ds, F.col("l_quantity") / 8).alias("lx"))
+
+
+@_registered("slide_scales", "SELECT p_partkey, round((x + y) / 2, 9) AS mpp, abs(x - y) / least(x, y) > 1e-3 AS anisotropic FROM (SELECT p_partkey, 0.25::DOUBLE + p_size / 100.0::DOUBLE AS x, 0.25::DOUBLE + p_size / 100.0::DOUBLE + (p_partkey % 5) / 2000.0::DOUBLE AS y FROM part)")
+def slide_scales(spark: SparkSession, d: str) -> DataFrame:
+    x = F.lit(0.25) + F.col("p_size") / F.lit(100.0)
+    y = x + (F.col("p_partkey") % 5) / F.lit(2000.0)
+    return table(spark, d, "part").select("p_partkey", F.round(G.slide_mpp(x, y), 9).alias("mpp"), G.anisotropic(x, y).alias("anisotropic"))
+
+
+@_registered("unit_factors", "SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 1e-3 WHEN 1 THEN 1.0 WHEN 2 THEN 1e3 WHEN 3 THEN 1e4 WHEN 4 THEN 1.0 END::DOUBLE AS factor FROM supplier")
+def unit_factors(spark: SparkSession, d: str) -> DataFrame:
+    units = F.array(F.lit("Nanometer"), F.lit("micrometer"), F.lit("mm"), F.lit("centimeter"), F.lit("furlong"), F.lit(None).cast("string"))
+    return table(spark, d, "supplier").select("s_suppkey", G.to_micrometres(F.get(units, (F.col("s_suppkey") % 6).cast("int"))).alias("factor"))
+
+
+@_registered("read_blocks", "SELECT floor(lx / 1024) AS bx, floor(ly / 1024) AS by, count(*) AS n FROM (SELECT (l_partkey * 37) % 9000 - 90 AS lx, (l_suppkey * 53) % 9000 - 90 AS ly FROM lineitem) GROUP BY 1, 2")
+def read_blocks(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda c, k: (F.col(c) * k) % 9000 - 90
+    windows = table(spark, d, "lineitem").select(at("l_partkey", 37).alias("lx"), at("l_suppkey", 53).alias("ly"), F.lit(128).alias("read_w"))
+    return regions.blocks(windows, 8).groupBy("bx", "by").agg(F.count("*").alias("n")).select(F.col("bx").cast("double").alias("bx"), F.col("by").cast("double").alias("by"), "n")
+
+
 # --- pixels, masks and stains --------------------------------------------------------------------------------------
 
 
@@ -400,27 +444,61 @@ def channelwise_unit(spark: SparkSession, d: str) -> DataFrame:
     return multiplex.normalised(e, bounds, ["event_type"], "value").select("event_id", F.round("unit", 6).alias("unit"))
 
 
-@_registered("marker_concat", 'WITH c AS (SELECT vec_id // 5 AS patch, vec_id % 5 AS pos, unnest(embedding[1:2])::DOUBLE AS v, generate_subscripts(embedding[1:2], 1) AS k FROM embeddings) SELECT patch, (pos * 2 + k - 1)::INTEGER AS dim, round(v, 6) AS v FROM c')
+@_registered("marker_concat", "WITH c AS (SELECT vec_id // 5 AS patch, vec_id % 5 AS pos, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings) SELECT patch, (pos * 64 + k - 1)::INTEGER AS dim, round(v, 6) AS v FROM c")
 def marker_concat(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select(F.expr("vec_id div 5").alias("patch"), (F.col("vec_id") % 5).alias("position"), F.slice("embedding", 1, 2).alias("vec"))
+    rows = table(spark, d, "embeddings").select(F.expr("vec_id div 5").alias("patch"), (F.col("vec_id") % 5).alias("position"), F.col("embedding").alias("vec"))
     joined = multiplex.aggregated(rows, ["patch"], "concat")
     return joined.select("patch", F.posexplode("vec").alias("dim", "v")).withColumn("v", F.round(F.col("v").cast("double"), 6))
 
 
-PANEL = [("s1", 0, "Hoechst 33342"), ("s1", 1, "Pan-Cytokeratin"), ("s1", 2, "CLA_CD162"), ("s1", 3, "blank 1"), ("s1", 4, "Foxp3"), ("s2", 0, "DNA1"), ("s2", 1, "dna 2"), ("s2", 2, "granzyme B")]
+#: Channel names by s_suppkey % 8, with what a vocabulary has for each.
+CHANNELS = ("Hoechst 33342", "Pan-Cytokeratin", "CLA_CD162", "blank 1", "Foxp3", "DNA1", "dna 2", "granzyme B")
+RESOLVED = "CASE s_suppkey % 8 WHEN 0 THEN 'DAPI' WHEN 1 THEN 'CYTOKERATIN' WHEN 2 THEN 'CD162' WHEN 4 THEN 'FOXP3' WHEN 7 THEN 'GZMB' END"
+
+
+def _panel(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*map(F.lit, CHANNELS))
+    return table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("slide_id"), F.col("s_suppkey").alias("source_index"), F.get(names, (F.col("s_suppkey") % 8).cast("int")).alias("source_name"))
 
 
-@_registered("marker_resolution", "SELECT * FROM (VALUES ('s1', 0, 'DAPI', 1), ('s1', 1, 'CYTOKERATIN', 2), ('s1', 2, 'CD162', 3), ('s1', 3, NULL, NULL), ('s1', 4, 'FOXP3', 5), ('s2', 0, NULL, NULL), ('s2', 1, NULL, NULL), ('s2', 2, 'GZMB', 4)) AS t(slide_id, source_index, marker, marker_id)")
+@_registered("marker_resolution", f"SELECT s_suppkey AS source_index, {RESOLVED} AS marker, CASE s_suppkey % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 5 WHEN 7 THEN 4 END AS marker_id FROM supplier")
 def marker_resolution(spark: SparkSession, d: str) -> DataFrame:
-    panel = with_package(spark).createDataFrame(PANEL, "slide_id string, source_index int, source_name string")
+    panel = _panel(spark, d)
     vocabulary = spark.createDataFrame([("DAPI", 1), ("CYTOKERATIN", 2), ("CD162", 3), ("GZMB", 4), ("FOXP3", 5)], "marker string, marker_id int")
-    return multiplex.resolved_markers(panel, vocabulary).select("slide_id", "source_index", "marker", "marker_id")
+    return multiplex.resolved_markers(panel, vocabulary).select("source_index", "marker", "marker_id")
 
 
-@_registered("nuclear_channels", "SELECT * FROM (VALUES ('s1', '0', 'hoechst'), ('s2', '0,1', 'dna-numbered')) AS t(slide_id, channels, family)")
+@_registered("nuclear_channels", "SELECT 's' || s_nationkey AS slide_id, string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) AS channels, string_agg(DISTINCT CASE s_suppkey % 8 WHEN 0 THEN 'hoechst' ELSE 'dna-numbered' END, ',' ORDER BY CASE s_suppkey % 8 WHEN 0 THEN 'hoechst' ELSE 'dna-numbered' END) AS families FROM supplier WHERE s_suppkey % 8 IN (0, 5, 6) GROUP BY 1")
 def nuclear_channels(spark: SparkSession, d: str) -> DataFrame:
-    panel = with_package(spark).createDataFrame(PANEL, "slide_id string, source_index int, source_name string")
-    return multiplex.nuclear_channels(panel).select("slide_id", F.array_join(F.col("channels").cast("array<string>"), ",").alias("channels"), "family")
+    found = multiplex.nuclear_families(_panel(spark, d))
+    return found.select("slide_id", F.array_join(F.col("channels").cast("array<string>"), ",").alias("channels"), F.array_join("families", ",").alias("families"))
+
+
+@_registered("marker_selection", "WITH w AS (SELECT * FROM (VALUES (0, 'FOXP3 ', 4), (1, 'granzyme b', 7), (2, 'DNA1', 5)) AS t(position, marker, k)), s AS (SELECT DISTINCT s_nationkey FROM supplier) SELECT 's' || s.s_nationkey AS slide_id, position, marker, count(s_suppkey) AS n, min(s_suppkey) AS source_index FROM s CROSS JOIN w LEFT JOIN supplier p ON p.s_nationkey = s.s_nationkey AND p.s_suppkey % 8 = k GROUP BY ALL")
+def marker_selection(spark: SparkSession, d: str) -> DataFrame:
+    return multiplex.marker_choices(_panel(spark, d), ["FOXP3 ", "granzyme b", "DNA1"]).select("slide_id", "position", "marker", "n", "source_index")
+
+
+@_registered("panel_table", f"SELECT 'm' || s_nationkey AS model, {'CASE s_suppkey % 8 ' + ' '.join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(CHANNELS)) + ' END'} AS channel, s_suppkey AS channel_index, coalesce({RESOLVED}, CASE s_suppkey % 8 WHEN 3 THEN 'blank 1' WHEN 5 THEN 'DNA1' WHEN 6 THEN 'dna 2' END) AS marker FROM supplier")
+def panel_table(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary = spark.createDataFrame([("DAPI", 1), ("CYTOKERATIN", 2), ("CD162", 3), ("GZMB", 4), ("FOXP3", 5)], "marker string, marker_id int")
+    rows = multiplex.resolved_markers(_panel(spark, d), vocabulary)
+    panels = rows.groupBy(F.regexp_replace("slide_id", "^s", "m").alias("model")).agg(F.collect_list(F.struct("source_name", "source_index", "marker", "marker_id")).alias("mapping"))
+    return export.panel_table(panels).select("model", "channel", "channel_index", "marker")
+
+
+@_registered("nuclear_mean", f"SELECT l_orderkey AS x, round(avg(r::FLOAT)::FLOAT::DOUBLE, 3) AS v FROM ({PIXELS}) WHERE l_linenumber IN (1, 2, 3) GROUP BY l_orderkey")
+def nuclear_mean(spark: SparkSession, d: str) -> DataFrame:
+    px = pixels(spark, d).select(F.lit("s").alias("slide_id"), F.col("l_linenumber").alias("c"), F.lit(0).alias("y"), F.col("l_orderkey").alias("x"), F.col("r").alias("v"))
+    channels = px.select("slide_id").distinct().select("slide_id", F.array(F.lit(1), F.lit(2), F.lit(3)).alias("channels"))
+    return multiplex.nuclear_mean(px, channels).select("x", F.round(F.col("v").cast("double"), 3).alias("v"))
+
+
+@_registered("marker_standardised", f"WITH m AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY event_type) SELECT event_id, round((value - m) / s, 5) AS z FROM events JOIN m USING (event_type)")
+def marker_standardised(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    stats = e.groupBy("event_type").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return e.join(stats, "event_type").select("event_id", F.round(multiplex.standardised(F.col("value"), F.col("mean"), F.col("std")), 5).alias("z"))
 
 
 # --- quality -------------------------------------------------------------------------------------------------------
@@ -484,7 +562,7 @@ n AS (SELECT page_id, url, CASE WHEN len(parts) = 0 THEN regexp_extract(url, ':/
 SELECT page_id, regexp_replace(regexp_replace(name, '[^A-Za-z0-9._-]+', '-', 'g'), '^[._-]+|[._-]+$', '', 'g') || '-' || substr(sha256(url), 1, 16) AS slide_id FROM n""",
 )
 def slide_id_from_source(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", I.slide_id("url").alias("slide_id"))
+    return table(spark, d, "pages").select("page_id", I.remote_slide_id(F.col("url")).alias("slide_id"))
 
 
 @_registered("source_uri_redacted", "SELECT page_id, regexp_replace(url, '[?#].*$', '') || '?keep=' || page_id AS source_uri FROM pages")
@@ -518,11 +596,11 @@ def manifest_calibration(spark: SparkSession, d: str) -> DataFrame:
     return cohort.calibrated(slides, manifest).select("n_nationkey", "mpp_level0")
 
 
-@_registered("missing_models", "SELECT p_partkey AS slide_id, s_suppkey AS model FROM part, supplier WHERE p_partkey <= 40 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey)")
+@_registered("missing_models", "SELECT l_partkey AS slide_id, l_suppkey AS model FROM lineitem EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'N'")
 def missing_models(spark: SparkSession, d: str) -> DataFrame:
-    as_output = lambda rows, s, m: rows.select(F.col(s).alias("slide_id"), F.lit("g").alias("grid_key"), F.col(m).alias("model"), F.lit("d").alias("digest"))
-    wanted = as_output(table(spark, d, "part").where("p_partkey <= 40").crossJoin(F.broadcast(table(spark, d, "supplier"))), "p_partkey", "s_suppkey")
-    return resume.missing(wanted, as_output(table(spark, d, "lineitem"), "l_partkey", "l_suppkey")).select("slide_id", "model")
+    li = table(spark, d, "lineitem")
+    as_output = lambda rows: rows.select(F.col("l_partkey").alias("slide_id"), F.lit("g").alias("grid_key"), F.col("l_suppkey").alias("model"), F.lit("d").alias("digest"))
+    return resume.missing(as_output(li).distinct(), as_output(li.where("l_returnflag = 'N'"))).select("slide_id", "model")
 
 
 @_registered("latest_receipt", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -577,15 +655,72 @@ def compare_stores(spark: SparkSession, d: str) -> DataFrame:
     return conformance.compared(a.drop("label"), b.drop("label"), ["vec_id"]).withColumn("max_abs_diff", F.round("max_abs_diff", 4))
 
 
-@_registered(
-    "geometry_groups",
-    """WITH m AS (SELECT * FROM (VALUES (0, 'a', 0.5::DOUBLE, 224), (1, 'b', NULL, 256), (2, 'c', 0.5, 224), (3, 'd', NULL, 224), (4, 'e', 1.0, 256)) AS t(pos, model, mpp, px))
-SELECT coalesce(mpp, 1.0) AS mpp, px AS patch_px, string_agg(model, ',' ORDER BY pos) AS models FROM m GROUP BY 1, 2""",
-)
+@_registered("geometry_groups", "SELECT coalesce(CASE WHEN p_size % 3 > 0 THEN p_size / 20.0::DOUBLE END, 1.0) AS mpp, CASE WHEN p_partkey % 4 = 0 THEN 256 ELSE 224 END AS patch_px, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS models FROM part GROUP BY 1, 2")
 def geometry_groups(spark: SparkSession, d: str) -> DataFrame:
-    catalog = {m.name: m for m in (registry.Model("a", 8, 224, 0.5), registry.Model("b", 8, 256), registry.Model("c", 8, 224, 0.5), registry.Model("d", 8, 224), registry.Model("e", 8, 256, 1.0))}
-    groups = registry.geometries(list(catalog), catalog=catalog)
-    return spark.createDataFrame([(g.mpp, g.patch_px, ",".join(g.models)) for g in groups], "mpp double, patch_px int, models string")
+    models = table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_partkey").cast("string").alias("model"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") / F.lit(20.0)).alias("mpp"), F.when(F.col("p_partkey") % 4 == 0, 256).alias("patch_px"), F.lit(224).alias("input_size"))
+    return registry.grouped_geometries(models).select("mpp", "patch_px", F.array_join("models", ",").alias("models"))
+
+
+SPECS = ", ".join(f"({k}, '{m.name}', {m.dim}, {m.px}, {m.mpp or 1.0}::DOUBLE, '{m.amp}')" for k, m in enumerate(registry.PUBLISHED.values()))
+
+
+@_registered("model_specs", f"SELECT model, count(*) AS n, max(dim) AS dim, max(px) AS px, max(mpp) AS mpp, max(amp) AS amp FROM lineitem JOIN (VALUES {SPECS}) AS t(k, model, dim, px, mpp, amp) ON l_partkey % 41 = k GROUP BY model")
+def model_specs(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array(*(F.lit(n) for n in registry.PUBLISHED))
+    rows = registry.with_specs(table(spark, d, "lineitem").select(F.get(names, (F.col("l_partkey") % 41).cast("int")).alias("model")), registry.PUBLISHED)
+    return rows.groupBy("model").agg(F.count("*").alias("n"), F.max("dim").alias("dim"), F.max(F.coalesce("recommended_px", "input_size")).alias("px"), F.max(F.coalesce("recommended_mpp", F.lit(1.0))).alias("mpp"), F.max("amp").alias("amp"))
+
+
+@_registered("missing_qc_tools", "SELECT d.doc_id AS slide_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND l.quality = 1 WHERE l.doc_id IS NULL")
+def missing_qc_tools(spark: SparkSession, d: str) -> DataFrame:
+    as_tool = lambda rows: rows.select(F.col("doc_id").alias("slide_id"), F.lit("g").alias("grid_key"), F.lit("rules").alias("tool"))
+    return resume.missing_tools(as_tool(table(spark, d, "documents")), as_tool(table(spark, d, "labels").where("quality = 1"))).select("slide_id")
+
+
+def _layers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Quality layers of embeddings' slides: 1 lacks a patch, 2 has one twice, 3 was never finished."""
+    e = table(spark, d, "embeddings").select(F.col("label").cast("string").alias("slide_id"), F.lit("g").alias("grid_key"), F.col("vec_id").alias("patch_idx"))
+    first = e.groupBy("slide_id", "grid_key").agg(F.min("patch_idx").alias("patch_idx"))
+    qc = e.join(first.where("slide_id = '1'"), ["slide_id", "grid_key", "patch_idx"], "left_anti").unionByName(first.where("slide_id = '2'")).withColumn("tool", F.lit("rules"))
+    return e, qc, e.select("slide_id", "grid_key").distinct().select("*", F.lit("rules").alias("tool"), (F.col("slide_id") != "3").alias("complete"))
+
+
+@_registered("complete_tools", "SELECT DISTINCT label::VARCHAR AS slide_id FROM embeddings WHERE label NOT IN (1, 2, 3)")
+def complete_tools(spark: SparkSession, d: str) -> DataFrame:
+    patches, qc, status = _layers(spark, d)
+    return resume.complete_tools(qc, patches, status).select("slide_id")
+
+
+@_registered("complete_slide_vectors", "SELECT vec_id FROM embeddings WHERE label % 3 > 0 AND vec_id % 7 > 0 AND vec_id % 5 > 0")
+def complete_slide_vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    key = [F.col("vec_id").cast("string").alias("slide_id"), F.lit("g").alias("grid_key")]
+    vectors = e.select("vec_id", *key, F.lit("m").alias("patch_model"), F.when(F.col("vec_id") % 5 > 0, "d").otherwise("old").alias("patch_digest"), F.when(F.col("vec_id") % 7 > 0, 64).otherwise(65).alias("dim"), F.col("embedding").alias("vec"))
+    whole = e.where("label % 3 > 0").select(*key, F.lit("m").alias("model"), F.lit("d").alias("digest"))
+    return resume.complete_slide_vectors(vectors, whole).select("vec_id")
+
+
+@_registered("complete_receipts", "WITH last AS (SELECT o_custkey, o_orderstatus, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) SELECT c_custkey::VARCHAR AS slide_id FROM customer JOIN last ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_custkey % 11 > 0")
+def complete_receipts(spark: SparkSession, d: str) -> DataFrame:
+    o = quality.latest(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    same = {"config_hash": F.lit("h"), "source_uri": F.lit("u"), "output_uri": F.lit("o")}
+    receipts = o.select(F.col("o_custkey").cast("string").alias("slide_id"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise("failed").alias("status"), F.array(F.lit("m")).alias("models"), F.col("o_orderdate").alias("finished_utc")).withColumns(same)
+    outputs = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("slide_id"), F.lit("g").alias("grid_key"), F.lit("m").alias("model"), F.lit("d").alias("digest"), "c_custkey")
+    return resume.complete_slides(receipts, outputs.drop("c_custkey").withColumns(same), outputs.where("c_custkey % 11 > 0").drop("c_custkey"))
+
+
+@_registered("bound_elsewhere", "SELECT DISTINCT o_custkey AS slide_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> CASE WHEN c_nationkey % 2 = 0 THEN 'F' ELSE 'O' END")
+def bound_elsewhere(spark: SparkSession, d: str) -> DataFrame:
+    grids = table(spark, d, "orders").select(F.col("o_custkey").alias("slide_id"), F.col("o_orderstatus").alias("source_uri"))
+    wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("slide_id"), F.when(F.col("c_nationkey") % 2 == 0, "F").otherwise("O").alias("source_uri"))
+    return resume.bound_elsewhere(grids, wanted)
+
+
+@_registered("grid_labels", "WITH g AS (SELECT o_custkey, o_orderpriority, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS h FROM orders), f AS (SELECT c_custkey, o_orderpriority, CASE WHEN h = 'F' THEN 0 WHEN h IS NULL AND o_orderpriority = '1-URGENT' THEN 1 END AS r FROM customer LEFT JOIN g ON o_custkey = c_custkey), b AS (SELECT c_custkey, min(r) AS r FROM f GROUP BY 1), n AS (SELECT c_custkey, count(*) AS n, min(o_orderpriority) AS k FROM f JOIN b USING (c_custkey, r) GROUP BY 1) SELECT c_custkey AS slide_id, CASE WHEN n = 1 THEN k END AS grid_key FROM b LEFT JOIN n USING (c_custkey)")
+def grid_labels(spark: SparkSession, d: str) -> DataFrame:
+    grids = table(spark, d, "orders").select(F.col("o_custkey").alias("slide_id"), F.col("o_orderpriority").alias("grid_key"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("grid_hash"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("slide_id"), F.lit("F").alias("grid_hash"), F.lit("1-URGENT").alias("base_key"))
+    return resume.labelled(grids, asked).select("slide_id", "grid_key")
 
 
 @_registered("profiler_summary", "WITH s AS (SELECT user_id % 7 AS run, event_type AS stage, sum(value) AS seconds, count(*) AS calls FROM events GROUP BY ALL) SELECT run::VARCHAR AS run, stage, round(seconds, 4) AS seconds, calls, round(100 * seconds / 100000.0::DOUBLE, 1) AS pct_wall FROM s")
@@ -600,6 +735,43 @@ def receipt_windows(spark: SparkSession, d: str) -> DataFrame:
     return streams.receipt_metrics(table(spark, d, "events").withColumnRenamed("event_type", "status")).withColumn("total", F.round("total", 4))
 
 
+@_registered("qualified_sources", "SELECT page_id, page_id % 3 > 0 AS qualified, page_id % 3 = 1 AS remote FROM pages")
+def qualified_sources(spark: SparkSession, d: str) -> DataFrame:
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    source = F.when(F.col("page_id") % 3 == 0, path).when(F.col("page_id") % 3 == 1, F.col("url")).otherwise(F.concat(F.lit("file:///"), path))
+    return table(spark, d, "pages").select("page_id", I.is_qualified(source).alias("qualified"), I.is_remote(source).alias("remote"))
+
+
+@_registered("redacted_metadata", """SELECT event_id, '{"n": ' || user_id || ', "token": "<redacted>", "u": "https://h/a?b=' || event_id || '"}' AS meta FROM events""")
+def redacted_metadata(spark: SparkSession, d: str) -> DataFrame:
+    uri = F.concat(F.lit("https://u:p@h/a?sig=1&b="), F.col("event_id").cast("string"))
+    meta = F.to_json(F.struct(F.lit("x").alias("token"), F.col("user_id").alias("n"), uri.alias("u")))
+    return table(spark, d, "events").select("event_id", I.redact_json(meta).alias("meta"))
+
+
+@_registered("redacted_text", "SELECT event_id, 'read (https://h/a?b=' || event_id || '), then stopped' AS said FROM events")
+def redacted_text(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.lit("read (https://u:p@h/a?token=1&b="), F.col("event_id").cast("string"), F.lit("), then stopped"))
+    return table(spark, d, "events").select("event_id", I.redact_text(said).alias("said"))
+
+
+@_registered("token_pooling", "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS cls0, round((embedding[17]::DOUBLE + embedding[33]::DOUBLE + embedding[49]::DOUBLE) / 3, 6) AS mean0, 32 AS width FROM embeddings")
+def token_pooling(spark: SparkSession, d: str) -> DataFrame:
+    tokens = F.array(*(F.slice("embedding", 1 + 16 * k, 16) for k in range(4)))
+    pooled = table(spark, d, "embeddings").select("vec_id", V.cls_and_mean(tokens).alias("v"))
+    return pooled.select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("cls0"), F.round(F.get("v", F.lit(16)), 6).alias("mean0"), F.size("v").alias("width"))
+
+
+@_registered("float_scales", "SELECT event_type, CASE WHEN max(value) > 1 THEN 1.0 ELSE 255.0 END::DOUBLE AS scale FROM events GROUP BY event_type")
+def float_scales(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").agg(N.float_scale(F.max("value")).alias("scale"))
+
+
+@_registered("signed_to_uint8", "SELECT event_id, round_even(greatest(floor(value * 100)::INT - 2000, 0) * (255.0::DOUBLE / 32767), 0)::SMALLINT AS u FROM events")
+def signed_to_uint8(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", N.to_uint8(F.floor(F.col("value") * 100) - 2000, "int16").alias("u"))
+
+
 # --- exports -------------------------------------------------------------------------------------------------------
 
 
@@ -643,6 +815,28 @@ def tile_shapes(spark: SparkSession, d: str) -> DataFrame:
     return export.tiles(patches, grids).select("slide_id", "patch_idx", "instance_id", "geometry")
 
 
+@_registered("position_cells", f'SELECT label::VARCHAR AS slide_id, vec_id AS patch_idx, col * 1000 + "row" + 1 AS cell FROM ({CELLS}) WHERE col < 1000 AND "row" < 1000')
+def position_cells(spark: SparkSession, d: str) -> DataFrame:
+    patches, _, grids = _grid(spark, d)
+    sized = patches.join(grids.select("slide_id", "grid_key", "level0_patch"), ["slide_id", "grid_key"])
+    return pooling.position_cells(sized).select("slide_id", "patch_idx", "cell")
+
+
+@_registered("cell_mask_lookup", f"SELECT label::VARCHAR AS slide_id, vec_id AS patch_idx, round((floor(least(greatest(abs(embedding[1]), 0::FLOAT), 1::FLOAT) * 255::FLOAT) / 255)::FLOAT::DOUBLE, 5) AS tissue_frac FROM ({CELLS})")
+def cell_mask_lookup(spark: SparkSession, d: str) -> DataFrame:
+    patches, _, grids = _grid(spark, d)
+    cells = cells_of(spark, d).select(F.col("label").cast("string").alias("slide_id"), F.lit("g").alias("grid_key"), "row", "col", N.quantised(F.abs(F.get("embedding", F.lit(0)))).alias("mask_u8"))
+    found = export.observations(patches, grids, cells)
+    return found.select("slide_id", "patch_idx", F.round(F.col("tissue_frac").cast("double"), 5).alias("tissue_frac"))
+
+
+@_registered("tiles_with_table", f"SELECT label::VARCHAR AS slide_id, vec_id AS patch_idx, 'POINT (' || (col * 224 + 112.0::DOUBLE) || ' ' || (\"row\" * 224 + 112.0::DOUBLE) || ')' AS geometry, \"row\" AS array_row FROM ({CELLS})")
+def tiles_with_table(spark: SparkSession, d: str) -> DataFrame:
+    patches, _, grids = _grid(spark, d)
+    shapes = export.tiles(patches, grids, "circle").select("slide_id", "grid_key", "patch_idx", "geometry")
+    return shapes.join(export.observations(patches, grids), ["slide_id", "grid_key", "patch_idx"]).select("slide_id", "patch_idx", "geometry", "array_row")
+
+
 @_registered(
     "geojson_lines",
     f"""WITH c AS (SELECT label::VARCHAR AS slide_id, vec_id AS patch_idx, col * 224 AS x, "row" * 224 AS y FROM ({CELLS}))

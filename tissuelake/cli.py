@@ -91,7 +91,7 @@ def _listed(spark, folder, source_mpp=None):
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     if a.command == "models":
-        for m in registry.BUILT_IN.values():
+        for m in (registry.BUILT_IN | registry.PUBLISHED).values():
             print(f"{m.name}\t{m.dim}\t{m.mpp or registry.DEFAULT_MPP}\t{m.px}")
         return 0
     if a.command == "sample":

@@ -197,31 +197,47 @@ def _bilinear_weights(n: int, out: int) -> np.ndarray:
     return w
 
 
+def _filter_weights(n: int, out: int, how: str) -> np.ndarray:
+    """Weights of a filter about each output pixel's centre, widened by what the image shrinks, which sum to one."""
+    reach, f = {
+        "triangle": (1.0, lambda t: 1 - t),
+        "bicubic": (2.0, lambda t: np.where(t < 1, (1.5 * t - 2.5) * t * t + 1, ((-0.5 * t + 2.5) * t - 4) * t + 2)),
+        "lanczos": (3.0, lambda t: np.sinc(t) * np.sinc(t / 3)),
+    }[how]
+    wide = max(1.0, n / out)
+    t = np.abs(np.arange(n) + 0.5 - ((np.arange(out) + 0.5) * n / out)[:, None]) / wide
+    w = np.where(t < reach, f(t), 0.0)
+    return w / w.sum(1, keepdims=True)
+
+
 def resized(image: np.ndarray, out: int, how: str | None = None) -> np.ndarray:
-    """An HWC image on out x out pixels: by area when it shrinks, else bilinear; channel by channel, any number."""
+    """An HWC image on out x out pixels: by area when it shrinks, else bilinear; channel by channel, any number.
+
+    how: area, bilinear, nearest, or a filter that widens as the image shrinks (triangle, bicubic, lanczos).
+    """
     h, w = image.shape[:2]
     if (h, w) == (out, out):
         return image
     how = how or ("area" if out < max(h, w) else "bilinear")
     if how == "nearest":
         return image[np.arange(out) * h // out][:, np.arange(out) * w // out]
-    weights = _area_weights if how == "area" else _bilinear_weights
+    weights = {"area": _area_weights, "bilinear": _bilinear_weights}.get(how) or (lambda n, m: _filter_weights(n, m, how))
     v = np.einsum("oh,hwc,pw->opc", weights(h, out), image.reshape(h, w, -1).astype(np.float64), weights(w, out), optimize=True)
     info = np.iinfo(image.dtype) if np.issubdtype(image.dtype, np.integer) else None
     v = np.clip(np.rint(v), info.min, info.max) if info else v
     return v.astype(image.dtype).reshape(out, out, *image.shape[2:])
 
 
-def model_input(patch: np.ndarray, size: int, mean: tuple, std: tuple, crop: float | None = None) -> np.ndarray:
+def model_input(patch: np.ndarray, size: int, mean: tuple, std: tuple, crop: float | None = None, how: str = "bilinear") -> np.ndarray:
     """An RGB patch as a normalised CHW array: resized (and cut from its middle) to the model's size."""
     if crop is not None:
         if not 0 < crop <= 1:
             raise ValueError("crop must be over zero and at most one")
         whole = round(size / crop)
         start = (whole - size) // 2
-        patch = resized(patch, whole, "bilinear")[start : start + size, start : start + size]
+        patch = resized(patch, whole, how)[start : start + size, start : start + size]
     else:
-        patch = resized(patch, size, "bilinear")
+        patch = resized(patch, size, how)
     v = patch.astype(np.float32).transpose(2, 0, 1) / np.float32(255)
     return (v - np.asarray(mean, np.float32)[:, None, None]) / np.asarray(std, np.float32)[:, None, None]
 

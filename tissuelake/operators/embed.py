@@ -37,12 +37,13 @@ class _Rgb:
     mean: tuple = (0.5, 0.5, 0.5)
     std: tuple = (0.5, 0.5, 0.5)
     crop: float | None = None
+    how: str = "bilinear"
 
     def signature(self) -> tuple:
-        return ("rgb", self.size, self.mean, self.std, self.crop)
+        return ("rgb", self.size, self.mean, self.std, self.crop, self.how)
 
     def prepare(self, patch: np.ndarray) -> np.ndarray:
-        return model_input(patch, self.size, self.mean, self.std, self.crop)
+        return model_input(patch, self.size, self.mean, self.std, self.crop, self.how)
 
 
 @dataclass

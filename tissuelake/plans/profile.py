@@ -36,5 +36,10 @@ def summary(metrics: DataFrame, walls: DataFrame) -> DataFrame:
     return stages.join(walls, "run").select("run", "stage", F.round("seconds", 4).alias("seconds"), "calls", F.round(100 * F.try_divide("seconds", "wall_s"), 1).alias("pct_wall"), F.round(F.try_divide(F.col("bytes") / 1e6, F.col("seconds")), 1).alias("mb_per_s"), F.round(F.try_divide("n_patches", "wall_s"), 1).alias("patches_per_s"))
 
 
+def slowest_first(summaries: DataFrame) -> DataFrame:
+    """A summary in the order of its report: of each run the stages by seconds."""
+    return summaries.orderBy("run", F.desc("seconds"), "stage")
+
+
 def medians(summaries: DataFrame) -> DataFrame:
     return summaries.groupBy("stage").agg(F.median("seconds").alias("seconds"))

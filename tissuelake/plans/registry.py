@@ -24,6 +24,7 @@ class Model:
     pooling: str = "pooled"
     amp: str = "fp32"
     modality: str = "rgb"
+    gated: bool = False
 
     @property
     def px(self) -> int:
@@ -38,12 +39,97 @@ class SlideModel:
     requires: str = "any"
     dim: int | None = None
     pooling: str = "mean"
+    patch_dim: int | None = None
+    gated: bool = False
+
+
+# Published patch models (name, family, dim, input pixels, extracted pixels, pooling, micrometres a pixel,
+# precision, modality, whether access is asked for; - where nothing is recommended) and slide encoders (name, family,
+# dim, required patch model and its dim; -1: as the patch model has it). Their weights aren't here: a plug-in embeds.
+_PUBLISHED = """
+resnet50 torchvision 2048 224 224 pooled - - brightfield no
+dinov2 timm 1024 224 224 cls - - brightfield no
+uni timm 1024 224 224 cls 0.5 - brightfield yes
+uni2_h timm 1536 224 224 cls 0.5 - brightfield yes
+path_orchestra timm 1024 224 224 cls 0.5 - brightfield yes
+virchow2 timm 2560 224 224 cls_concat_meanpatch 0.5 fp16 brightfield yes
+virchow timm 2560 224 224 cls_concat_meanpatch 0.5 fp16 brightfield yes
+gigapath timm 1536 224 256 cls 0.5 fp16 brightfield yes
+gigapath_flash timm 384 224 256 cls 0.5 fp16 brightfield yes
+conch conch 512 448 448 pooled 0.5 fp32 brightfield yes
+conch_v1_5 conch_v1_5 768 448 512 pooled 0.5 fp16 brightfield yes
+h_optimus_0 timm 1536 224 224 cls 0.5 fp16 brightfield yes
+h0_mini timm 768 224 224 cls 0.5 fp16 brightfield yes
+h_optimus_1 timm 1536 224 224 cls 0.5 fp16 brightfield yes
+gpfm timm 1024 224 224 cls 0.5 fp32 brightfield no
+midnight transformers 3072 224 224 cls_concat_meanpatch 0.5 fp32 brightfield no
+openmidnight dino_teacher 1536 224 224 cls - fp32 brightfield yes
+openpath dino_teacher 1536 224 224 cls 0.5 fp32 brightfield no
+phikon transformers 768 224 224 cls 0.5 fp32 brightfield no
+phikon_v2 transformers 1024 224 224 cls 0.5 fp32 brightfield no
+lunit_dino timm 384 224 224 cls 0.5 fp32 brightfield no
+lunit_dino8 timm 384 224 224 cls 0.5 fp32 brightfield no
+lunit_bt timm 2048 224 224 pooled 0.5 fp32 brightfield no
+lunit_mocov2 timm 2048 224 224 pooled 0.5 fp32 brightfield no
+lunit_swav timm 2048 224 224 pooled 0.5 fp32 brightfield no
+sp22m timm 384 224 224 cls 0.5 fp32 brightfield no
+retccl timm 2048 256 256 pooled 1 fp32 brightfield no
+hipt timm 384 256 256 cls 0.5 fp32 brightfield no
+mstar timm 1024 224 224 cls 0.5 fp32 brightfield yes
+kaiko_vitl timm 1024 224 224 cls 0.5 fp32 brightfield no
+ctranspath timm 768 224 224 pooled 0.5 fp32 brightfield no
+hibou_l transformers 1024 224 224 cls 0.5 fp32 brightfield yes
+hibou_b transformers 768 224 224 cls 0.5 fp32 brightfield yes
+kronos kronos 384 224 224 pooled - - multiplex yes
+musk musk 1024 384 384 cls 0.5 fp16 brightfield yes
+quiltnet open_clip 512 224 224 pooled 0.5 fp32 brightfield no
+biomedclip open_clip 512 224 224 pooled 0.5 fp32 brightfield no
+plip clip_hf 512 224 224 pooled 0.5 fp32 brightfield no
+seal_conch seal 512 224 224 pooled 0.5 fp32 brightfield yes
+seal_univ2 seal 1536 224 224 pooled 0.5 fp32 brightfield yes
+keep keep 768 224 224 pooled - fp32 brightfield no
+"""
+_PUBLISHED_SLIDE = """
+mean pool -1 any -1 no
+max pool -1 any -1 no
+meanmax pool -1 any -1 no
+titan titan 768 conch_v1_5 768 yes
+prism prism 1280 virchow 2560 yes
+feather_conch_v15 feather 512 conch_v1_5 768 yes
+feather_uni_v2 feather 512 uni2_h 1536 yes
+feather_uni feather 512 uni 1024 yes
+madeleine madeleine 512 conch 512 yes
+gigapath_slide gigapath_slide 768 gigapath 1536 yes
+gigapath_flash_slide gigapath_slide 384 gigapath_flash 384 yes
+chief chief 768 ctranspath 768 no
+tangle tangle 512 uni 1024 no
+"""
+
+
+def _published() -> dict[str, Model]:
+    out = {}
+    for line in _PUBLISHED.split("\n")[1:-1]:
+        name, family, dim, size, px, pooling, mpp, amp, modality, gated = line.split()
+        known = lambda v: None if v == "-" else v
+        out[name] = Model(name, int(dim), int(size), None if mpp == "-" else float(mpp), int(px) if px != size else None, family, pooling, known(amp) or "fp32", modality, gated == "yes")
+    return out
+
+
+def _published_slide() -> dict[str, SlideModel]:
+    out = {}
+    for line in _PUBLISHED_SLIDE.split("\n")[1:-1]:
+        name, family, dim, needs, patch_dim, gated = line.split()
+        out[name] = SlideModel(name, needs, None if dim == "-1" else int(dim), name if family == "pool" else family, None if patch_dim == "-1" else int(patch_dim), gated == "yes")
+    return out
 
 
 BUILT_IN = {m.name: m for m in (Model("mean", 8, 64), Model("histogram", 24, 64), Model("projection", 32, 64, 0.5))}
 SLIDE_MODELS = {m.name: m for m in (SlideModel("mean"), SlideModel("max", pooling="max"), SlideModel("meanmax", pooling="meanmax"), SlideModel("gated", pooling="gated"), SlideModel("multihead", pooling="multihead"))}
 
 
+PUBLISHED, PUBLISHED_SLIDE = _published(), _published_slide()
+
+
 @dataclass(frozen=True)
 class Geometry:
     """Models that share one extraction at a scale and patch size, and how it was chosen."""
@@ -80,6 +166,28 @@ def json_object(text: str) -> dict:
     return found
 
 
+def grouped_geometries(models: DataFrame) -> DataFrame:
+    """mpp, patch_px and models (in order of pos) of a table of pos, model, mpp, patch_px and input_size.
+
+    A registry's table: as many rows as there are models.
+    """
+    from pyspark.sql import functions as F
+
+    sized = models.select("pos", "model", F.coalesce("mpp", F.lit(DEFAULT_MPP)).alias("mpp"), F.coalesce("patch_px", "input_size").alias("patch_px"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "model"))), lambda m: m["model"])
+    return sized.groupBy("mpp", "patch_px").agg(ordered.alias("models"))
+
+
+def with_specs(rows: DataFrame, catalog: Mapping[str, Model]) -> DataFrame:
+    """rows (with model) joined to their models' metadata; an unknown model is an error."""
+    from pyspark.sql import functions as F
+
+    specs = as_table(rows.sparkSession, catalog).withColumn("known_", F.lit(True))
+    joined = rows.join(F.broadcast(specs), "model", "left")  # a registry's few rows
+    error = F.raise_error(F.concat(F.lit("unknown model "), "model")).cast("int")
+    return joined.withColumn("dim", F.when(F.col("known_"), F.col("dim")).otherwise(error)).drop("known_")
+
+
 def _number(x: float, what: str) -> float:
     if isinstance(x, bool) or not math.isfinite(x) or x <= 0:
         raise ValueError(f"{what} must be finite and over zero")
