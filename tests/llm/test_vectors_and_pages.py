@@ -38,6 +38,29 @@ def test_search_against_brute_force(spark, data):
     assert hits / total >= 0.9
 
 
+def test_finer_buckets_find_near_vectors(spark):
+    draw = np.random.default_rng(21)
+    centres = draw.normal(size=(60, 32))
+    x = centres[draw.integers(0, 60, 1500)] + 0.35 * draw.normal(size=(1500, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    hits = 0
+    found = ann.search(frame, axes=2, n_probes=64).collect()
+    for q in range(0, 1500, 50):
+        s = ann.cosines(x[q], x)
+        s[q] = -9
+        hits += len({r.vec_id for r in found if r.query_id == q} & set(np.argsort(-s)[:5].tolist()))
+    assert len(found) == 150 and hits / 150 >= 0.9
+
+
+def test_search_of_very_long_vectors(spark):
+    draw = np.random.default_rng(22)
+    x = draw.normal(size=(12, 3000))
+    frame = spark.createDataFrame([(i * 25, (v * 1e200).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = [r for r in ann.search(frame).collect() if r.query_id == 0]
+    s = ann.cosines(x[0], x)
+    assert [r.vec_id for r in sorted(rows, key=lambda r: r["rank"])] == [25 * int(k) for k in np.argsort(-s)[1:6]]
+
+
 def test_search_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = odd([(0, [1.0, 0.0, 0.0]), (50, [1.0, 0.0, 0.0]), (1, [2.0, 0.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [nan, 1.0, 0.0]), (6, [inf, 0.0, 0.0]), (7, [None, 1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (8, []), (1, [2.0, 0.0, 0.0]), (9, [-1.0, 0.0, 0.0])])

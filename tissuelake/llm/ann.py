@@ -16,6 +16,8 @@ from tissuelake.llm.common import written
 #: Tables, probed axes of a query in each, signed axes that a hash joins, and rows of a bucket in one task.
 TABLES, PROBES, AXES, BLOCK = 12, 8, 1, 2048
 ROUNDS, SEED = 3, 20_240_602
+#: Buckets of all tables up to which their sizes are broadcast; their number follows from the parameters alone.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -125,7 +127,8 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, ta
     Each table turns unit vectors by its own fast pseudo-rotation and files them under the nearest signed axis; a
     query looks under its n_probes nearest axes. Buckets are dealt in blocks of a bounded number of rows, the queries
     of a bucket to each of its blocks, and a block returns k rows for each query at most, reranked by exact cosines.
-    With axes=1, meant for up to some million vectors, tables hold 2 x dimension buckets; more axes make finer ones.
+    With axes=1, meant for up to some million vectors, tables hold 2 x dimension buckets, so that a query's work grows
+    with the table; axes=2 squares the buckets' number for larger tables, with more probes.
     """
     spark = vectors.sparkSession
     element = vectors.schema[vector_col].dataType.elementType
@@ -154,6 +157,9 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, ta
     filed_schema = "t int, code long, vec_id long, vec binary"
     filed = rows.mapInArrow(lambda b: file(b, False), filed_schema)
     blocks = filed.groupBy("t", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    few = tables * (2 * (1 << max(0, dim - 1).bit_length())) ** axes <= BROADCAST_BUCKETS
+    # Beside broadcast sizes, filed vectors are shuffled once, to their blocks.
+    blocks = F.broadcast(blocks) if few else blocks
     dealt = filed.join(blocks, ["t", "code"])
     data = dealt.select("t", "code", F.pmod(F.xxhash64("vec_id"), dealt["blocks"]).cast("int").alias("block"), "vec_id", "vec")
     keys = ["t", "code", "block"]
@@ -161,6 +167,7 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, ta
 
     def found(asked: DataFrame, all_axes: bool = False) -> DataFrame:
         there = blocks.select(F.col("t").alias("t_"), F.col("code").alias("code_"), F.sequence(F.lit(0), F.col("blocks") - 1).alias("all_"))
+        there = F.broadcast(there) if few else there
         probing = asked.mapInArrow(lambda b: file(b, True, all_axes), filed_schema).join(there, F.expr("t = t_ and code = code_")).select("t", "code", F.explode("all_").alias("block"), "vec_id", "vec")
         here = data.where("t = 0") if all_axes else data
         return here.groupBy(*keys).cogroup(probing.groupBy(*keys)).applyInPandas(lambda x, q: _nearest(q, x, k, kind), "query_id long, vec_id long, score double")
