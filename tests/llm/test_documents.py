@@ -627,3 +627,60 @@ def test_lm_against_a_direct_model(spark):
             k = w[min(bucket(c), 63)]
             s += math.log10(k[0] * (bi[a, b] / c if c else 0) + k[1] * uni[b] / n + k[2] / (v + 1))
         assert found[i] == pytest.approx(s, abs=1e-6)
+
+
+def test_pipeline_against_brute_force(spark, docs, rows, tmp_path):
+    """Every stage on its predecessor's rows, odd rows and clashing columns too, against its definition."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    frame, outs = docs.select("*", F.lit(1).alias("_keep"), F.lit(1).alias("_own_id"), F.lit(1).alias("_id"), F.lit(1).alias("_copy"), F.lit(1).alias("passes"), F.lit(1).alias("k"), F.lit(1).alias("d")), []
+    columns = frame.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, frame, "")
+        assert k == 4 or out.columns == columns
+        out.write.parquet(str(tmp_path / str(k)))
+        frame = spark.read.parquet(str(tmp_path / str(k)))
+        outs.append(frame.collect())
+    named = lambda found: Counter((r.doc_id, r.text) for r in found)
+    assert named(outs[0]) == Counter((r.doc_id, r.text) for r in rows if any(c.isalpha() for c in r.text or ""))
+    kept: dict = {}
+    for r in outs[0]:
+        t = re.sub(SPACE, " ", r.text)
+        kept[t] = r if t not in kept or ident(r.doc_id) < ident(kept[t].doc_id) else kept[t]
+    assert Counter((r.doc_id, re.sub(SPACE, " ", r.text)) for r in outs[1]) == Counter((r.doc_id, t) for t, r in kept.items())
+
+    def shingles(t):
+        w = t.translate(LOWER).encode().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    texts = sorted({r.text for r in outs[1]})
+    sets = {t: shingles(t) for t in texts}
+    tops = linked(texts, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    least = defaultdict(lambda: math.inf)
+    for r in outs[1]:
+        least[tops[r.text]] = min(least[tops[r.text]], ident(r.doc_id))
+    assert named(outs[2]) == Counter((r.doc_id, r.text) for r in outs[1] if ident(r.doc_id) == least[tops[r.text]])
+    size = lambda t: len(re.findall(WORD, t))
+    have, taken, most = Counter(), Counter(), Counter()
+    for r in outs[2]:
+        have[r.source] += size(r.text)
+        most[r.source] = max(most[r.source], size(r.text))
+    for r in outs[3]:
+        taken[r.source] += size(r.text)
+    order = sorted(have, key=lambda x: (x is None, (x or "").encode()))
+    for source, target in zip(order, mixing.targets([have[x] for x in order]), strict=True):
+        assert abs(taken[source] - target) <= most[source]
+    assert max(named(outs[3]).values()) <= 2 and set(named(outs[3])) <= set(named(outs[2]))
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    want = Counter()
+    for r in outs[3]:
+        ids = [*tokenizer.encode(r.text, add_special_tokens=False).ids, 0]
+        for k, s in enumerate(range(0, len(ids), 2048)):
+            want[(r.doc_id, k, s, zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes()))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.ids_crc32) for r in outs[4]) == want
+    fill = defaultdict(list)
+    for r in outs[4]:
+        fill[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in own) <= 2048 and [o for o, _ in sorted(own)] == [sum(n for o2, n in own if o2 < o) for o, _ in sorted(own)] for own in fill.values())
+    assert len(fill) <= -(-sum(r.length for r in outs[4]) // 2048) + 1
