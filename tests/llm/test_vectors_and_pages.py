@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tissuelake.llm import ann, html_extract
+from tissuelake.llm import ann, graph, html_extract
 from tissuelake.llm.graph import components
 
 VECTORS = "vec_id long, embedding array<double>, label int, rank string, code string, vec string, t string"
@@ -81,8 +81,9 @@ def test_codes_are_the_first_probes():
         assert (ann.probes(x, 0, axes, 4)[:, 0] == ann.codes(x, 0, axes)).all()
 
 
-@pytest.mark.parametrize("hub", [False, True])
-def test_components(spark, hub):
+@pytest.mark.parametrize(("hub", "hub_links"), [(False, 1000), (False, 2), (True, 1000), (True, 2)])
+def test_components(spark, hub, hub_links, monkeypatch):
+    monkeypatch.setattr(graph, "HUB_LINKS", hub_links)
     draw = np.random.default_rng(2)
     links = [(0, i) for i in range(1, 400)] if hub else [(i, i + 1) for i in range(100) if i % 17] + [tuple(sorted(x)) for x in draw.integers(200, 400, (150, 2)).tolist()]
     up = {x: x for link in links for x in link}
@@ -99,6 +100,15 @@ def test_components(spark, hub):
     assert found == {x: root(x) for x in up if root(x) != x}
 
 
+@pytest.mark.parametrize(("least_hub", "hubs"), [(0, 200_000), (3, 200_000), (3, 1), (1000, 200_000)])
+def test_least_neighbours_of_hubs(spark, least_hub, hubs, monkeypatch):
+    monkeypatch.setattr(graph, "HUB_LINKS", least_hub)
+    monkeypatch.setattr(graph, "HUBS", hubs)
+    links = [(1, b) for b in range(2, 60)] + [(2, 5), (2, 4), (3, 9), (3, 9), (4, 7), (4, 3), (4, 8), (4, 6)]
+    found = graph._beside_least(spark.createDataFrame(links, "a long, b long"), len(links), F.min("b"))
+    assert sorted(map(tuple, found.select("a", "b", "m").collect())) == sorted((a, b, min(y for x, y in links if x == a)) for a, b in links)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style><script>var a="</p><article>no</article>";</script></head>
 <body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- <p>no</p> --><div class="cookie-notice">We use cookies</div>
 <aside>Side</aside>{body}<div class="ad">Buy</div><section id="comments"><article class="comment"><p>First!</p></article></section>

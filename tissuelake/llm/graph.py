@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tissuelake.llm.common import trimmed, written
 
 #: Links that one local contraction holds.
 LOCAL_LINKS = 1 << 20
+#: A node of more links is a hub, or of more than make this many hubs possible: these are broadcast.
+HUB_LINKS, HUBS = 1000, 200_000
 
 
 @trimmed
@@ -42,12 +44,24 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from stars()
 
 
+def _beside_least(links: DataFrame, n_links: int, least: Column) -> DataFrame:
+    """links(a, b) with m, the least of all b of a by the given aggregate.
+
+    Least ones are found by sums in the tasks before the shuffle. Links of a hub stay in their tasks, beside a broadcast
+    of the hubs, of which n_links allow HUBS at most; all others meet their m in a join whose keys have few links.
+    """
+    own = links.groupBy("a").agg(least.alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") > max(HUB_LINKS, n_links // HUBS)
+    hubs = F.broadcast(own.where(hub).select("a", "m"))
+    others = links.join(hubs.select("a"), "a", "left_anti").join(own.where(~hub).select("a", "m"), "a")
+    return links.join(hubs, "a").unionByName(others)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest reachable node) of each node of links(a, b) that is not a component's smallest.
 
     Each task first contracts its own links to a forest. Then large stars and small stars alternate until every link
-    leads to a component's smallest node, each round written to the shared folder. A hub's links are summed before
-    they are shuffled and joined with the hub's one smallest neighbour, so that no task needs a hub's links together.
+    leads to a component's smallest node, each star written to the shared folder. No task needs a hub's links together.
     """
     edges = written(links.select("a", "b").mapInArrow(_contract, "a long, b long"), "links")
     before = None
@@ -58,9 +72,8 @@ def components(links: DataFrame) -> DataFrame:
         before = size
         # Large star: every larger neighbour of a node goes to the node's smallest.
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        starred = _beside_least(both, 2 * size[0], F.least(F.min("b"), F.col("a"))).where("b > a")
+        large = written(starred.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
         # Small star: a node and its smaller neighbours go to the smallest of these.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), "m"), F.struct("a", "m"))).alias("x"))
+        small = _beside_least(large, large.count(), F.min("b")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), "m"), F.struct("a", "m"))).alias("x"))
         edges = written(small.select("x.a", F.col("x.m").alias("b")).where("a <> b").distinct(), "links")
