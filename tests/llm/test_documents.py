@@ -202,6 +202,28 @@ def test_bounds_never_reject_similar_sets(spark):
     assert not spark.createDataFrame([(300, 300, *far)], "na int, nb int, a array<long>, b array<long>").select(simhash.can_be_similar(F.col("na"), F.col("nb"), F.col("a"), F.col("b"), 0.8)).first()[0]
 
 
+@pytest.mark.parametrize("heavy", [0, 3, 1000])
+def test_prefix_pairs_of_heavy_groups(spark, heavy, monkeypatch):
+    monkeypatch.setattr(simhash, "HEAVY", heavy)
+    draw = np.random.default_rng(5)
+    rows = []
+    for point in range(60):
+        own = np.unique(draw.integers(0, 2**63, int(draw.integers(8, 12))).astype(np.uint64))
+        top = 1 if point < 25 else 2 if point < 32 else point
+        rows += [(int(t), int(draw.integers(0, 3)), point, len(own), top, simhash.bitmap(own[: point % 2])) for t in draw.permutation(6)[:3]]
+    found = simhash.prefix_pairs(spark.createDataFrame(rows, "token long, at int, point long, n int, top long, bits array<long>"), 0.8)
+
+    def can(x, y):
+        least = math.ceil((x[3] + y[3]) * 0.8 / 1.8 - 1e-9)
+        apart = sum((i ^ j).bit_count() if i ^ j >= 0 else ((i ^ j) + 2**64).bit_count() for i, j in zip(x[5], y[5], strict=True))
+        return min(x[1], y[1]) + min(x[3] - x[1], y[3] - y[1]) >= least and min(x[3], y[3]) >= 0.8 * max(x[3], y[3]) - 1e-9 and apart <= x[3] + y[3] - 2 * least
+
+    wanted = {(x[2], y[2]) for x in rows for y in rows if x[0] == y[0] and x[2] < y[2] and x[4] != y[4] and can(x, y)}
+    got = list(map(tuple, found.select("a", "b").collect()))
+    assert 100 < len(wanted) < 60 * 59 // 2
+    assert sorted(got) == sorted(wanted)
+
+
 def test_near_copies_against_all_pairs(spark, docs, rows):
     """Of the whole table, odd rows and all: every link at 0.8 or more by definition, and nothing else."""
     def shingles(t):

@@ -27,6 +27,8 @@ COUNTERS, COUNTER_PART = 1 << 20, 1 << 10
 BITMAP = 8
 #: Points of candidate pairs up to which they are broadcast to find their texts.
 BROADCAST_POINTS = 1 << 20
+#: Points of one group with one token from which they are heavy: others look them up by their group.
+HEAVY = 64
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -364,14 +366,26 @@ def shared_prefixes(texts: DataFrame, counts: np.ndarray, k: int, similarity: fl
 def prefix_pairs(shared: DataFrame, similarity: float) -> DataFrame:
     """All pairs a < b of points of different tops that can have the similarity, each once.
 
-    shared: shared_prefixes with top and bits. A pair shares a token of its prefixes; the numbers of shingles, the
-    token's places and the bitmaps bound how many they can have in common. All bounds hold within the join.
+    shared: shared_prefixes with top and bits, as a written table. A pair shares a token of its prefixes; the numbers of
+    shingles, the token's places and the bitmaps bound how many they can have in common. All bounds hold within the
+    joins. Points of one top aren't held against each other but for HEAVY of them at a token: where it has more there,
+    points of other tops are joined with the top first, and then with its points.
     """
-    a, b = (shared.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("at", "point", "n", "top", "bits"))) for x in "ab")
+    sides = [shared.select(*(F.col(c).alias(f"{c}_{x}") for c in ("token", "at", "point", "n", "top", "bits"))) for x in "ab"]
     na, nb = F.col("n_a"), F.col("n_b")
     most = F.least("at_a", "at_b") + F.least(na - F.col("at_a"), nb - F.col("at_b"))
-    on = (a["token"] == b["token"]) & (F.col("point_a") < F.col("point_b")) & (F.col("top_a") != F.col("top_b")) & (most >= least_common(na, nb, similarity)) & can_be_similar(na, nb, F.col("bits_a"), F.col("bits_b"), similarity)
-    return a.join(b, on).select(F.col("point_a").alias("a"), F.col("point_b").alias("b")).distinct()
+    can = (most >= least_common(na, nb, similarity)) & can_be_similar(na, nb, F.col("bits_a"), F.col("bits_b"), similarity)
+    heavy = written(shared.groupBy("token", "top").agg(F.count("*").alias("size")).where(F.col("size") > HEAVY).select(F.col("token").alias("token_h"), F.col("top").alias("top_h")), "heavy")
+    if not heavy.limit(1).count():
+        a, b = sides
+        return a.join(b, F.expr("token_a = token_b AND point_a < point_b AND top_a <> top_b") & can).select(F.col("point_a").alias("a"), F.col("point_b").alias("b")).distinct()
+    a, b = (side.join(heavy, F.expr(f"token_{x} = token_h AND top_{x} = top_h"), "left_anti") for side, x in zip(sides, "ab", strict=True))
+    light = a.join(b, F.expr("token_a = token_b AND point_a < point_b AND top_a <> top_b") & can)
+    asked = sides[0].join(heavy, F.expr("token_a = token_h AND top_a <> top_h"))
+    held = sides[1].join(heavy, F.expr("token_b = token_h AND top_b = top_h"), "left_semi")
+    found = asked.join(held, F.expr("token_a = token_b AND top_h = top_b") & can)
+    pair = (F.least("point_a", "point_b").alias("a"), F.greatest("point_a", "point_b").alias("b"))
+    return light.select(*pair).unionByName(found.select(*pair)).distinct()
 
 
 def first_pairs(shared: DataFrame, similarity: float) -> DataFrame:
