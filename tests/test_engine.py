@@ -546,6 +546,17 @@ def test_positions_beyond_the_grid_are_an_error(spark):
         pooling.position_cells(rows).collect()
 
 
+def test_position_cells_query_on_a_table_beyond_the_grid(spark, tmp_path):
+    rows = [(v, [1.0, 2.0], label) for v, label in [(0, 1), (24_999, 1), (25_000, 1), (1_000_000, 2), (-7, 1), (60, None), (None, 2)]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(f"SELECT slide_id, patch_idx, cell FROM ({catalog.oracle_sql()['position_cells']})").fetchall()
+    found = catalog.queries()["position_cells"](spark, str(tmp_path))
+    assert len(want) == 4
+    assert sorted(map(tuple, found.select("slide_id", "patch_idx", "cell").collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_multiplex_errors(spark):
     panel = spark.createDataFrame([("s", 0, "DAPI"), ("s", 1, "CD3"), ("s", 2, "cd3 ")], "slide_id string, source_index int, source_name string")
     assert multiplex.selected(panel, ["dapi"]).first()["source_index"] == 0
