@@ -177,3 +177,30 @@ def test_extract_by_join_equals_broadcast(spark, data, monkeypatch):
 
 def test_extract_empty(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_templates_are_of_ordered_and_nested_classes(spark):
+    # The three notes (on every other page) stand in two gaps of the page's own class; the moved line changes its place.
+    def page(i):
+        notes = ("<i>n1</i><i class='x'>n2</i>", "<b>n3</b>") if i % 2 else ("", "")
+        moved = "<u>moved</u>"
+        first, last = (moved, "") if i % 4 < 2 else ("", moved)
+        return f"<div><h1>a</h1>{first}{notes[0]}<h2>b</h2>{notes[1]}<h3>c</h3>{last}<p>own {i}</p></div>"
+
+    rows = [(i, "h", page(i)) for i in range(12)]
+    found = spark.createDataFrame(rows, "page long, host string, html string")
+    tokens = set(html_extract.templates(found).first()["tokens"])
+    of = lambda path, text: {html_extract.element_token(path), html_extract._hash("t", path, text)}
+    assert tokens >= of("/div/h1", "a") | of("/div/h2", "b") | of("/div/h3", "c")
+    assert tokens >= of("/div/i", "n1") | of("/div/i.x", "n2")  # four tokens in one gap
+    assert not tokens & (of("/div/b", "n3") | of("/div/u", "moved"))  # two in another gap; two out of order
+
+
+def test_invalid_tokens():
+    page = lambda s: [(ord(c), "ABCabc".index(c) // 3, "ABCabc".index(c) % 3) for c in s]
+    letters = lambda found: tuple("".join(sorted(map(chr, x))) for x in found)
+    check = lambda s: letters(html_extract.invalid_tokens(page(s), {0: 3, 1: 3}))
+    for valid in ("ABC", "ABCabc", "AabcBC", "ABCABC", "ABabcCAabcBC", "AabcabcBC", ""):
+        assert check(valid) == ("", "")
+    assert check("AaBbcC") == ("", "b") and check("AaBbCc") == ("", "bc")
+    assert check("BCA") == ("A", "") and check("AABBCC")[0]

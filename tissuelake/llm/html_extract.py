@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -11,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tissuelake.llm.common import written
@@ -158,14 +159,74 @@ def text_token(x: Node) -> int | None:
     return _hash("t", x.path, *words) if words else None
 
 
-def page_tokens(html: str) -> Counter[int]:
-    """The page's tokens with their counts: each element by its path, each text by its path and words."""
-    found = Counter(text_token(x) if isinstance(x, Node) else element_token(x[1]) for x in parse(html))
-    del found[None]
-    return found
+def token_sequence(html: str) -> Iterator[int]:
+    """The page's tokens in page order: each element by its path, each text by its path and words."""
+    found = (text_token(x) if isinstance(x, Node) else element_token(x[1]) for x in parse(html))
+    return (t for t in found if t is not None)
 
 
-_TOKENS = "host string, token long, low long, high long, m0 long, m1 long, m2 long, m3 long"
+def page_tokens(html: str) -> Counter[int]:
+    """The page's tokens with their counts, in the order of their first places."""
+    return Counter(token_sequence(html))
+
+
+def _not_increasing(keys: list[int]) -> set[int]:
+    """Places of keys that are not in the longest increasing subsequence found first."""
+    ends: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for k, key in enumerate(keys):
+        i = bisect_left(ends, key)
+        before.append(at[i - 1] if i else -1)
+        ends[i : i + 1] = [key]
+        at[i : i + 1] = [k]
+    inside, k = set(), at[-1] if at else -1
+    while k >= 0:
+        inside.add(k)
+        k = before[k]
+    return set(range(len(keys))) - inside
+
+
+def invalid_tokens(found: list[tuple[int, int, int]], sizes: dict[int, int]) -> tuple[set[int], set[int]]:
+    """What keeps a page's classes from being valid: tokens out of their class's order, and tokens that begin a new part of it.
+
+    found: the page's tokens of classes in page order, with class and place in it. A class is ordered if all its tokens
+    come once in their order, then all again. It is nested if no token of a class that began before comes between its own:
+    at such a token its parts end, so that each lies in one gap of every class around it.
+    """
+    times: Counter[int] = Counter()
+    keys: dict[int, list[int]] = {}
+    places: dict[int, list[int]] = {}
+    for i, (token, own, rank) in enumerate(found):
+        keys.setdefault(own, []).append(times[token] * sizes[own] + rank)
+        places.setdefault(own, []).append(i)
+        times[token] += 1
+    stray = {places[c][k] for c, ks in keys.items() if any(x >= y for x, y in zip(ks, ks[1:], strict=False)) for k in _not_increasing(ks)}
+    out, cut = {found[i][0] for i in stray}, set()
+    opened: list[int] = []
+    round_of: dict[int, int] = {}
+    times.clear()
+    for token, own, rank in found:
+        n = times[token]
+        times[token] += 1
+        if token in out:
+            continue
+        if own in opened and round_of[own] == n:
+            while opened[-1] != own:
+                opened.pop()
+        else:
+            if own in opened:
+                opened.remove(own)
+            elif round_of.get(own) == n:
+                cut.add(token)
+            opened.append(own)
+            round_of[own] = n
+        if rank == sizes[own] - 1:
+            opened.pop()
+    return out, cut
+
+
+_TOKENS = "host string, token long, low long, high long, m0 long, m1 long, m2 long, m3 long, page long, place long"
 _MAPS = ["m0", "m1", "m2", "m3"]
 _LOW = (1 << 64) - 1
 
@@ -177,7 +238,10 @@ def templates(pages: DataFrame) -> DataFrame:
     each page and count, so that vectors of any length add up map-side, and pages that repeat count in all tokens
     alike. Tokens of one digest form a class. Beside it go bits of the different pages that have the token, by hashes
     of their whole html, so that copies of one page, however many, are one page. Four maps of 64 bits are kept: three
-    pages fall on fewer bits in all of them once in 200,000.
+    pages fall on fewer bits in all of them once in 200,000. A class's order is that of its tokens' first places on the
+    page of least hash, which all of them have. Each page is then held against the classes (see invalid_tokens): tokens
+    out of order on any page leave their class, and a class that isn't nested is broken up at the tokens that any page
+    finds, of which parts with CLASS_TOKENS stay.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,35 +249,87 @@ def templates(pages: DataFrame) -> DataFrame:
 
         def rows() -> pa.RecordBatch:
             columns = [pa.array([k[0] for k in hosts], pa.string()), pa.array([k[1] for k in hosts], pa.int64())]
-            sums = np.array([s for s in hosts.values()], np.uint64).reshape(-1, 6).view(np.int64)
-            return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(sums[:, k])) for k in range(6))], names=["host", "token", "low", "high", *_MAPS])
+            sums = np.array([s for s in hosts.values()], np.uint64).reshape(-1, 8).view(np.int64)
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(sums[:, k])) for k in range(8))], names=["host", "token", "low", "high", *_MAPS, "page", "place"])
 
         for batch in batches:
             for page, host, html in zip(*(batch[c].to_pylist() for c in ("page", "host", "html")), strict=True):
                 content = _hash(html) + 2**63
                 own = _hash(page, content) + 2**63
                 bits = [1 << (content >> 6 * k & 63) for k in range(4)]
-                for token, n in page_tokens(html).items():
+                for place, (token, n) in enumerate(page_tokens(html).items()):
                     h = (own ^ n * 0x9E3779B97F4A7C15) * 0xC2B2AE3D27D4EB4F & _LOW
                     h ^= h >> 29
                     s = hosts.get((host, token))
                     if s is None:
-                        hosts[host, token] = [h & 0xFFFFFFFF, h >> 32, *bits]
+                        hosts[host, token] = [h & 0xFFFFFFFF, h >> 32, *bits, own, place]
                         continue
                     s[0] += h & 0xFFFFFFFF
                     s[1] += h >> 32
                     for k in range(4):
                         s[2 + k] |= bits[k]
+                    if own < s[6]:
+                        s[6:] = own, place
             if len(hosts) > 200_000:
                 yield rows()
                 hosts.clear()
         if hosts:
             yield rows()
 
-    sums = pages.mapInArrow(count, _TOKENS).groupBy("host", "token").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), *(F.bit_or(m).alias(m) for m in _MAPS))
+    # Hashes as signed longs are ordered with their highest bit flipped.
+    first = F.min_by("place", F.col("page").bitwiseXOR(F.lit(-(2**63)))).alias("place")
+    sums = pages.mapInArrow(count, _TOKENS).groupBy("host", "token").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), first, *(F.bit_or(m).alias(m) for m in _MAPS))
     frequent = written(sums.where(F.greatest(*map(F.bit_count, _MAPS)) >= CLASS_PAGES).drop(*_MAPS), "html-tokens")
-    classes = frequent.groupBy("host", "low", "high").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= CLASS_TOKENS)
-    return classes.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    classes = frequent.groupBy("host", "low", "high").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("found")).where(F.size("found") >= CLASS_TOKENS)
+    classes = written(classes.select("host", F.xxhash64("low", "high").alias("class"), F.col("found.token").alias("tokens")), "html-classes")
+    ranked = classes.select("host", "class", F.posexplode("tokens").alias("rank", "token"))
+    faults = _faults(pages, classes).groupBy("host", "token").agg(F.max("out").alias("out"), F.max("cut").alias("cut"))
+    # A class's parts are numbered by the cuts up to each token.
+    part = F.sum(F.coalesce(F.col("cut").cast("int"), F.lit(0))).over(Window.partitionBy("host", "class").orderBy("rank"))
+    parts = ranked.join(faults, ["host", "token"], "left").withColumn("part", part).where(~F.coalesce("out", F.lit(False)))
+    valid = parts.groupBy("host", "class", "part").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= CLASS_TOKENS)
+    return valid.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+
+
+def _faults(pages: DataFrame, classes: DataFrame) -> DataFrame:
+    """host, token, out and cut: what the pages find against the classes, each token at most once a batch and host."""
+    spark = pages.sparkSession
+
+    def table(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted tokens, with class and place in it."""
+        tokens = np.array([t for own in lists for t in own], np.int64)
+        own = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+        rank = np.concatenate([np.arange(len(x), dtype=np.int32) for x in lists]) if lists else own
+        order = np.argsort(tokens)
+        return tokens[order], own[order], rank[order]
+
+    def run(batches: Iterator[pa.RecordBatch], known: dict[str, tuple] | None = None) -> Iterator[pa.RecordBatch]:
+        last: tuple[str, tuple, dict] | None = None
+        for batch in batches:
+            faults: dict[tuple[str, int], list[bool]] = {}
+            for k, (host, html) in enumerate(zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True)):
+                if known is not None and host not in known:
+                    continue
+                if last is None or last[0] != host:
+                    own = known[host] if known is not None else table(batch["classes"][k].as_py())
+                    last = host, own, Counter(own[1].tolist())
+                tokens, numbers, ranks = last[1]
+                seen = np.fromiter(token_sequence(html), np.int64)
+                at = np.minimum(np.searchsorted(tokens, seen), len(tokens) - 1)
+                at = at[tokens[at] == seen]
+                for which, found in enumerate(invalid_tokens(list(zip(tokens[at].tolist(), numbers[at].tolist(), ranks[at].tolist(), strict=True)), last[2])):
+                    for token in found:
+                        faults.setdefault((host, token), [False, False])[which] = True
+            flags = list(faults.values())
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in faults], pa.string()), pa.array([t for _, t in faults], pa.int64()), pa.array([o for o, _ in flags], pa.bool_()), pa.array([c for _, c in flags], pa.bool_())], names=["host", "token", "out", "cut"])
+
+    schema = "host string, token long, out boolean, cut boolean"
+    by_host = classes.groupBy("host").agg(F.collect_list("tokens").alias("classes"))
+    size = classes.agg(F.sum(F.size("tokens") * 16 + F.length("host") + 400)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        shared = spark.sparkContext.broadcast({r["host"]: table(r["classes"]) for r in by_host.toLocalIterator()})
+        return pages.select("host", "html").mapInArrow(lambda batches: run(batches, shared.value), schema)
+    return pages.select("host", "html").join(by_host, "host").mapInArrow(run, schema)
 
 
 _NONE = np.empty(0, np.int64)
